@@ -2,5 +2,37 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from pyspark.sql import DataFrame, SparkSession
+
+from ..operators import flatten
+from ..sources import bad_records
+from .session import table
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return flatten.flatten_messages(table(spark, d, "compiler_messages"), payloads=False).select("message_id", "node_path", "parent_path")
+
+
+def _p2_table(tag: str):
+    return lambda spark, d: flatten.typed_table(flatten.flatten_messages(table(spark, d, "compiler_messages")), tag)
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return bad_records.failing_lines(table(spark, d, "runs"), table(spark, d, "raw_coverage"))
+
+
+def p3_loaded_coverage(spark: SparkSession, d: str) -> DataFrame:
+    return bad_records.load_csv_records(table(spark, d, "raw_coverage")).where("reason IS NULL").drop("reason", "detail")
+
+
+def p3_loaded_events(spark: SparkSession, d: str) -> DataFrame:
+    return bad_records.load_json_lines(table(spark, d, "runs")).where("ok").select("run_id", "line_no", "event", "line").distinct()
+
+
+def p3_run_status(spark: SparkSession, d: str) -> DataFrame:
+    return bad_records.run_status(table(spark, d, "runs"))
+
+
+QUERIES: dict = {f.__name__: f for f in (p2_found, p3_found, p3_loaded_coverage, p3_loaded_events, p3_run_status)}
+QUERIES |= {f"p2_{tag}s": _p2_table(tag) for tag in flatten.SCHEMAS}
 SQL: dict[str, str] = {}
