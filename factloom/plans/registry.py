@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import flatten
-from ..sources import bad_records
+from ..sources import bad_records, schema_drift
 from .session import table
 
 
@@ -33,6 +33,15 @@ def p3_run_status(spark: SparkSession, d: str) -> DataFrame:
     return bad_records.run_status(table(spark, d, "runs"))
 
 
-QUERIES: dict = {f.__name__: f for f in (p2_found, p3_found, p3_loaded_coverage, p3_loaded_events, p3_run_status)}
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return schema_drift.schema_changes(table(spark, d, "artifact_files"), table(spark, d, "contract_fields"))
+
+
+def _p4_table(producer: str):
+    return lambda spark, d: schema_drift.consistent_table(table(spark, d, "artifact_files"), table(spark, d, "contract_fields"), producer)
+
+
+QUERIES: dict = {f.__name__: f for f in (p2_found, p3_found, p4_found, p3_loaded_coverage, p3_loaded_events, p3_run_status)}
 QUERIES |= {f"p2_{tag}s": _p2_table(tag) for tag in flatten.SCHEMAS}
+QUERIES |= {f"p4_{p.replace('-', '_')}": _p4_table(p) for p in ("discipline", "rust-health", "rank-fixes")}
 SQL: dict[str, str] = {}
