@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..plans.session import table
-from . import parse_errors, topn
+from . import mojibake, parse_errors, topn
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -26,7 +26,15 @@ def p5_top_offenders(spark: SparkSession, d: str) -> DataFrame:
     return top.select("snapshot_id", "pattern", "rank", "file", "offender_count", "offender_id")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_rates, p5_found, p5_top_offenders)}
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return mojibake.affected_ids(table(spark, d, "documents"))
+
+
+def p8_restored(spark: SparkSession, d: str) -> DataFrame:
+    return mojibake.restored(table(spark, d, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_rates, p5_found, p5_top_offenders, p8_found, p8_restored)}
 _P5 = """
 SELECT {cols} FROM (
   SELECT *, row_number() OVER (PARTITION BY snapshot_id, pattern ORDER BY offender_count DESC, file ASC NULLS LAST, offender_id ASC) AS rank
