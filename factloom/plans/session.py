@@ -45,10 +45,10 @@ def ship(spark: SparkSession) -> None:
 def spread(df: DataFrame, *cols: str) -> DataFrame:
     """Before a CPU-bound Python operator: repartition an input that comes in too few splits to fill the cluster.
     Inputs of many splits stay where they are, without a shuffle."""
-    want = 3 * df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() * 3 >= want * 2:
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= cores:
         return df
-    return df.repartition(want, *cols)
+    return df.repartition(3 * cores, *cols)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
