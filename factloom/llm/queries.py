@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..plans.session import table
-from . import mojibake, parse_errors, topn
+from . import mixing, mojibake, packing, parse_errors, topn
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -26,6 +26,22 @@ def p5_top_offenders(spark: SparkSession, d: str) -> DataFrame:
     return top.select("snapshot_id", "pattern", "rank", "file", "offender_count", "offender_id")
 
 
+def p6_packed(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack_documents(table(spark, d, "documents"), table(spark, d, "pack_sizes"))
+
+
+def p6_unused_space(spark: SparkSession, d: str) -> DataFrame:
+    return packing.unused_space(p6_packed(spark, d), table(spark, d, "pack_sizes"))
+
+
+def p7_mixed(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))[0]
+
+
+def p7_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))[1]
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return mojibake.affected_ids(table(spark, d, "documents"))
 
@@ -34,7 +50,7 @@ def p8_restored(spark: SparkSession, d: str) -> DataFrame:
     return mojibake.restored(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_rates, p5_found, p5_top_offenders, p8_found, p8_restored)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_rates, p5_found, p5_top_offenders, p6_packed, p6_unused_space, p7_mixed, p7_shares, p8_found, p8_restored)}
 _P5 = """
 SELECT {cols} FROM (
   SELECT *, row_number() OVER (PARTITION BY snapshot_id, pattern ORDER BY offender_count DESC, file ASC NULLS LAST, offender_id ASC) AS rank
