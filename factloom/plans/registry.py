@@ -6,8 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import flatten
 from ..sources import bad_records, schema_drift
+from . import q_symbols, q_topology
 from .session import table
 
+_families = (q_topology, q_symbols)
+
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return flatten.flatten_messages(table(spark, d, "compiler_messages"), payloads=False).select("message_id", "node_path", "parent_path")
@@ -45,3 +48,7 @@ QUERIES: dict = {f.__name__: f for f in (p2_found, p3_found, p4_found, p3_loaded
 QUERIES |= {f"p2_{tag}s": _p2_table(tag) for tag in flatten.SCHEMAS}
 QUERIES |= {f"p4_{p.replace('-', '_')}": _p4_table(p) for p in ("discipline", "rust-health", "rank-fixes")}
 SQL: dict[str, str] = {}
+
+for _m in _families:
+    QUERIES |= _m.QUERIES
+    SQL |= _m.SQL
