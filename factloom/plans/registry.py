@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import flatten
 from ..sources import bad_records, schema_drift
-from . import q_symbols, q_topology
+from . import q_clones, q_symbols, q_text, q_topology
 from .session import table
 
-_families = (q_topology, q_symbols)
+_families = (q_topology, q_symbols, q_clones, q_text)
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:

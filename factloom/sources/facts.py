@@ -62,12 +62,12 @@ FROM (SELECT file_id, path, unnest(regexp_extract_all(text, '{_FUNCTION.replace(
     "function_facts": (
         f"""
 SELECT file_id || ':' || name || ':' || row_number() OVER (PARTITION BY file_id, name ORDER BY source) AS identity, owner_file, name, body_loc, statement_count, param_count, is_async, generated,
-       md5(body) AS exact_hash, md5(regexp_replace(regexp_replace(body, '{_IDENT}', '@'), '[0-9]+', '0')) AS structure_hash, CASE WHEN params LIKE '%:%' THEN md5(array_join(regexp_extract_all(params, ':[ ]?([^,=]*)', 1), ',')) END AS signature_hash,
+       md5(regexp_replace(body, '[0-9]+', '0')) AS exact_hash, md5(regexp_replace(regexp_replace(body, '{_IDENT}', '@'), '[0-9]+', '0')) AS structure_hash, CASE WHEN params LIKE '%:%' THEN md5(array_join(regexp_extract_all(params, ':[ ]?([^,=]*)', 1), ',')) END AS signature_hash,
        array_distinct(regexp_extract_all(body, '({_IDENT})[(]', 1)) AS call_tokens
 FROM {{functions}}""",
         f"""
 SELECT file_id || ':' || name || ':' || row_number() OVER (PARTITION BY file_id, name ORDER BY source) AS identity, owner_file, name, body_loc, statement_count, param_count, is_async, generated,
-       md5(body) AS exact_hash, md5(regexp_replace(regexp_replace(body, '{_IDENT}', '@', 'g'), '[0-9]+', '0', 'g')) AS structure_hash, CASE WHEN params LIKE '%:%' THEN md5(array_to_string(regexp_extract_all(params, ':[ ]?([^,=]*)', 1), ',')) END AS signature_hash,
+       md5(regexp_replace(body, '[0-9]+', '0', 'g')) AS exact_hash, md5(regexp_replace(regexp_replace(body, '{_IDENT}', '@', 'g'), '[0-9]+', '0', 'g')) AS structure_hash, CASE WHEN params LIKE '%:%' THEN md5(array_to_string(regexp_extract_all(params, ':[ ]?([^,=]*)', 1), ',')) END AS signature_hash,
        list_distinct(regexp_extract_all(body, '({_IDENT})[(]', 1)) AS call_tokens
 FROM {{functions}}""",
     ),
@@ -75,11 +75,11 @@ FROM {{functions}}""",
     "shapes": (
         f"""
 SELECT file_id || '::' || regexp_extract(s, 'interface ({_IDENT})', 1) AS identity, path AS owner_file, regexp_extract(s, 'interface ({_IDENT})', 1) AS exported_name,
-       array_sort(array_distinct(regexp_extract_all(s, '\n  ({_IDENT})[?]?: [^\n]*;', 1))) AS fields, array_sort(array_distinct(regexp_extract_all(s, '\n  {_IDENT}[?]?: ([^\n]*);', 1))) AS types
+       array_sort(array_distinct(regexp_extract_all(s, '\n  ([a-z]+)[A-Za-z_]*[0-9]*[?]?: [^\n]*;', 1))) AS fields, array_sort(array_distinct(regexp_extract_all(s, '\n  {_IDENT}[?]?: ([^\n]*);', 1))) AS types
 FROM (SELECT file_id, path, explode(regexp_extract_all(text, 'interface {_IDENT} [{{{{][^}}}}]*[}}}}]', 0)) AS s FROM {{files}} WHERE ext = 'ts')""",
         f"""
 SELECT file_id || '::' || regexp_extract(s, 'interface ({_IDENT})', 1) AS identity, path AS owner_file, regexp_extract(s, 'interface ({_IDENT})', 1) AS exported_name,
-       list_sort(list_distinct(regexp_extract_all(s, '\n  ({_IDENT})[?]?: [^\n]*;', 1))) AS fields, list_sort(list_distinct(regexp_extract_all(s, '\n  {_IDENT}[?]?: ([^\n]*);', 1))) AS types
+       list_sort(list_distinct(regexp_extract_all(s, '\n  ([a-z]+)[A-Za-z_]*[0-9]*[?]?: [^\n]*;', 1))) AS fields, list_sort(list_distinct(regexp_extract_all(s, '\n  {_IDENT}[?]?: ([^\n]*);', 1))) AS types
 FROM (SELECT file_id, path, unnest(regexp_extract_all(text, 'interface {_IDENT} [{{{{][^}}}}]*[}}}}]', 0)) AS s FROM {{files}} WHERE ext = 'ts')""",
     ),
     # ---- static imports of TypeScript and JavaScript files
