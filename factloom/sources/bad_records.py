@@ -17,6 +17,7 @@ import secrets
 from collections.abc import Iterator
 from datetime import datetime, timezone
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import pyarrow.csv
@@ -34,11 +35,9 @@ LINES = "run_id bigint, line_no bigint, ok boolean, event string, detail string,
 
 def stream_lines(runs: DataFrame) -> DataFrame:
     """run_id, line_no (from 1), line of every line that is not blank; done by the JVM."""
-    parts = F.split("stdout", "\n", -1)
-    rows = runs.where(F.length("stdout") > 0).select("run_id", F.size(parts).alias("n"), F.posexplode(parts).alias("pos", "line"))
     # a carriage return before the line feed is not part of the line
-    cut = F.when((F.col("pos") < F.col("n") - 1) & F.col("line").endswith("\r"), F.expr("substring(line, 1, length(line) - 1)")).otherwise(F.col("line"))
-    rows = rows.select("run_id", (F.col("pos") + 1).cast("bigint").alias("line_no"), cut.alias("line"))
+    rows = runs.where(F.length("stdout") > 0).select("run_id", F.posexplode(F.split("stdout", "\r?\n", -1)).alias("pos", "line"))
+    rows = rows.select("run_id", (F.col("pos") + 1).cast("bigint").alias("line_no"), "line")
     return rows.where(~F.col("line").rlike(r"\A[ \t]*\z"))
 
 
@@ -195,44 +194,66 @@ def diagnose(record: str | None) -> tuple[str | None, str | None, tuple | None]:
 _SCHEMA = pa.schema([("reason", pa.string()), ("detail", pa.string()), *_TYPES.items()])
 
 
-def _parse_records(records: pa.Array, fast: pa.Array) -> list[pa.Table]:
-    """Tables over all records in order."""
-    n = len(records)
-    if n > 1:
-        if pc.all(fast, skip_nulls=False).as_py():
-            try:
-                data = "\n".join(records.to_pylist()).encode() + b"\n"
-                got = pyarrow.csv.read_csv(
-                    io.BytesIO(data),
-                    pyarrow.csv.ReadOptions(column_names=list(FIELDS), use_threads=False),
-                    pyarrow.csv.ParseOptions(newlines_in_values=True, ignore_empty_lines=False),
-                    pyarrow.csv.ConvertOptions(column_types=_TYPES, null_values=[""], strings_can_be_null=False, true_values=["true"], false_values=["false"]),
-                )
-                if got.num_rows == n:
-                    none = pa.nulls(n, pa.string())
-                    return [pa.table([none, none, *got.columns], schema=_SCHEMA)]
-            except pa.ArrowInvalid:
-                pass
-        mid = n // 2
-        return _parse_records(records[:mid], fast[:mid]) + _parse_records(records[mid:], fast[mid:])
-    reason, detail, values = diagnose(records[0].as_py())
-    return [pa.table([pa.array([x], f.type) for x, f in zip((reason, detail, *(values or [None] * len(FIELDS))), _SCHEMA)], schema=_SCHEMA)]
+def _isolate(fast: np.ndarray, lo: int, hi: int, bad: list[int]) -> None:
+    """Bisect [lo, hi) wherever a record fails the vectorised check, until the failing records stand alone."""
+    if fast[lo:hi].all():
+        return
+    if hi - lo == 1:
+        bad.append(lo)
+        return
+    mid = (lo + hi) // 2
+    _isolate(fast, lo, mid, bad)
+    _isolate(fast, mid, hi, bad)
+
+
+def _convert(records: list[str], at: list[int], parts: list[tuple[list[int], pa.Table]], bad: list[int]) -> None:
+    """Typed columns of records that passed the check, by the columnar reader; what it cannot convert (a day that is none, a number
+    too large) fails its block, which is bisected."""
+    if not at:
+        return
+    try:
+        got = pyarrow.csv.read_csv(
+            io.BytesIO("\n".join([records[i] for i in at]).encode() + b"\n"),
+            pyarrow.csv.ReadOptions(column_names=list(FIELDS), use_threads=False),
+            pyarrow.csv.ParseOptions(newlines_in_values=True, ignore_empty_lines=False),
+            pyarrow.csv.ConvertOptions(column_types=_TYPES, null_values=[""], strings_can_be_null=False, true_values=["true"], false_values=["false"]),
+        )
+        if got.num_rows == len(at):
+            parts.append((at, got))
+            return
+    except pa.ArrowInvalid:
+        pass
+    if len(at) == 1:
+        bad.append(at[0])
+        return
+    mid = len(at) // 2
+    _convert(records, at[:mid], parts, bad)
+    _convert(records, at[mid:], parts, bad)
 
 
 def _csv_records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        if not b.num_rows:
+        n = b.num_rows
+        if not n:
             continue
         raw = b.column("raw_line")
-        fast = pc.fill_null(pc.match_substring_regex(raw, _FAST), False)
-        parts: list[pa.Table] = []
-        for lo in range(0, b.num_rows, BLOCK):
-            parts += _parse_records(raw[lo : lo + BLOCK], fast[lo : lo + BLOCK])
-        t = pa.concat_tables(parts).combine_chunks()
+        records = raw.to_pylist()
+        fast = pc.fill_null(pc.match_substring_regex(raw, _FAST), False).to_numpy(zero_copy_only=False)
+        bad: list[int] = []
+        for lo in range(0, n, BLOCK):
+            _isolate(fast, lo, min(lo + BLOCK, n), bad)
+        parts: list[tuple[list[int], pa.Table]] = []
+        failed = set(bad)
+        _convert(records, [i for i in range(n) if i not in failed], parts, bad)
+        rows = [diagnose(records[i]) for i in bad]
+        strict = [pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string())]
+        strict += [pa.array([r[2][k] if r[2] else None for r in rows], t) for k, t in enumerate(_TYPES.values())]
+        tables = [pa.table([pa.nulls(len(at), pa.string()), pa.nulls(len(at), pa.string()), *t.columns], schema=_SCHEMA) for at, t in parts]
+        t = pa.concat_tables([*tables, pa.table(strict, schema=_SCHEMA)]).combine_chunks()
+        order = [i for at, _ in parts for i in at] + bad
         t = t.set_column(t.schema.get_field_index("observed_at"), "observed_at", t.column("observed_at").cast(pa.timestamp("us", tz="UTC")))
-        keys = [b.column(c) for c in ("raw_id", "file_name", "line_no")]
-        t = pa.table([*keys, *t.columns], names=["raw_id", "file_name", "line_no", *t.column_names])
-        yield from t.to_batches()
+        keys = [b.column(c).take(pa.array(order, pa.int64())) for c in ("raw_id", "file_name", "line_no")]
+        yield from pa.table([*keys, *t.columns], names=["raw_id", "file_name", "line_no", *t.column_names]).to_batches()
 
 
 def load_csv_records(raw: DataFrame) -> DataFrame:
