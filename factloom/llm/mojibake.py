@@ -80,8 +80,9 @@ def is_clean(word: str) -> bool:
     return True
 
 
-def garbled_forms(word: str) -> dict[str, tuple[str, bool]]:
-    """garbled word -> (chain, whether the original must be the more frequent of the two)."""
+def garbled_forms(word: str, weak: dict[str, list[str]] | None = None) -> dict[str, tuple[str, bool]]:
+    """garbled word -> (chain, whether the original must be the more frequent of the two). weak takes the forms that are too short to
+    prove anything by themselves, with their chains."""
     out: dict[str, tuple[str, bool]] = {}
     letters = sum(c.isalpha() for c in word)
     wide = bool(_CJK.search(word))
@@ -118,6 +119,12 @@ def garbled_forms(word: str) -> dict[str, tuple[str, bool]]:
             for other in SINGLE:
                 if other != page:
                     emit(_readings(data, other), f"{page}>{other}", True, 4 if many else 1)
+        elif weak is not None:
+            for other in SINGLE:
+                if other != page:
+                    for g in _readings(data, other):
+                        if g != word and WORD.fullmatch(g):
+                            weak.setdefault(g, []).append(f"{page}>{other}")
         if many:
             for other in MULTI:
                 if other != page:
@@ -128,15 +135,26 @@ def garbled_forms(word: str) -> dict[str, tuple[str, bool]]:
 FORMS = "garbled string, original string, chain string, frequent boolean, df bigint"
 
 
-def _forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        cols: tuple[list, ...] = ([], [], [], [], [])
-        for word, df in zip(b.column("word").to_pylist(), b.column("df").to_pylist()):
-            if is_clean(word):
-                for g, (chain, frequent) in garbled_forms(word).items():
-                    for c, x in zip(cols, (g, word, chain, frequent, df)):
-                        c.append(x)
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.string(), pa.string(), pa.bool_(), pa.int64()))], names=["garbled", "original", "chain", "frequent", "df"])
+def _forms(short: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield _form_rows(b, short)
+
+    return run
+
+
+def _form_rows(b: pa.RecordBatch, short: bool) -> pa.RecordBatch:
+    """The forms of the words of a batch: those that prove a wrong reading, or (short) those that only fit a proven one."""
+    cols: tuple[list, ...] = ([], [], [], [], [])
+    for word, df in zip(b.column("word").to_pylist(), b.column("df").to_pylist()):
+        if is_clean(word):
+            weak: dict[str, list[str]] = {}
+            strong = garbled_forms(word, weak)
+            rows = [(g, word, c, True, df) for g, chains in weak.items() for c in chains] if short else [(g, word, c, f, df) for g, (c, f) in strong.items()]
+            for row in rows:
+                for c, x in zip(cols, row):
+                    c.append(x)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.string(), pa.string(), pa.bool_(), pa.int64()))], names=["garbled", "original", "chain", "frequent", "df"])
 
 
 def document_words(docs: DataFrame) -> DataFrame:
@@ -146,13 +164,20 @@ def document_words(docs: DataFrame) -> DataFrame:
     return docs.where(F.col("text").rlike(r"[^\x00-\x7F]")).select("doc_id", words.alias("words")).where(F.size("words") > 0)
 
 
-def verified_words(words: DataFrame) -> DataFrame:
+def vocabulary(words: DataFrame) -> DataFrame:
+    counted = words.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("df"))
+    return materialize(counted, "mojibake-vocabulary")
+
+
+def _joined(vocab: DataFrame, short: bool) -> DataFrame:
+    forms = spread(vocab).mapInArrow(_forms(short), FORMS)
+    seen = vocab.select(F.col("word").alias("garbled"), F.col("df").alias("own_df"))
+    return forms.join(seen, "garbled")
+
+
+def verified_words(vocab: DataFrame) -> DataFrame:
     """garbled, original (null where a lossy chain leaves several), chain of every garbled word of the corpus."""
-    vocabulary = words.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("df"))
-    vocabulary = materialize(vocabulary, "mojibake-vocabulary")
-    forms = spread(vocabulary).mapInArrow(_forms, FORMS)
-    seen = vocabulary.select(F.col("word").alias("garbled"), F.col("df").alias("own_df"))
-    hits = forms.join(seen, "garbled").where(~F.col("frequent") | (F.col("df") > F.col("own_df")))
+    hits = _joined(vocab, False).where(~F.col("frequent") | (F.col("df") > F.col("own_df")))
     # the most frequent original, then the first by text
     best = F.max_by(F.struct("original", "chain"), F.struct(~F.col("frequent"), "df", "original"))
     hits = hits.groupBy("garbled").agg(best.alias("b"), F.count_distinct("original").alias("n"))
@@ -160,12 +185,23 @@ def verified_words(words: DataFrame) -> DataFrame:
     return hits.select("garbled", F.when(~lossy, F.col("b.original")).alias("original"), F.col("b.chain").alias("chain"))
 
 
-def affected(docs: DataFrame) -> DataFrame:
-    """doc_id, garbled, original, chain of every garbled word of every affected document."""
+def affected(docs: DataFrame, short_words: bool = False) -> DataFrame:
+    """doc_id, garbled, original, chain of every garbled word of every affected document. short_words: also the words too short to be
+    proof, where a longer word of the same document proves their chain."""
     words = materialize(document_words(docs.select("doc_id", "text")), "mojibake-words")
-    table = materialize(verified_words(words), "mojibake-verified")
+    vocab = vocabulary(words)
+    table = materialize(verified_words(vocab), "mojibake-verified")
     pairs = words.select("doc_id", F.explode("words").alias("garbled"))
-    return lookup(pairs, table, ["garbled"], table.count())
+    found = lookup(pairs, table, ["garbled"], table.count())
+    if not short_words:
+        return found
+    found = materialize(found, "mojibake-found")
+    chains = found.select("doc_id", "chain").distinct()
+    short = _joined(vocab, True).groupBy("garbled", "chain").agg(F.max_by("original", F.struct("df", "original")).alias("original"))
+    rest = words.join(chains.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", F.explode("words").alias("garbled")).join(found.select("doc_id", "garbled"), ["doc_id", "garbled"], "left_anti")
+    more = rest.join(chains, "doc_id").join(short, ["garbled", "chain"])
+    more = more.groupBy("doc_id", "garbled").agg(F.min_by(F.struct("original", "chain"), "chain").alias("b")).select("doc_id", "garbled", "b.original", "b.chain")
+    return found.unionByName(more)
 
 
 def affected_ids(docs: DataFrame) -> DataFrame:
@@ -193,5 +229,5 @@ def _restore(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def restored(docs: DataFrame) -> DataFrame:
     """Affected documents with every garbled word of known original put right. restored_words < garbled_words: in part."""
-    found = affected(docs).groupBy("doc_id").agg(F.collect_list(F.struct("garbled", "original", "chain")).alias("pairs"))
+    found = affected(docs, short_words=True).groupBy("doc_id").agg(F.collect_list(F.struct("garbled", "original", "chain")).alias("pairs"))
     return docs.select("doc_id", "text").join(found, "doc_id").mapInArrow(_restore, RESTORED)

@@ -24,16 +24,19 @@ from ..plans.session import lookup, materialize
 
 _CHUNK = 7
 _TOP = (1 << (8 * _CHUNK)) - 1
+_LOW = (1 << 32) - 1
 
 
-def _digit(level: Column, score: str, ident: str, row_id: str) -> Column:
-    """The code digit of a row at a level; higher is better at every level. Level 0 is the score, levels 1.. the identifier,
-    level -1 the row id."""
+def _digit(level: Column, last: int, score: str, ident: str, row_id: str) -> Column:
+    """The code digit of a row at a level; higher is better at every level, and no digit needs more than 56 bits. Levels 0 and 1 are the
+    halves of the score, 2 to last the identifier, last+1 and last+2 the halves of the row id."""
     raw = F.encode(F.col(ident), "utf-8")
-    part = F.substring(raw, (F.lit(1) + (level - 1) * _CHUNK).cast("int"), F.lit(_CHUNK))
+    part = F.substring(raw, (F.lit(1) + (level - 2) * _CHUNK).cast("int"), F.lit(_CHUNK))
     value = F.conv(F.rpad(F.hex(part), 2 * _CHUNK, "0"), 16, 10).cast("bigint")
     text = F.when(F.col(ident).isNull(), F.lit(-1).cast("bigint")).otherwise(F.lit(_TOP).cast("bigint") - value)
-    return F.when(level == 0, F.col(score).cast("bigint")).when(level > 0, text).otherwise(-F.col(row_id).cast("bigint"))
+    high = lambda c: F.shiftright(F.col(c).cast("bigint"), 32)
+    low = lambda c: F.col(c).cast("bigint").bitwiseAND(F.lit(_LOW).cast("bigint"))
+    return F.when(level == 0, high(score)).when(level == 1, low(score)).when(level <= last, text).when(level == last + 1, -high(row_id)).otherwise(-low(row_id))
 
 
 def _ranked(df: DataFrame, keys: list[str], score: str, ident: str, row_id: str, n: int) -> DataFrame:
@@ -65,21 +68,21 @@ def top_n_per_group(
     open_rows = flagged.where(F.col("__hot").isNotNull()).select(*cols).dropDuplicates(cols)
     open_rows = materialize(open_rows, "topn-open")
     longest = open_rows.agg(F.max(F.octet_length(ident))).first()[0] or 0
-    last = (longest + _CHUNK - 1) // _CHUNK
+    last = 1 + (longest + _CHUNK - 1) // _CHUNK
     # state of a hot group: rows still needed and the digit that its open rows are told apart by
     state = hot.withColumn("need", F.lit(n)).withColumn("level", F.lit(0))
     accepted: list[DataFrame] = []
     while True:
-        joined = lookup(open_rows, state, keys, n_hot).withColumn("code", _digit(F.col("level"), score, ident, row_id))
+        joined = lookup(open_rows, state, keys, n_hot).withColumn("code", _digit(F.col("level"), last, score, ident, row_id))
         ends = joined.groupBy(*keys, "need", "level").agg(F.min("code").alias("lo"), F.max("code").alias("hi"), F.count("*").alias("rows"))
         # rows tied in every digit are one row with different texts: nothing tells them apart, so they go to the ranking
-        tied = (F.col("level") < 0) & (F.col("lo") == F.col("hi"))
+        tied = (F.col("level") == last + 2) & (F.col("lo") == F.col("hi"))
         ends = materialize(ends.withColumn("busy", (F.col("rows") > small) & ~tied), "topn-ends")
         n_open = ends.where("busy").count()
         if not n_open:
             break
         busy = ends.where("busy").withColumn("width", F.greatest(F.lit(1).cast("bigint"), F.expr(f"(hi - lo) div {ways} + 1")))
-        counted = lookup(open_rows, busy, keys, n_open).withColumn("code", _digit(F.col("level"), score, ident, row_id))
+        counted = lookup(open_rows, busy, keys, n_open).withColumn("code", _digit(F.col("level"), last, score, ident, row_id))
         counted = counted.groupBy(*keys, "need", "level", "lo", "hi", "width", F.expr("(code - lo) div width").alias("bin")).agg(F.count("*").alias("c"))
         # at most `ways` bins a group
         w = Window.partitionBy(*keys).orderBy(F.col("bin").desc())
@@ -97,12 +100,12 @@ def top_n_per_group(
         cut = materialize(cut, "topn-cut")
         # every hot group moves: those with few open rows keep their interval
         now = cut.unionByName(ends.where("NOT busy").select(*keys, "level", "lo", "hi", "need"))
-        moved = lookup(open_rows, now, keys, n_hot).withColumn("code", _digit(F.col("level"), score, ident, row_id))
+        moved = lookup(open_rows, now, keys, n_hot).withColumn("code", _digit(F.col("level"), last, score, ident, row_id))
         moved = materialize(moved.where(F.col("code") >= F.col("lo")).withColumn("above", F.col("code") > F.col("hi")).select(*cols, "above"), "topn-rows")
         accepted.append(moved.where("above").select(*cols))
         open_rows = moved.where("NOT above").select(*cols)
         # an interval of one value is tied on this digit: go on with the next one
-        nxt = F.when(F.col("level") < 0, F.col("level")).when(F.col("level") >= last, F.lit(-1)).otherwise(F.col("level") + 1)
+        nxt = F.least(F.lit(last + 2), F.col("level") + 1)
         state = now.select(*keys, "need", F.when(F.col("lo") == F.col("hi"), nxt).otherwise(F.col("level")).alias("level"))
         state = materialize(state, "topn-state")
     rest = reduce(DataFrame.unionByName, accepted, open_rows)
