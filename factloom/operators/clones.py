@@ -34,8 +34,8 @@ def hash_groups(facts: DataFrame, key: str, min_loc: int, min_statements: int, l
 
 def shared_tokens(facts: DataFrame, key: str) -> DataFrame:
     """Call tokens that every member of a hash group has."""
-    sized = facts.where(F.col(key).isNotNull()).withColumn("n", F.count("*").over(Window.partitionBy(key))).where("n >= 2")
-    t = sized.select(F.col(key).alias("hash"), "n", "identity", F.explode("call_tokens").alias("token")).groupBy("hash", "n", "token").agg(F.count_distinct("identity").alias("c"))
+    sizes = facts.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n")).where("n >= 2")
+    t = facts.join(sizes, key).select(F.col(key).alias("hash"), "n", "identity", F.explode("call_tokens").alias("token")).groupBy("hash", "n", "token").agg(F.count_distinct("identity").alias("c"))
     return t.where("c = n").groupBy("hash").agg(F.array_join(F.array_sort(F.collect_set("token")), ",").alias("tokens"))
 
 

@@ -7,14 +7,19 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def occurrence_delta(before: DataFrame, after: DataFrame, key: str = "occurrence_key", order: tuple[str, ...] = ("file", "line")) -> DataFrame:
-    """Multiset difference by key: of the occurrences of a key, sorted, those beyond the other side's count are silent-new or
-    removed, the rest pre-existing. Counts of the other side are joined, so nothing is collected per key."""
+def occurrence_delta(before: DataFrame, after: DataFrame, key: str = "occurrence_key", part: str = "file", order: str = "line") -> DataFrame:
+    """Multiset difference by key: of the occurrences of a key, sorted by (part, order), those beyond the other side's count are silent-new
+    or removed, the rest pre-existing. The ordinal is taken in two steps (counts per part, then within it), so that an occurrence key of
+    many files is no unit of work."""
 
     def side(mine: DataFrame, other: DataFrame, label: str) -> DataFrame:
         n = other.groupBy(key).agg(F.count("*").alias("other"))
-        w = Window.partitionBy(key).orderBy(*order)
-        j = mine.withColumn("ordinal", F.row_number().over(w)).join(n, key, "left")
+        parts = mine.groupBy(key, part).agg(F.count("*").alias("c"))
+        w = Window.partitionBy(key).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+        parts = parts.select(key, part, F.coalesce(F.sum("c").over(w), F.lit(0)).alias("before_part"))
+        j = mine.withColumn("within", F.row_number().over(Window.partitionBy(key, part).orderBy(order)))
+        j = j.join(parts, (j[key].eqNullSafe(parts[key])) & (j[part].eqNullSafe(parts[part]))).drop(parts[key]).drop(parts[part])
+        j = j.withColumn("ordinal", F.col("before_part") + F.col("within")).drop("before_part", "within").join(n, key, "left")
         return j.withColumn("label", F.when(F.col("ordinal") > F.coalesce("other", F.lit(0)), label).otherwise("pre-existing")).drop("other")
 
     new = side(after, before, "silent-new")
@@ -68,8 +73,8 @@ def canon_drift(canon: DataFrame, fresh: DataFrame) -> DataFrame:
     c = canon.select("name", "owner", F.col("label").alias("old"), F.lit(True).alias("c"))
     f = fresh.select("name", "owner", F.col("label").alias("new"), F.lit(True).alias("f"))
     j = c.join(f, ["name", "owner"], "full_outer")
-    w = Window.partitionBy("name")
-    j = j.withColumn("gone", F.count(F.when(F.col("f").isNull(), 1)).over(w)).withColumn("come", F.count(F.when(F.col("c").isNull(), 1)).over(w))
+    moves = j.groupBy("name").agg(F.count(F.when(F.col("f").isNull(), 1)).alias("gone"), F.count(F.when(F.col("c").isNull(), 1)).alias("come"))
+    j = j.join(moves, "name")
     pair = (F.col("gone") == 1) & (F.col("come") == 1)
     kind = F.when(F.col("c") & F.col("f"), F.when(F.col("old").eqNullSafe(F.col("new")), F.lit("same")).otherwise("label-changed")).when(pair, "owner-changed").when(F.col("c").isNull(), "added").otherwise("removed")
     conf = F.when(pair | (F.col("gone") == 0) | (F.col("come") == 0), "high").otherwise("low")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # fixed values: words that say nothing about a domain
@@ -49,8 +49,8 @@ def inline_groups(blocks: DataFrame, least: int = 3) -> DataFrame:
 
 def name_collisions(defs: DataFrame, low_info: tuple[str, ...]) -> DataFrame:
     """Label of every exported name: facts(name, identity, fan_in, contaminated)."""
-    w = Window.partitionBy("name")
-    d = defs.withColumn("n", F.count("*").over(w)).withColumn("top", F.max("fan_in").over(w)).withColumn("total", F.sum("fan_in").over(w)).withColumn("all_bad", F.min(F.col("contaminated").cast("int")).over(w))
+    g = defs.groupBy("name").agg(F.count("*").alias("n"), F.max("fan_in").alias("top"), F.sum("fan_in").alias("total"), F.min(F.col("contaminated").cast("int")).alias("all_bad"))
+    d = defs.join(g, "name")
     many = F.col("n") >= 2
     label = (
         F.when(many & (F.col("all_bad") == 1), "ANY_COLLISION")

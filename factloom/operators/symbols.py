@@ -5,7 +5,7 @@ Absence is not clean: an optional input that is None gives 'unavailable', never
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -85,8 +85,8 @@ def runtime_evidence(defs: DataFrame, hits: DataFrame | None) -> DataFrame:
     if hits is None:
         return defs.select("file", "name", F.lit("unavailable").alias("status"), F.lit("low").alias("confidence"))
     j = defs.join(hits.select(F.col("symbol").alias("name"), "hits"), "name", "left")
-    covered = F.max(F.col("hits").isNotNull()).over(Window.partitionBy("file"))
-    j = j.withColumn("file_covered", covered)
+    covered = j.groupBy("file").agg(F.bool_or(F.col("hits").isNotNull()).alias("file_covered"))
+    j = j.join(covered, "file")
     status = F.when(F.col("kind").startswith("STANDARD"), "type-only").when(~F.col("file_covered"), "file-untested").when(F.col("hits").isNull(), "uncovered").when(F.col("hits") > 0, "executed").otherwise("dead-confirmed")
     conf = F.when(status.isin("executed", "dead-confirmed"), "high").when(status == "uncovered", "medium").otherwise("low")
     return j.select("file", "name", status.alias("status"), conf.alias("confidence"))
