@@ -159,8 +159,9 @@ def _form_rows(b: pa.RecordBatch, short: bool) -> pa.RecordBatch:
 
 def document_words(docs: DataFrame) -> DataFrame:
     """doc_id and the distinct words of its text with non-ASCII characters; by the JVM, over whole texts."""
-    text = F.regexp_replace("text", INLINE_CODE, " ")
-    words = F.array_distinct(F.regexp_extract_all(text, F.lit(WORD_JAVA), F.lit(0)))
+    # one pass: inline code matches first and is dropped again
+    found = F.regexp_extract_all("text", F.lit(f"{INLINE_CODE}|{WORD_JAVA}"), F.lit(0))
+    words = F.filter(F.array_distinct(found), lambda w: ~w.startswith("`"))
     return docs.where(F.col("text").rlike(r"[^\x00-\x7F]")).select("doc_id", words.alias("words")).where(F.size("words") > 0)
 
 
