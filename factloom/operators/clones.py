@@ -112,15 +112,22 @@ def near_diagnostics(facts: DataFrame) -> DataFrame:
     return idf.select("token", F.col("df").alias("functions"), F.expr("df * (df - 1) div 2").alias("skipped_pairs"))
 
 
-def block_clones(tokens: DataFrame, k: int = 50, min_lines: int = 5) -> DataFrame:
+def block_clones(tokens: DataFrame, k: int = 50, min_lines: int = 5, chunk: Column | None = None) -> DataFrame:
     """Maximal equal token runs between neighbouring occurrences. tokens(file, pos, value, line), pos from 0 without gaps.
 
-    Every window of k tokens is hashed; equal windows are put in order (file, pos) and only neighbours are linked, so a window with m
-    occurrences gives m - 1 links. Links of one diagonal (same two files, same distance) at consecutive positions are one run."""
+    Every window of k tokens is hashed. Equal windows are put in order (file, pos) within chunks of files (64 by the hash of the file, or
+    the given column), and neighbours are linked, as are the first windows of the chunks; so a window with m occurrences gives m - 1 links, and
+    boilerplate that is everywhere is not one unit of work. Links of one diagonal (same two files, same distance) at consecutive
+    positions are one run."""
     w = Window.partitionBy("file").orderBy("pos").rowsBetween(0, k - 1)
     grams = tokens.withColumn("hash", F.xxhash64(F.collect_list("value").over(w))).withColumn("n", F.count("*").over(w)).withColumn("end_line", F.last("line").over(w)).where(F.col("n") == k)
-    nxt = Window.partitionBy("hash").orderBy("file", "pos")
-    links = grams.select("hash", "file", "pos", "line", "end_line", F.lead("file").over(nxt).alias("file2"), F.lead("pos").over(nxt).alias("pos2"), F.lead("line").over(nxt).alias("line2"), F.lead("end_line").over(nxt).alias("end_line2")).where("file2 IS NOT NULL")
+    grams = grams.select("hash", "file", "pos", "line", "end_line", (F.pmod(F.xxhash64("file"), F.lit(64)) if chunk is None else chunk).alias("chunk"))
+    after = lambda v: [F.lead(c).over(v).alias(f"{c}2") for c in ("file", "pos", "line", "end_line")]
+    within = Window.partitionBy("hash", "chunk").orderBy("file", "pos")
+    inner = grams.select("hash", "file", "pos", "line", "end_line", *after(within))
+    heads = grams.groupBy("hash", "chunk").agg(F.min(F.struct("file", "pos", "line", "end_line")).alias("h")).select("hash", "chunk", "h.*")  # 64 rows a hash at most
+    outer = heads.select("hash", "file", "pos", "line", "end_line", *after(Window.partitionBy("hash").orderBy("chunk")))
+    links = inner.unionByName(outer).where("file2 IS NOT NULL")
     links = links.where((F.col("file") != F.col("file2")) | (F.col("pos2") - F.col("pos") >= k))
     diag = Window.partitionBy("file", "file2", F.col("pos2") - F.col("pos")).orderBy("pos")
     runs = links.withColumn("island", F.col("pos") - F.row_number().over(diag)).withColumn("delta", F.col("pos2") - F.col("pos"))

@@ -44,7 +44,7 @@ def _tokens(s, d):
 
 
 def blocks(s, d):
-    return clones.block_clones(_tokens(s, d))
+    return clones.block_clones(_tokens(s, d), chunk=F.col("file") % 64)
 
 
 def block_policy(s, d):
@@ -122,7 +122,9 @@ tk AS (SELECT file_id, line, unnest(range(len(a))) AS i, unnest(a) AS t FROM (SE
 tok AS (SELECT file_id AS file, row_number() OVER (PARTITION BY file_id ORDER BY line, i) - 1 AS pos, line, CASE WHEN regexp_matches(t, '^[A-Za-z_$]') THEN '$' WHEN regexp_matches(t, '^[0-9]') THEN '0' WHEN regexp_matches(t, '^[.][A-Za-z]') THEN '.p' ELSE t END AS value FROM tk),
 gr AS (SELECT file, pos, line, last(line) OVER w AS end_line, count(*) OVER w AS n, list(value) OVER w AS g FROM tok WINDOW w AS (PARTITION BY file ORDER BY pos ROWS BETWEEN CURRENT ROW AND 49 FOLLOWING)),
 g2 AS (SELECT file, pos, line, end_line, md5(array_to_string(g, chr(1))) AS h FROM gr WHERE n = 50),
-lk AS (SELECT file, pos, line, end_line, lead(file) OVER v AS file2, lead(pos) OVER v AS pos2, lead(line) OVER v AS line2, lead(end_line) OVER v AS end_line2 FROM g2 WINDOW v AS (PARTITION BY h ORDER BY file, pos)),
+hd AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY h, file % 64 ORDER BY file, pos) AS r FROM g2) WHERE r = 1),
+lk AS (SELECT file, pos, line, end_line, lead(file) OVER v AS file2, lead(pos) OVER v AS pos2, lead(line) OVER v AS line2, lead(end_line) OVER v AS end_line2 FROM g2 WINDOW v AS (PARTITION BY h, file % 64 ORDER BY file, pos)
+  UNION ALL SELECT file, pos, line, end_line, lead(file) OVER v, lead(pos) OVER v, lead(line) OVER v, lead(end_line) OVER v FROM hd WINDOW v AS (PARTITION BY h ORDER BY file % 64)),
 ok AS (SELECT *, pos2 - pos AS delta, pos - row_number() OVER (PARTITION BY file, file2, pos2 - pos ORDER BY pos) AS island FROM lk WHERE file2 IS NOT NULL AND (file <> file2 OR pos2 - pos >= 50)),
 blk AS (SELECT file, file2, min(pos) AS start, min(pos) + delta AS start2, max(pos) - min(pos) + 50 AS tokens, min(line) AS line, max(end_line) AS end_line, min(line2) AS line2, max(end_line2) AS end_line2 FROM ok GROUP BY file, file2, delta, island
   HAVING max(end_line) - min(line) + 1 >= 5 AND max(end_line2) - min(line2) + 1 >= 5)"""

@@ -5,6 +5,8 @@ from __future__ import annotations
 import random
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 from factloom.operators import clones, deltas, graph, topology
 from factloom.streaming import events
 
@@ -61,8 +63,17 @@ def test_block_clones(spark):
     base = [f"t{i}" for i in range(30)]
     files = {1: base + ["q"] * 5, 2: ["r"] * 3 + base, 3: [f"u{i}" for i in range(40)]}
     rows = [(f, i, v, i) for f, vs in files.items() for i, v in enumerate(vs)]
-    got = clones.block_clones(spark.createDataFrame(rows, "file bigint, pos bigint, value string, line bigint"), k=10).collect()
+    got = clones.block_clones(spark.createDataFrame(rows, "file bigint, pos bigint, value string, line bigint"), k=10, chunk=F.lit(0)).collect()
     assert [(r.file, r.file2, r.start, r.start2, r.tokens) for r in got] == [(1, 2, 0, 3, 30)]
+    rows += [(f + 10, p, v, n) for f, p, v, n in rows] + [(f + 20, p, v, n) for f, p, v, n in rows]
+    df = spark.createDataFrame(rows, "file bigint, pos bigint, value string, line bigint")
+    for chunk in (None, F.lit(0), F.col("file") % 3):
+        # six files share the run: five links join them, whatever the chunks
+        links = [(r.file, r.file2) for r in clones.block_clones(df, k=10, chunk=chunk).collect() if r.tokens >= 30 and {r.file % 10, r.file2 % 10} <= {1, 2}]
+        joined = {1}
+        for _ in range(6):
+            joined |= {x for a, b in links for x in (a, b) if a in joined or b in joined}
+        assert joined == {1, 2, 11, 12, 21, 22} and len(links) == 5
 
 
 def test_multiset_delta(spark):
