@@ -31,7 +31,7 @@ MULTI = ("cp949", "cp932", "euc_jp", "gbk", "big5")
 AGAIN = (("cp1252", "cp1252"), ("latin-1", "latin-1"), ("cp1252", "latin-1"), ("latin-1", "cp1252"), ("mac_roman", "mac_roman"), ("cp850", "cp850"), ("cp437", "cp437"), ("cp1252", "cp1252", "cp1252"))
 
 INLINE_CODE = r"(?<!`)`[^`\n]+`(?!`)"
-WORD_JAVA = r"(?<![A-Za-z])[A-Za-z]*+[^\x00-\x7F](?:[A-Za-z]|[^\x00-\x7F])*"
+_SEPARATORS = "".join(chr(c) for c in range(128) if chr(c) != " " and not chr(c).isalpha())
 WORD = re.compile(r"[A-Za-z]*[^\x00-\x7f](?:[A-Za-z]|[^\x00-\x7f])*")
 CODE = re.compile(INLINE_CODE)
 _CJK = re.compile(r"[\u1100-\u11ff\u3000-\u9fff\uac00-\ud7af\uf900-\ufaff]")
@@ -158,11 +158,11 @@ def _form_rows(b: pa.RecordBatch, short: bool) -> pa.RecordBatch:
 
 
 def document_words(docs: DataFrame) -> DataFrame:
-    """doc_id and the distinct words of its text with non-ASCII characters; by the JVM, over whole texts."""
-    # one pass: inline code matches first and is dropped again
-    found = F.regexp_extract_all("text", F.lit(f"{INLINE_CODE}|{WORD_JAVA}"), F.lit(0))
-    words = F.filter(F.array_distinct(found), lambda w: ~w.startswith("`"))
-    return docs.where(F.col("text").rlike(r"[^\x00-\x7F]")).select("doc_id", words.alias("words")).where(F.size("words") > 0)
+    """doc_id and the distinct words of its text with non-ASCII characters; by the JVM, over whole texts. Everything that is no letter and
+    ASCII becomes a space and the text is split there: no pattern walks the text, so a run of any length is one word."""
+    blank = F.translate(F.regexp_replace("text", INLINE_CODE, " "), _SEPARATORS, " " * len(_SEPARATORS))
+    words = F.array_distinct(F.filter(F.split(blank, " "), lambda w: F.octet_length(w) > F.char_length(w)))
+    return docs.where(F.col("text").rlike(r"[^\x00-\x7F]")).select("doc_id", words.alias("words"))
 
 
 def vocabulary(words: DataFrame) -> DataFrame:
