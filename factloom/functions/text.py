@@ -123,16 +123,19 @@ def near_names(candidates: DataFrame, intents: DataFrame, cap: int = 2, prefix:
     c = candidates.select("name").distinct()
     q = intents.select(F.col("name").alias("intent")).distinct()
     by_prefix = c.withColumn("k", F.left("name", F.lit(prefix))).where(F.length("name") >= prefix).join(q.withColumn("k", F.left("intent", F.lit(prefix))).where(F.length("intent") >= prefix), "k").drop("k")
-    # two edits leave one of three pieces of the intent unchanged, moved by at most two positions
-    pieces = q.withColumn("w", F.floor(F.length("intent") / 3).cast("int")).where("w >= 1").withColumn("i", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))))
-    at = F.col("i") * F.col("w")
-    piece_len = F.when(F.col("i") == 2, F.length("intent") - 2 * F.col("w")).otherwise(F.col("w"))
-    pieces = pieces.select("intent", at.alias("at"), piece_len.alias("len"), F.expr("substring(intent, i * w + 1, CASE WHEN i = 2 THEN length(intent) - 2 * w ELSE w END)").alias("k"))
-    lens = pieces.select("at", "len").distinct()
-    grams = c.join(F.broadcast(lens.limit(10_000))).withColumn("shift", F.explode(F.sequence(F.lit(-cap), F.lit(cap)))).where("at + shift >= 0 AND at + shift + len <= length(name)")
-    grams = grams.select("name", "at", "len", F.expr("substring(name, at + shift + 1, len)").alias("k"))
-    by_piece = grams.join(pieces, ["at", "len", "k"]).select("name", "intent")
-    short = c.where(F.length("name") <= 5).join(F.broadcast(q.where(F.length("intent") < 3).limit(10_000)))
+    # two edits leave one of three pieces of the intent unchanged, moved by at most two positions; a candidate has the pieces of every
+    # intent length that is within two of its own
+    w, third = "(ilen div 3)", "CASE WHEN i = 2 THEN ilen - 2 * (ilen div 3) ELSE ilen div 3 END"
+    three = F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("i")
+    pieces = q.withColumn("ilen", F.length("intent")).where("ilen >= 3").select("intent", "ilen", three)
+    pieces = pieces.select("intent", "ilen", "i", F.expr(f"substring(intent, i * {w} + 1, {third})").alias("k"))
+    grams = c.withColumn("ilen", F.explode(F.sequence(F.greatest(F.lit(3), F.length("name") - cap), F.greatest(F.lit(3), F.length("name") + cap)))).select("name", "ilen", three)
+    grams = grams.withColumn("shift", F.explode(F.sequence(F.lit(-cap), F.lit(cap)))).where(f"i * {w} + shift >= 0 AND i * {w} + shift + {third} <= length(name)")
+    grams = grams.select("name", "ilen", "i", F.expr(f"substring(name, i * {w} + shift + 1, {third})").alias("k")).distinct()
+    by_piece = grams.join(pieces, ["ilen", "i", "k"]).select("name", "intent")
+    # intents of one and two characters have no pieces: names of nearly their length
+    tiny = q.where(F.length("intent") < 3).withColumn("n", F.explode(F.sequence(F.lit(1), F.length("intent") + cap)))
+    short = c.withColumn("n", F.length("name")).join(tiny, "n")
     both = by_prefix.select("name", "intent").unionByName(by_piece).unionByName(short.select("name", "intent")).distinct().where("name <> intent")
     dist = F.levenshtein("name", "intent", cap * 4)
     p = both.withColumn("prefix", shared_prefix(F.col("name"), F.col("intent"))).withColumn("d", F.when(dist < 0, cap * 4 + 1).otherwise(dist))

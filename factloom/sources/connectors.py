@@ -69,3 +69,91 @@ def mentions(docs: DataFrame, names: DataFrame) -> DataFrame:
     t = docs.select("doc_id", "created_at", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("[A-Za-z_][A-Za-z0-9_]*"), F.lit(0)))).alias("name"))
     g = t.join(n, "name", "left_semi").groupBy("name").agg(F.count("*").alias("documents"), F.max("created_at").alias("last_mention"))
     return n.join(g, "name", "left").withColumn("documents", F.coalesce("documents", F.lit(0).cast("bigint")))
+
+
+def markdown_tables(docs: DataFrame) -> DataFrame:
+    """Body rows of pipe tables in documents(doc_id, text): doc_id, first and second cell, trimmed; header and ruler lines are no rows."""
+    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line")).where(F.col("line").rlike(r"^[|].*[|]$"))
+    cells = F.split(F.expr("substring(line, 2, length(line) - 2)"), "[|]")
+    ruler = F.col("line").rlike("^[|][-:| ]+[|]$")
+    rows = lines.select("doc_id", "pos", cells.alias("c"), ruler.alias("ruler"))
+    # the line before a ruler is the header
+    rulers = rows.where("ruler").select("doc_id", (F.col("pos") - 1).alias("pos"))
+    body = rows.where("NOT ruler").join(rulers, ["doc_id", "pos"], "left_anti")
+    return body.select("doc_id", "pos", F.trim(F.col("c")[0]).alias("first"), F.trim(F.get(F.col("c"), F.lit(1))).alias("second"))
+
+
+def component_uses(files: DataFrame) -> DataFrame:
+    """Uses of single-file components and of Markdown with components, files(file_id, ext, text): imports in script blocks, sources of
+    scripts, style assets, and component tags in templates."""
+    patterns = {
+        "import": "import [^;\n]* from ['\"]([^'\"]+)['\"]",
+        "script-src": "<script[^>]* src=['\"]([^'\"]+)['\"]",
+        "style-asset": "@import ['\"]([^'\"]+)['\"]",
+        "component-tag": "<([A-Z][A-Za-z0-9]*)[ />]",
+    }
+    f = files.where(F.col("ext").isin("vue", "svelte", "astro", "mdx"))
+
+    def of(kind: str, rx: str) -> Column:
+        return F.transform(F.array_distinct(F.regexp_extract_all("text", F.lit(rx), F.lit(1))), lambda t: F.struct(F.lit(kind).alias("kind"), t.alias("target")))
+
+    rows = F.flatten(F.array(*[of(k, rx) for k, rx in patterns.items()]))
+    return f.select("file_id", F.explode(rows).alias("u")).select("file_id", "u.*")
+
+
+TOOLS = "id bigint, tool string, words int"
+#: fixed values: runners whose next word is the tool
+RUNNERS = ("npm", "npx", "pnpm", "yarn", "bun", "bunx", "node")
+
+
+def _tools(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    import shlex
+
+    for b in batches:
+        rows = []
+        for i, command in zip(b.column("id").to_pylist(), b.column("command").to_pylist()):
+            lexer = shlex.shlex(command or "", posix=True, punctuation_chars=";&|")
+            lexer.whitespace_split = True
+            try:
+                words = list(lexer)
+            except ValueError:  # a quote that does not close
+                words = (command or "").split()
+            start, n = True, 0
+            tool = None
+            for w in [*words, ";"]:
+                if set(w) <= set(";&|"):
+                    if tool is not None:
+                        rows.append((i, tool, n))
+                    start, n, tool = True, 0, None
+                    continue
+                if start and "=" in w and not w.startswith("-"):
+                    continue  # an environment assignment
+                n += 1
+                if start and w not in RUNNERS and not w.startswith("-") and w not in ("run", "exec"):
+                    tool, start = w, False
+        cols = list(zip(*rows)) if rows else [()] * 3
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.string(), pa.int32()))], names=["id", "tool", "words"])
+
+
+def script_tools(commands: DataFrame) -> DataFrame:
+    """Tools that shell commands(id, command) start, one row each: quoting, separators, assignments and package runners are seen through."""
+    return commands.select("id", "command").mapInArrow(_tools, TOOLS)
+
+
+def glob_pattern(glob: str) -> str:
+    """A glob of one level (*) and any depth (**) as a regular expression over whole paths; braces are alternatives."""
+    import re
+
+    out = []
+    for part in re.findall(r"\*\*/|\*\*|\*|\?|\{[^}]*\}|[^*?{]+|\{", glob):
+        if part in ("**/", "**"):
+            out.append("(?:.*/)?" if part == "**/" else ".*")
+        elif part == "*":
+            out.append("[^/]*")
+        elif part == "?":
+            out.append("[^/]")
+        elif part.startswith("{") and part.endswith("}"):
+            out.append("(?:" + "|".join(re.escape(x) for x in part[1:-1].split(",")) + ")")
+        else:
+            out.append(re.escape(part))
+    return "^" + "".join(out) + "$"

@@ -56,3 +56,29 @@ def manifest(artifacts: dict[str, DataFrame | None], spark: SparkSession) -> Dat
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
+
+
+def cell(text: object) -> str:
+    """A value as a Markdown table cell."""
+    return "" if text is None else str(text).replace("\\", "\\\\").replace("|", "\\|").replace("\n", " ")
+
+
+def markdown_table(df: DataFrame, k: int = 50) -> str:
+    """The first k rows of a ranked frame as a Markdown table; k bounds what reaches the driver."""
+    rows = df.limit(k).collect()
+    head = f"| {' | '.join(df.columns)} |\n|{'---|' * len(df.columns)}"
+    return "\n".join([head, *(f"| {' | '.join(cell(v) for v in r)} |" for r in rows)])
+
+
+def summary_report(title: str, sections: dict[str, DataFrame | None], k: int = 20) -> str:
+    """A Markdown report; a section without data says so instead of being left out."""
+    out = [f"# {title}"]
+    for name, df in sections.items():
+        out += ["", f"## {name}", "", "unavailable" if df is None else markdown_table(df, k)]
+    return "\n".join(out)
+
+
+def exit_code(statuses: dict[str, str], strict: bool = False) -> int:
+    """0 unless a step failed; in strict mode also for drift and for what is unavailable."""
+    bad = {"failed"} | ({"drift", "unavailable"} if strict else set())
+    return int(any(s in bad for s in statuses.values()))
