@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.session import materialize
+
 # fixed values of the near-function policy
 GENERIC_CALL_TOKENS = ("apply", "bind", "call", "catch", "filter", "find", "forEach", "format", "includes", "join", "map", "push", "reduce", "slice", "split", "then", "toString", "trim")
 MIN_IDF, MIN_SIMILARITY, MIN_SCORE = 3.0, 0.34, 0.62
@@ -71,8 +73,10 @@ def token_idf(facts: DataFrame) -> DataFrame:
 def near_functions(facts: DataFrame) -> DataFrame:
     """Every pair of near clones with its score. Members of exact or structure groups and functions without tokens take no part;
     scores are rounded to three places before they are compared."""
+    # facts come from source texts: they are extracted once, and the index that both sides of the join read is written once
+    facts = materialize(facts.select("identity", "name", "body_loc", "statement_count", "param_count", "is_async", "generated", "owner_file", "exact_hash", "structure_hash", "call_tokens"), "near-facts")
     f = significant(facts)
-    idf = token_idf(f)
+    idf = materialize(token_idf(f), "near-idf")
     for key, loc, st in (("exact_hash", 1, 1), ("structure_hash", 3, 2)):
         big = hash_groups(facts, key, loc, st).select(F.col("hash").alias(key), F.lit(True).alias("grouped"))
         member = F.col("grouped") & (F.col("body_loc") >= loc) & (F.col("statement_count") >= st)
@@ -81,7 +85,7 @@ def near_functions(facts: DataFrame) -> DataFrame:
     post = f.select("identity", F.explode("sig").alias("token")).join(idf.where(F.col("idf") >= MIN_IDF).select("token"), "token")
     kept = post.groupBy("identity").agg(F.array_sort(F.collect_list("token")).alias("retained"))
     f = f.join(kept, "identity").withColumn("words", name_tokens(F.col("name")))
-    one = f.select("identity", "is_async", "param_count", "body_loc", "statement_count", "sig", "retained", "words", "generated")
+    one = materialize(f.select("identity", "is_async", "param_count", "body_loc", "statement_count", "sig", "retained", "words", "generated"), "near-index")
     left = one.select(*[F.col(c).alias(f"l_{c}") for c in one.columns]).withColumn("token", F.explode("l_retained"))
     right = one.select(*[F.col(c).alias(f"r_{c}") for c in one.columns]).withColumn("token", F.explode("r_retained"))
     loc_sim, st_sim = range_similarity(F.col("l_body_loc"), F.col("r_body_loc")), range_similarity(F.col("l_statement_count"), F.col("r_statement_count"))
