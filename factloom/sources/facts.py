@@ -28,12 +28,11 @@ FROM {orders} JOIN {lineitem} ON o_orderkey = l_orderkey""",
     "nodes": """
 SELECT 'c' || c_custkey AS file, 'n' || c_nationkey AS submodule, CAST(round(abs(c_acctbal)) AS BIGINT) AS loc, c_acctbal < 0 AS parse_error FROM {customer}
 UNION ALL SELECT 's' || s_suppkey, 'n' || s_nationkey, CAST(round(abs(s_acctbal)) AS BIGINT), s_acctbal < 0 FROM {supplier}""",
-    # ---- call walk between users: has cycles and unreachable parts
+    # ---- a sparse walk over all events: every event is an edge between two of fifty stations of two users; it has cycles and unreachable parts
     "walk": """
-SELECT user_id AS src, CASE WHEN event_id % 3 = 0 THEN (user_id * 7 + event_id % 11) % 149 ELSE user_id + 1 + event_id % 4 END AS dst, event_type = 'view' AS type_only
-FROM {events} WHERE event_id % 41 = 0""",
-    "walk_entries": "SELECT DISTINCT user_id AS file FROM {events} WHERE user_id % 50 = 3",
-    "walk_nodes": "SELECT DISTINCT user_id AS file FROM {events}",
+SELECT user_id * 50 + event_id % 50 AS src, ((user_id * 7 + event_id % 11) % 150) * 50 + (event_id * 7 + user_id) % 50 AS dst, event_type = 'view' AS type_only FROM {events}""",
+    "walk_entries": "SELECT DISTINCT user_id * 50 + event_id % 50 AS file FROM {events} WHERE user_id % 50 = 3",
+    "walk_nodes": "SELECT src AS file FROM {walk} UNION SELECT dst FROM {walk}",
     # ---- definitions and their consumers
     "defs": "SELECT p_brand AS file, 'p' || p_partkey AS name, p_type AS kind, p_size AS line FROM {part}",
     "recent": "SELECT l_partkey, l_suppkey, l_quantity, l_returnflag, l_linestatus FROM {lineitem} WHERE l_shipdate >= (SELECT max(l_shipdate) - INTERVAL 30 DAY FROM {lineitem})",
