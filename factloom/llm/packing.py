@@ -1,64 +1,84 @@
 """Problem 6: fill fixed-capacity containers with documents, by lexical retrieval.
 
-Documents are hashed into shards of bounded size. A shard builds one BM25 inverted index over the token ids of its documents and
-fills, for every pack, one container after another: the largest unused document is the seed, its best-scoring unused neighbours that
-fit go in greedily, and what space they leave takes the largest unused documents that fit. A document longer than a container is
-divided into full containers and a rest, which is packed like any other item; nothing else is divided.
+Documents are put into shards of about equal size by content: the sides of random planes on which their terms lie make a topic, and
+neighbouring topics share a shard; a topic larger than a shard is spread over several. A shard scores every document against every other
+by BM25 over all their token ids and fills, for every pack, one container after another: the largest unused document is the seed, its
+unused neighbours that fit go in best first until none is left that fits, and only then do documents that share nothing with the seed,
+largest first. A document longer than a container is divided into full containers and a rest, which is packed like any other item;
+nothing else is divided.
 
 Cases: documents without tokens (null, empty) go into the shard's first container; a document of exactly the capacity fills one; equal
 documents are items of their own; packs without a positive capacity are left out; an empty table gives an empty result. Shards depend on
-doc_id only, so the result does not depend on the order or the splits of the input, and no source or language is a hot key.
+the documents only, so the result does not depend on the order or the splits of the input, and no source, language or topic is a hot key.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import cache
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.session import materialize
 from .tokens import VOCABULARY, token_counts
 
 #: documents of a shard, about: the index of a shard is held by one task
 SHARD = 4096
-QUERY_TERMS = 12
-NEIGHBOURS = 32
+#: bits of a topic
+TOPIC = 16
+#: neighbours that are put in order at a time; the walk goes on until none is left
+STEP = 32
+#: terms of a dense product at a time
+DENSE = 2048
 K1, B = 1.2, 0.75
 PACKED = "pack_name string, doc_id bigint, piece int, tokens int, container bigint"
 
 
 class Index:
-    """BM25 over the documents of a shard."""
+    """BM25 of every document of a shard as a query, with all its terms, against every document of the shard."""
 
     def __init__(self, terms: list[np.ndarray], tfs: list[np.ndarray], lengths: np.ndarray):
-        self.n = len(terms)
-        docs = np.repeat(np.arange(self.n), [len(t) for t in terms])
+        self.n = n = len(terms)
+        docs = np.repeat(np.arange(n), [len(t) for t in terms])
         flat = np.concatenate(terms) if terms else np.empty(0, np.int32)
         tf = np.concatenate(tfs).astype(np.float32) if tfs else np.empty(0, np.float32)
         _, ids, df = np.unique(flat, return_inverse=True, return_counts=True)
-        idf = np.log(1 + (self.n - df + 0.5) / (df + 0.5)).astype(np.float32)
-        norm = K1 * (1 - B + B * lengths / max(1.0, lengths.mean() if self.n else 1.0)).astype(np.float32)
-        weight = idf[ids] * tf * (K1 + 1) / (tf + norm[docs])
+        idf = np.log(1 + (n - df + 0.5) / (df + 0.5)).astype(np.float32)
+        norm = K1 * (1 - B + B * lengths / max(1.0, lengths.mean() if n else 1.0)).astype(np.float32)
+        weight = (idf[ids] * tf * (K1 + 1) / (tf + norm[docs])).astype(np.float32)
         order = np.argsort(ids, kind="stable")
-        self.posted, self.weights = docs[order], weight[order]
-        self.start = np.concatenate([[0], np.cumsum(df)])
-        # terms of each document by rarity; those of one document only reach no neighbour
-        useful = df[ids] > 1
-        ids, docs, rare = ids[useful], docs[useful], idf[ids[useful]]
-        by = np.lexsort((ids, -rare, docs))
-        self.terms = ids[by]
-        self.first = np.searchsorted(docs[by], np.arange(self.n + 1))
-
-    def neighbours(self, seed: int, allowed: np.ndarray) -> np.ndarray:
-        """Allowed documents that share a query term with the seed, best first, then by position."""
-        lo = self.first[seed]
-        query = self.terms[lo : min(lo + QUERY_TERMS, self.first[seed + 1])]
-        if not len(query):
-            return query
-        spans = [slice(self.start[t], self.start[t + 1]) for t in query]
-        scores = np.bincount(np.concatenate([self.posted[s] for s in spans]), np.concatenate([self.weights[s] for s in spans]), self.n)
-        found = np.flatnonzero((scores > 0) & allowed)
-        return found[np.argsort(-scores[found], kind="stable")[:NEIGHBOURS]]
+        posted, weights = docs[order], weight[order]
+        start = np.concatenate([[0], np.cumsum(df)])
+        self.scores = np.zeros((n, n), np.float32)
+        # frequent terms by dense products, the others along their postings; terms of one document reach no neighbour
+        common = np.flatnonzero(df > max(1, n // 32))
+        for lo in range(0, len(common), DENSE):
+            part = common[lo : lo + DENSE]
+            at = np.concatenate([np.arange(start[t], start[t + 1]) for t in part])
+            col = np.repeat(np.arange(len(part)), df[part])
+            has, gives = np.zeros((n, len(part)), np.float32), np.zeros((len(part), n), np.float32)
+            has[posted[at], col] = 1
+            gives[col, posted[at]] = weights[at]
+            self.scores += has @ gives
+        useful = (df[ids] > 1) & (df[ids] <= max(1, n // 32))
+        ids, docs = ids[useful], docs[useful]
+        first = np.searchsorted(docs, np.arange(n + 1))
+        for i in range(n):
+            spans = [slice(start[t], start[t + 1]) for t in ids[first[i] : first[i + 1]]]
+            if spans:
+                self.scores[i] += np.bincount(np.concatenate([posted[x] for x in spans]), np.concatenate([weights[x] for x in spans]), n)
+
+    def neighbours(self, seed: int, allowed: np.ndarray, least: int | None = None) -> np.ndarray:
+        """Allowed documents that share a term with the seed, best first, then by position: all, or the best `least` and what ties with them."""
+        row = self.scores[seed]
+        found = np.flatnonzero((row > 0) & allowed)
+        if least is not None and len(found) > least:
+            score = row[found]
+            found = found[score >= np.partition(score, len(score) - least)[len(score) - least]]
+        return found[np.argsort(-row[found], kind="stable")]
 
 
 def fill(sizes: np.ndarray, capacity: int, index: Index) -> np.ndarray:
@@ -98,10 +118,11 @@ def fill(sizes: np.ndarray, capacity: int, index: Index) -> np.ndarray:
         take(seed)
         space = capacity - size[seed]
         if have & ((1 << (space + 1)) - 1):
-            for j in index.neighbours(seed, free & (sizes <= space)).tolist():
-                if size[j] <= space:
-                    take(j)
-                    space -= size[j]
+            while space and len(near := index.neighbours(seed, free & (sizes <= space), STEP)):
+                for j in near.tolist():
+                    if size[j] <= space:
+                        take(j)
+                        space -= size[j]
             while space and (j := largest(space)) >= 0:
                 take(j)
                 space -= size[j]
@@ -145,6 +166,68 @@ def _pack(packs: list[tuple[str, int]]):
     return run
 
 
+def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        t, n = np.unique(np.frombuffer(b"".join(b.column("terms").to_pylist()), np.int32), return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(t), pa.array(n.astype(np.int64))], names=["term", "df"])
+
+
+@cache
+def _random(terms: int) -> np.ndarray:
+    return np.random.default_rng(8).standard_normal((terms, TOPIC))
+
+
+def _planes(idf: np.ndarray, df: np.ndarray) -> np.ndarray:
+    """Random planes through the mean of all documents (so that long ones, which are near it, part too), terms weighted by rarity."""
+    weight = idf * df
+    return idf[:, None] * (_random(len(idf)) - weight @ _random(len(idf)) / max(1e-9, weight.sum()))
+
+
+def _topics(b: pa.RecordBatch, planes: np.ndarray) -> np.ndarray:
+    """The topic of every document: on which sides of the planes its terms lie together."""
+    bits = 1 << np.arange(TOPIC)
+    return np.array([(planes[np.frombuffer(t, np.int32)].sum(axis=0) > 0) @ bits for t in b.column("terms").to_pylist()], np.int64)
+
+
+def _with_shard(idf: np.ndarray, df: np.ndarray, many: np.ndarray | None = None, shards: int = 1):
+    """topic of every document, or (many: documents of every topic) its columns with its shard: an equal part of the ranks by topic."""
+    if many is not None:
+        start, n = np.cumsum(many) - many, max(1, int(many.sum()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        planes = _planes(idf, df)
+        for b in batches:
+            topic = _topics(b, planes)
+            if many is None:
+                yield pa.RecordBatch.from_arrays([pa.array(topic)], names=["topic"])
+            else:
+                part = b.column("part").to_numpy() * many[topic] >> 20
+                shard = (start[topic] + np.where(many[topic] * shards > n, part, 0)) * shards // n
+                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in COUNTED), pa.array(shard)], names=[*COUNTED, "shard"])
+
+    return run
+
+
+COUNTED = ("doc_id", "n_tokens", "terms", "tfs")
+
+
+def sharded(counted: DataFrame, shard_docs: int) -> DataFrame:
+    """counted(doc_id, n_tokens, terms, tfs) with the shard of every document. Counts of terms and topics come to the driver: as many rows
+    as the vocabulary has, and 2 ** TOPIC."""
+    got = counted.select("terms").mapInArrow(_term_counts, "term int, df bigint").groupBy("term").agg(F.sum("df").alias("df")).toArrow()
+    n = counted.count()
+    df = np.zeros(int(got.column("term").to_numpy().max(initial=-1)) + 1, np.int64)
+    df[got.column("term").to_numpy()] = got.column("df").to_numpy()
+    idf = np.where(df > 0, np.log(1 + (n - df + 0.5) / (df + 0.5)), 0.0)
+    got = counted.select("terms").mapInArrow(_with_shard(idf, df), "topic bigint").groupBy("topic").count().toArrow()
+    many = np.zeros(1 << TOPIC, np.int64)
+    many[got.column("topic").to_numpy()] = got.column("count").to_numpy()
+    run = _with_shard(idf, df, many, max(1, -(-n // shard_docs)))
+    kinds = dict(counted.dtypes)
+    part = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)).cast("bigint").alias("part")
+    return counted.select(*COUNTED, part).mapInArrow(run, ", ".join(f"{c} {kinds[c]}" for c in COUNTED) + ", shard bigint")
+
+
 def pack_documents(docs: DataFrame, packs: DataFrame, vocabulary: str = VOCABULARY, shard_docs: int = SHARD) -> DataFrame:
     """pack_name, doc_id, piece, tokens, container of every piece of docs(doc_id, text) for every row of
     packs(pack_name, capacity_tokens), a table of fixed size."""
@@ -152,12 +235,11 @@ def pack_documents(docs: DataFrame, packs: DataFrame, vocabulary: str = VOCABULA
     if len(rows) > 1000:
         raise ValueError("pack_sizes is larger than a list of packs may be")
     sizes = sorted((r.pack_name or "", r.capacity_tokens) for r in rows)
-    docs = docs.where(F.col("doc_id").isNotNull())
-    shards = max(1, -(-docs.count() // shard_docs))
-    counted = token_counts(docs, ["doc_id"], vocabulary, terms=True).withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(shards)))
     if not sizes:
-        return counted.sparkSession.createDataFrame([], PACKED)
-    return counted.groupBy("shard").applyInArrow(_pack(sizes), PACKED)
+        return docs.sparkSession.createDataFrame([], PACKED)
+    docs = docs.where(F.col("doc_id").isNotNull())
+    counted = materialize(token_counts(docs, ["doc_id"], vocabulary, terms=True), "pack-counts")
+    return sharded(counted, shard_docs).groupBy("shard").applyInArrow(_pack(sizes), PACKED)
 
 
 def unused_space(packed: DataFrame, packs: DataFrame) -> DataFrame:

@@ -67,6 +67,32 @@ def test_neighbours_share_words():
     assert 7 not in index.neighbours(3, allowed)
 
 
+def test_all_terms_and_neighbours_count():
+    # 0 shares twelve rare terms with 1 only, and sixty less rare ones with each of 2 to 61
+    rare, rest = np.arange(12, dtype=np.int32), np.arange(100, 160, dtype=np.int32)
+    terms = [np.concatenate([rare, rest]), rare, *[rest] * 60, np.array([999], np.int32)]
+    index = packing.Index(terms, [np.ones(len(t), np.uint8) for t in terms], np.array([len(t) for t in terms]))
+    assert set(index.neighbours(0, np.ones(63, bool)).tolist()) - {0} == set(range(1, 62))
+    # the container is filled with neighbours, though a larger document that shares nothing would fit
+    sizes = np.array([10, *[1] * 61, 9])
+    box = packing.fill(sizes, 71, index)
+    assert len(set(box[:62])) == 1 and box[62] != box[0]
+
+
+def test_shards_by_content(spark):
+    rng = random.Random(4)
+    topics = [WORDS[:6], WORDS[6:]]
+    df = spark.createDataFrame([(i, "go " + " ".join(rng.choice(topics[i % 2]) for _ in range(60))) for i in range(200)], "doc_id bigint, text string")
+    got = packing.sharded(tokens.token_counts(df, ["doc_id"], terms=True), 100).select("doc_id", "shard").collect()
+    n = defaultdict(int)
+    for r in got:
+        n[r.shard, r.doc_id % 2] += 1
+    assert len(got) == 200 and sum(max(n[s, 0], n[s, 1]) for s in {s for s, _ in n}) > 160
+    same = spark.createDataFrame([(i, "alpha beta") for i in range(500)], "doc_id bigint, text string")
+    sizes = [r["count"] for r in packing.sharded(tokens.token_counts(same, ["doc_id"], terms=True), 100).groupBy("shard").count().collect()]
+    assert len(sizes) == 5 and max(sizes) < 200
+
+
 def test_empty(spark):
     packs = spark.createDataFrame([("m", 128)], "pack_name string, capacity_tokens int")
     none = spark.createDataFrame([], "doc_id bigint, text string")
