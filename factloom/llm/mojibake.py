@@ -4,7 +4,9 @@ Words are maximal runs of letters and non-ASCII characters that hold at least on
 backticks) is cited text and is left out. Every distinct clean corpus word is garbled under every encoding chain (what one would read
 had its bytes been decoded wrongly, once or several times, strictly or with losses), and the distinct words of the documents are
 hash-joined against this table. A match is verified: the original must be told apart from chance by its length, and, unless
-the chain starts from UTF-8 (whose byte patterns do not arise by chance), occur in more documents than the garbled form.
+the chain starts from UTF-8 (whose byte patterns do not arise by chance) or the garbled form holds control or replacement characters
+(which no genuine word does), occur in more distinct texts than the garbled form. Matches in equally many texts, and those of short words, count
+where a document has several of one chain whose garbled forms look less like words than their originals.
 
 Cases: null and empty texts have no words; a garbled word whose original occurs nowhere is not found by itself, but the rest of its
 stretch is; originals that a lossy chain cannot tell apart count as found but are not restored; equal texts are judged alike; an
@@ -17,6 +19,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import cache
+from unicodedata import category, normalize
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -36,6 +39,8 @@ WORD = re.compile(r"[A-Za-z]*[^\x00-\x7f](?:[A-Za-z]|[^\x00-\x7f])*")
 CODE = re.compile(INLINE_CODE)
 _CJK = re.compile(r"[\u1100-\u11ff\u3000-\u9fff\uac00-\ud7af\uf900-\ufaff]")
 _UNCLEAN = re.compile(r"[\x80-\x9f\ufffd]")
+#: what matches of one chain that prove nothing alone need in a document: distinct words, and letters of their originals
+TOGETHER, LETTERS = 2, 8
 
 
 @cache
@@ -80,6 +85,11 @@ def is_clean(word: str) -> bool:
     return True
 
 
+def oddity(word: str) -> int:
+    """How little a word looks like one: its non-ASCII characters that are no letters, ligatures or modifiers, and capitals after small letters."""
+    return sum(c > "\x7f" and (category(c) not in ("Ll", "Lu", "Lo") or normalize("NFKC", c) != c) for c in word) + sum(a.islower() and b.isupper() for a, b in zip(word, word[1:]))
+
+
 def garbled_forms(word: str, weak: dict[str, list[str]] | None = None) -> dict[str, tuple[str, bool]]:
     """garbled word -> (chain, whether the original must be the more frequent of the two). weak takes the forms that are too short to
     prove anything by themselves, with their chains."""
@@ -92,8 +102,9 @@ def garbled_forms(word: str, weak: dict[str, list[str]] | None = None) -> dict[s
             for g in WORD.findall(t):
                 if g != word and sum(c > "\x7f" for c in g) >= least:
                     old = out.get(g)
-                    if old is None or (old[1] and not frequent):
-                        out[g] = (chain, frequent)
+                    doubted = frequent and not (len(g) > 1 and _UNCLEAN.search(g))
+                    if old is None or (old[1] and not doubted):
+                        out[g] = (chain, doubted)
 
     utf8 = word.encode("utf-8")
     for page in SINGLE:
@@ -132,75 +143,96 @@ def garbled_forms(word: str, weak: dict[str, list[str]] | None = None) -> dict[s
     return out
 
 
-FORMS = "garbled string, original string, chain string, frequent boolean, df bigint"
-
-
-def _forms(short: bool):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield _form_rows(b, short)
+FORMS = "garbled string, original string, chain string, frequent boolean, short boolean, odd int, letters int, df bigint, copies bigint"
 
-    return run
 
-
-def _form_rows(b: pa.RecordBatch, short: bool) -> pa.RecordBatch:
-    """The forms of the words of a batch: those that prove a wrong reading, or (short) those that only fit a proven one."""
-    cols: tuple[list, ...] = ([], [], [], [], [])
-    for word, df in zip(b.column("word").to_pylist(), b.column("df").to_pylist()):
-        if is_clean(word):
-            weak: dict[str, list[str]] = {}
-            strong = garbled_forms(word, weak)
-            rows = [(g, word, c, True, df) for g, chains in weak.items() for c in chains] if short else [(g, word, c, f, df) for g, (c, f) in strong.items()]
-            for row in rows:
-                for c, x in zip(cols, row):
-                    c.append(x)
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.string(), pa.string(), pa.bool_(), pa.int64()))], names=["garbled", "original", "chain", "frequent", "df"])
+def _forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The forms of the words of a batch: those that prove a wrong reading, and (short) those that only fit a proven one. odd: by
+    how much the form looks less like a word than its original."""
+    for b in batches:
+        rows = []
+        for word, df, copies in zip(*(b.column(c).to_pylist() for c in ("word", "df", "copies"))):
+            if is_clean(word):
+                weak: dict[str, list[str]] = {}
+                strong = garbled_forms(word, weak)
+                plain, letters = oddity(word), sum(c.isalpha() for c in word)
+                rows += [(g, word, c, f, False, oddity(g) - plain, letters, df, copies) for g, (c, f) in strong.items()]
+                rows += [(g, word, c, True, True, oddity(g) - plain, letters, df, copies) for g, chains in weak.items() for c in chains]
+        cols = list(zip(*rows)) or [()] * 9
+        kinds = (pa.string(), pa.string(), pa.string(), pa.bool_(), pa.bool_(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=[c.split()[0] for c in FORMS.split(", ")])
 
 
 def document_words(docs: DataFrame) -> DataFrame:
-    """doc_id and the distinct words of its text with non-ASCII characters; by the JVM, over whole texts. Everything that is no letter and
+    """doc_id, a key of the text and the distinct words of its text with non-ASCII characters; by the JVM, over whole texts. Everything that is no letter and
     ASCII becomes a space and the text is split there: no pattern walks the text, so a run of any length is one word."""
     blank = F.translate(F.regexp_replace("text", INLINE_CODE, " "), _SEPARATORS, " " * len(_SEPARATORS))
     words = F.array_distinct(F.filter(F.split(blank, " "), lambda w: F.octet_length(w) > F.char_length(w)))
-    return docs.where(F.col("text").rlike(r"[^\x00-\x7F]")).select("doc_id", words.alias("words"))
+    return docs.where(F.col("text").rlike(r"[^\x00-\x7F]")).select("doc_id", F.xxhash64("text").alias("text_key"), words.alias("words"))
 
 
 def vocabulary(words: DataFrame) -> DataFrame:
-    counted = words.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("df"))
+    """word, the number of distinct texts that have it, and of documents."""
+    texts = words.groupBy("text_key").agg(F.any_value("words").alias("words"), F.count("*").alias("n"))
+    counted = texts.select("n", F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("df"), F.sum("n").alias("copies"))
     return materialize(counted, "mojibake-vocabulary")
 
 
-def _joined(vocab: DataFrame, short: bool) -> DataFrame:
-    forms = spread(vocab).mapInArrow(_forms(short), FORMS)
-    seen = vocab.select(F.col("word").alias("garbled"), F.col("df").alias("own_df"))
-    return forms.join(seen, "garbled")
+def matches(vocab: DataFrame) -> DataFrame:
+    """The forms that are words of the corpus, own_df and own_copies: the texts and documents that have them."""
+    seen = vocab.select(F.col("word").alias("garbled"), F.col("df").alias("own_df"), F.col("copies").alias("own_copies"))
+    return materialize(spread(vocab).mapInArrow(_forms, FORMS).join(seen, "garbled"), "mojibake-matches")
+
 
+#: copies of a text decide only between words in equally many texts, and not for an original that looks less like a word
+_SURE = "NOT short AND (NOT frequent OR df > own_df OR (df = own_df AND copies > own_copies AND odd >= 0))"
 
-def verified_words(vocab: DataFrame) -> DataFrame:
+
+def verified_words(hits: DataFrame) -> DataFrame:
     """garbled, original (null where a lossy chain leaves several), chain of every garbled word of the corpus."""
-    hits = _joined(vocab, False).where(~F.col("frequent") | (F.col("df") > F.col("own_df")))
-    # the most frequent original, then the first by text
-    best = F.max_by(F.struct("original", "chain"), F.struct(~F.col("frequent"), "df", "original"))
-    hits = hits.groupBy("garbled").agg(best.alias("b"), F.count_distinct("original").alias("n"))
+    more = F.expr("df > own_df OR copies > own_copies")
+    hits = hits.where(_SURE)
+    # originals that are more frequent than the form, the most frequent, then the first by text
+    best = F.max_by(F.struct("original", "chain"), F.struct(~F.col("frequent"), more, "df", "original"))
+    hits = hits.groupBy("garbled").agg(best.alias("b"), F.coalesce(F.nullif(F.count_distinct(F.when(more, F.col("original"))), F.lit(0)), F.count_distinct("original")).alias("n"))
     lossy = F.col("garbled").contains("\ufffd") & (F.col("n") > 1)
     return hits.select("garbled", F.when(~lossy, F.col("b.original")).alias("original"), F.col("b.chain").alias("chain"))
 
 
+def _by_chain(hits: DataFrame) -> DataFrame:
+    """garbled, chain, original, letters, the most frequent original of each chain."""
+    best = F.max_by(F.struct("original", "letters"), F.struct("df", "original"))
+    return hits.groupBy("garbled", "chain").agg(best.alias("b")).select("garbled", "chain", "b.original", "b.letters")
+
+
+def _together(pairs: DataFrame, hits: DataFrame, found: DataFrame) -> DataFrame:
+    """Rows like found for words that prove nothing alone, but several of one chain in their document do."""
+    likely = materialize(_by_chain(hits.where(f"odd > 0 AND df >= own_df AND letters >= 2 AND NOT ({_SURE})")), "mojibake-likely")
+    maybe = lookup(pairs, likely, ["garbled"], likely.count())
+    proven = maybe.groupBy("doc_id", "chain").agg(F.count("*").alias("n"), F.sum("letters").alias("l")).where((F.col("n") >= TOGETHER) & (F.col("l") >= LETTERS))
+    more = maybe.join(proven, ["doc_id", "chain"]).join(found.select("doc_id", "garbled"), ["doc_id", "garbled"], "left_anti")
+    # the chain with the most words, then the first by name
+    best = F.min_by(F.struct("original", "chain"), F.struct(-F.col("n"), "chain"))
+    return more.groupBy("doc_id", "garbled").agg(best.alias("b")).select("doc_id", "garbled", "b.original", "b.chain")
+
+
 def affected(docs: DataFrame, short_words: bool = False) -> DataFrame:
-    """doc_id, garbled, original, chain of every garbled word of every affected document. short_words: also the words too short to be
-    proof, where a longer word of the same document proves their chain."""
+    """doc_id, garbled, original, chain of every garbled word of every affected document. short_words: also the words that are no
+    proof (too short, or no rarer than their original), where another word of the same document proves their chain."""
     words = materialize(document_words(docs.select("doc_id", "text")), "mojibake-words")
-    vocab = vocabulary(words)
-    table = materialize(verified_words(vocab), "mojibake-verified")
+    hits = matches(vocabulary(words))
+    table = materialize(verified_words(hits), "mojibake-verified")
     pairs = words.select("doc_id", F.explode("words").alias("garbled"))
     found = lookup(pairs, table, ["garbled"], table.count())
+    found = materialize(found, "mojibake-found")
+    found = found.unionByName(_together(pairs, hits, found))
     if not short_words:
         return found
     found = materialize(found, "mojibake-found")
     chains = found.select("doc_id", "chain").distinct()
-    short = _joined(vocab, True).groupBy("garbled", "chain").agg(F.max_by("original", F.struct("df", "original")).alias("original"))
+    weak = _by_chain(hits.where(f"short OR (odd > 0 AND df >= own_df AND NOT ({_SURE}))"))
     rest = words.join(chains.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", F.explode("words").alias("garbled")).join(found.select("doc_id", "garbled"), ["doc_id", "garbled"], "left_anti")
-    more = rest.join(chains, "doc_id").join(short, ["garbled", "chain"])
+    more = rest.join(chains, "doc_id").join(weak, ["garbled", "chain"])
     more = more.groupBy("doc_id", "garbled").agg(F.min_by(F.struct("original", "chain"), "chain").alias("b")).select("doc_id", "garbled", "b.original", "b.chain")
     return found.unionByName(more)
 

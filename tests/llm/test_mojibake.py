@@ -52,6 +52,22 @@ def test_round_trip_of_forms():
     assert not m.is_clean("été".encode().decode("latin-1"))
 
 
+def test_copies_and_ties(spark):
+    de, fr = CLEAN[1], CLEAN[0]
+    short = "Où, là, dès, né, été."
+    bad = [
+        *[de.encode("cp1252").decode("mac_roman")] * 5,  # more copies than its clean words have
+        *[fr.encode("cp1252").decode("utf-8", "replace")] * 5,
+        "Überprüfung der Größenänderung".encode("cp1252").decode("cp850"),  # clean once, garbled once
+        short.encode("cp1252").decode("mac_roman"),  # short words only
+    ]
+    good = ["Überprüfung der Größenänderung", short, "‹one› † ‡", "MAÇÃ, AVÔ"]
+    got, df, n = found(spark, bad + good)
+    assert got == set(range(len(bad)))
+    out = {r.doc_id - n: r.restored_text for r in m.restored(df).collect()}
+    assert out[0] == de and out[10] == good[0] and out[11] == short
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id bigint, text string")
     assert m.affected_ids(df).count() == 0 and m.restored(df).count() == 0
