@@ -121,7 +121,8 @@ def block_clones(tokens: DataFrame, k: int = 50, min_lines: int = 5, chunk: Colu
 
     Every window of k tokens is hashed. Equal windows are put in order (file, pos) within chunks of files (64 by the hash of the file, or
     the given column), and neighbours are linked, as are the first windows of the chunks; so a window with m occurrences gives m - 1 links, and
-    boilerplate that is everywhere is not one unit of work. Links of one diagonal (same two files, same distance) at consecutive
+    boilerplate that is everywhere is not one unit of work. An occurrence whose neighbour overlaps it is linked to the first one of its file
+    that does not, and the first of a file to the first of the next file, whatever overlaps between. Links of one diagonal (same two files, same distance) at consecutive
     positions are one run."""
     w = Window.partitionBy("file").orderBy("pos").rowsBetween(0, k - 1)
     grams = tokens.withColumn("hash", F.xxhash64(F.collect_list("value").over(w))).withColumn("n", F.count("*").over(w)).withColumn("end_line", F.last("line").over(w)).where(F.col("n") == k)
@@ -129,9 +130,19 @@ def block_clones(tokens: DataFrame, k: int = 50, min_lines: int = 5, chunk: Colu
     after = lambda v: [F.lead(c).over(v).alias(f"{c}2") for c in ("file", "pos", "line", "end_line")]
     within = Window.partitionBy("hash", "chunk").orderBy("file", "pos")
     inner = grams.select("hash", "file", "pos", "line", "end_line", *after(within))
+    # the first occurrence of the file at a distance of k and more, where the neighbour overlaps
+    far = Window.partitionBy("hash", "file").orderBy("pos").rangeBetween(k, Window.unboundedFollowing)
+    own = Window.partitionBy("hash", "file").orderBy("pos")
+    again = grams.withColumn("next", F.lead("pos").over(own)).withColumn("f", F.first(F.struct("file", "pos", "line", "end_line")).over(far))
+    again = again.where((F.col("next") - F.col("pos") < k) & F.col("f").isNotNull()).select("hash", "file", "pos", "line", "end_line", *[F.col(f"f.{c}").alias(f"{c}2") for c in ("file", "pos", "line", "end_line")])
+    # a file with overlapping occurrences: its first to the first of the next file of the chunk
+    firsts = grams.groupBy("hash", "chunk", "file").agg(F.min(F.struct("pos", "line", "end_line")).alias("h"), F.max("pos").alias("end")).select("hash", "chunk", "file", "h.*", "end")
+    crossing = firsts.select("hash", "file", "pos", "line", "end_line", "end", *after(Window.partitionBy("hash", "chunk").orderBy("file"))).where("end > pos")
+    lapped = grams.withColumn("next", F.lead("pos").over(own)).where(F.col("next") - F.col("pos") < k).select("hash", "file").distinct()
+    crossing = crossing.join(lapped, ["hash", "file"], "left_semi").drop("end")
     heads = grams.groupBy("hash", "chunk").agg(F.min(F.struct("file", "pos", "line", "end_line")).alias("h")).select("hash", "chunk", "h.*")  # 64 rows a hash at most
     outer = heads.select("hash", "file", "pos", "line", "end_line", *after(Window.partitionBy("hash").orderBy("chunk")))
-    links = inner.unionByName(outer).where("file2 IS NOT NULL")
+    links = inner.unionByName(outer).unionByName(again).unionByName(crossing).where("file2 IS NOT NULL")
     links = links.where((F.col("file") != F.col("file2")) | (F.col("pos2") - F.col("pos") >= k))
     diag = Window.partitionBy("file", "file2", F.col("pos2") - F.col("pos")).orderBy("pos")
     runs = links.withColumn("island", F.col("pos") - F.row_number().over(diag)).withColumn("delta", F.col("pos2") - F.col("pos"))

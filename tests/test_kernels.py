@@ -76,6 +76,21 @@ def test_block_clones(spark):
         assert joined == {1, 2, 11, 12, 21, 22} and len(links) == 5
 
 
+def test_block_clones_of_periodic_files(spark):
+    k, files = 10, {1: [f"t{i % 4}" for i in range(60)], 2: [f"t{i % 4}" for i in range(40)]}
+    rows = [(f, i, v, i) for f, vs in files.items() for i, v in enumerate(vs)]
+    got = clones.block_clones(spark.createDataFrame(rows, "file bigint, pos bigint, value string, line bigint"), k=k, chunk=F.lit(0)).collect()
+    links = {(r.file, p, r.file2, p + r.start2 - r.start) for r in got for p in range(r.start, r.start + r.tokens - k + 1)}
+    want = set()  # every window to the first equal one of its file that does not overlap it
+    for f, vs in files.items():
+        for p in range(len(vs) - k + 1):
+            later = [q for q in range(p + k, len(vs) - k + 1) if vs[q : q + k] == vs[p : p + k]]
+            want |= {(f, p, f, q) for q in later[:1]}
+    assert want and want == {x for x in links if x[0] == x[2]}
+    # the four windows of the period join the files at their first places, in one run
+    assert {(1, p, 2, p) for p in range(4)} <= links
+
+
 def test_multiset_delta(spark):
     mk = lambda ks: spark.createDataFrame([(k, "f", i) for i, k in enumerate(ks)], "occurrence_key string, file string, line bigint")
     got = Counter((r.occurrence_key, r.label) for r in deltas.occurrence_delta(mk("aabc"), mk("aaabd")).collect())
