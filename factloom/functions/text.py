@@ -150,3 +150,13 @@ def package_root(spec: Column) -> Column:
 
 def specifier_kind(spec: Column) -> Column:
     return F.when(spec.startswith("."), "relative").when(spec.startswith("/"), "absolute").when(spec.rlike("^(node:|https?:)"), "builtin").when(spec.startswith("@/") | spec.startswith("~/"), "alias").otherwise("package")
+
+
+def barrel_discipline(imports: DataFrame, packages: DataFrame) -> DataFrame:
+    """Imports(spec) of the root of every package against those of its subpaths; compliance is the share of subpaths in percent, null
+    without imports. packages(package): a specifier belongs to the package that is its root, so this is an equality join."""
+    own = imports.where("spec IS NOT NULL").select(package_root(F.col("spec")).alias("package"), "spec")
+    g = own.groupBy("package").agg(F.count_if(F.col("spec") == F.col("package")).alias("root_imports"), F.count_if(F.col("spec") != F.col("package")).alias("subpath_imports"))
+    zero = [F.coalesce(c, F.lit(0).cast("bigint")).alias(c) for c in ("root_imports", "subpath_imports")]
+    j = packages.select("package").where("package IS NOT NULL").distinct().join(g, "package", "left").select("package", *zero).withColumn("total", F.col("root_imports") + F.col("subpath_imports"))
+    return j.withColumn("compliance", F.round(F.try_divide(F.lit(100.0) * F.col("subpath_imports"), F.col("total")), 1))

@@ -168,3 +168,26 @@ def components(edges: DataFrame, kernel_edges: int = KERNEL_EDGES) -> DataFrame:
 def component_list(parts: DataFrame, k: int = 10) -> DataFrame:
     """The k largest components: size descending, smallest node ascending."""
     return parts.groupBy("component").agg(F.count("*").alias("size")).orderBy(F.col("size").desc(), F.col("component").asc()).limit(k)
+
+
+def chain_ends(links: DataFrame) -> DataFrame:
+    """src, end, steps: where the chain that begins with every link(src, dst) ends. A node hands on to one other (the least, where it
+    is given several); a chain that runs into a cycle has no end (null, null).
+
+    Links are doubled: each round joins every open chain with the one that begins at its end, so a chain of n links takes log2(n)
+    rounds; a chain that is longer than there are links is in a cycle. Finished chains leave the rounds."""
+    own = links.where("src IS NOT NULL AND dst IS NOT NULL").groupBy("src").agg(F.min("dst").alias("dst"))
+    hops = materialize(own.select("src", "dst", F.lit(1).cast("bigint").alias("steps"), F.lit(False).alias("done")), "chain")
+    total, reach = hops.count(), 1
+    while not hops.where("NOT done").isEmpty():
+        ends = hops.where("done")
+        if reach > total:
+            lost = hops.where("NOT done").select("src", F.lit(None).cast(hops.schema["dst"].dataType).alias("dst"), F.lit(None).cast("bigint").alias("steps"), F.lit(True).alias("done"))
+            hops = ends.unionByName(lost)
+            break
+        nxt = hops.select(F.col("src").alias("dst"), F.col("dst").alias("far"), F.col("steps").alias("more"), F.col("done").alias("over"))
+        j = hops.where("NOT done").join(nxt, "dst", "left")
+        moved = j.select("src", F.coalesce("far", "dst").alias("dst"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"), F.coalesce("over", F.lit(True)).alias("done"))
+        hops = materialize(ends.unionByName(moved), "chain")
+        reach *= 2
+    return hops.select("src", F.col("dst").alias("end"), "steps")

@@ -48,20 +48,29 @@ def dead_category(uses: Column) -> Column:
     return F.when(bad, F.raise_error(F.lit("file_internal_uses must be a count"))).when(uses == 0, "C").when(uses <= 2, "A").otherwise("B")
 
 
+IDENTIFIER = "[A-Za-z_$][A-Za-z0-9_$]*"
+
+
+def identifiers(files: DataFrame) -> DataFrame:
+    """file_id, name, n: how often every identifier stands in the text of a file. Texts are cut into identifiers once, by the map side."""
+    words = files.select("file_id", F.explode(F.regexp_extract_all("text", F.lit(IDENTIFIER), F.lit(0))).alias("name"))
+    return words.groupBy("file_id", "name").agg(F.count("*").alias("n"))
+
+
 def internal_uses(defs: DataFrame, files: DataFrame) -> DataFrame:
-    """Occurrences of every name in the text of its own file, its definition not counted. defs(file_id, name), files(file_id, text)."""
-    j = defs.join(files.select("file_id", "text"), "file_id")
-    n = (F.length("text") - F.length(F.replace("text", F.col("name"), F.lit("")))) / F.length("name")
-    return j.select("file_id", "name", F.greatest(F.lit(0), n.cast("bigint") - 1).alias("uses"))
+    """Occurrences of every name as an identifier of its own file, its definition not counted. defs(file_id, name), files(file_id, text)."""
+    j = defs.join(identifiers(files), ["file_id", "name"], "left")
+    return j.select("file_id", "name", F.greatest(F.lit(0).cast("bigint"), F.coalesce("n", F.lit(0)) - 1).alias("uses"))
 
 
 def unused_dependencies(declared: DataFrame, observed: DataFrame | None) -> DataFrame:
-    """Status of every declared dependency: used, else muted for the first reason that holds, else review. Without an
-    observation nothing is known to be unused: 'unavailable'."""
+    """Status of every declared dependency: used, else muted for the first reason that holds, else review. Observations count for
+    their package where they name one (package_dir), else for all. Without any, nothing is known to be unused: 'unavailable'."""
     d = declared
     if observed is None:
         return d.select("package_dir", "dependency", F.lit("unavailable").alias("status"), F.lit("no-import-evidence").alias("reason"))
-    d = d.join(observed.select("dep_root", F.lit(True).alias("seen")).distinct(), "dep_root", "left")
+    keys = [k for k in ("package_dir", "dep_root") if k in observed.columns]
+    d = d.join(observed.select(*keys, F.lit(True).alias("seen")).distinct(), keys, "left")
     reason = F.when(F.col("seen"), "import-consumer").when(F.col("script_tool"), "script-tool").when(F.col("section") == "peer", "peer-dependency").when(F.col("section") == "optional", "optional-dependency").when(F.col("type_package"), "type-package").otherwise("no-observed-consumer")
     status = F.when(F.col("seen"), "used").when(reason == "no-observed-consumer", "review-unused").otherwise("muted")
     return d.select("package_dir", "dependency", status.alias("status"), reason.alias("reason"))
@@ -79,19 +88,55 @@ def staleness(defs: DataFrame, touches: DataFrame, now: str, fossil: int = 365,
     return defs.join(last, "name", "left").select("file", "name", age.alias("age_days"), tier.alias("tier"))
 
 
-def runtime_evidence(defs: DataFrame, hits: DataFrame | None) -> DataFrame:
-    """Execution status of definitions: type-only kinds have none; a file without any coverage is untested; no entry in a covered
-    file is uncovered; zero hits is dead-confirmed."""
-    if hits is None:
+#: fixed values: kinds of declarations that leave nothing to execute
+TYPE_ONLY = ("TSInterfaceDeclaration", "TSTypeAliasDeclaration", "TSModuleDeclaration")
+#: lines around a definition whose statements stand for it where no function encloses it
+NEAR_LINES = 50
+
+
+def runtime_evidence(defs: DataFrame, statements: DataFrame | None, functions: DataFrame | None = None) -> DataFrame:
+    """Execution status of defs(file, name, kind, line). statements(file, line, hits) are those of the coverage report, a file without
+    any has one row with a null line; functions(file, start, end, hits) are the covered functions.
+
+    type-only kinds have no execution; a file that is not in the report is uncovered, one without statements is untested. The hits of
+    the innermost function around the definition decide, or without one those of all statements within 50 lines: executed (of a
+    definition that looks dead, so trust in it is low) or dead-confirmed."""
+    if statements is None:
         return defs.select("file", "name", F.lit("unavailable").alias("status"), F.lit("low").alias("confidence"))
-    j = defs.join(hits.select(F.col("symbol").alias("name"), "hits"), "name", "left")
-    covered = j.groupBy("file").agg(F.bool_or(F.col("hits").isNotNull()).alias("file_covered"))
-    j = j.join(covered, "file")
-    status = F.when(F.col("kind").startswith("STANDARD"), "type-only").when(~F.col("file_covered"), "file-untested").when(F.col("hits").isNull(), "uncovered").when(F.col("hits") > 0, "executed").otherwise("dead-confirmed")
-    conf = F.when(status.isin("executed", "dead-confirmed"), "high").when(status == "uncovered", "medium").otherwise("low")
+    files = statements.groupBy("file").agg(F.count("line").alias("statements"))
+    d = defs.select("file", "name", "kind", "line").distinct()
+    points = d.select("file", "line").where("line IS NOT NULL").distinct()
+    # statements within the distance meet their definitions in blocks of lines
+    block = F.explode(F.array(*[F.floor(F.col("line") / NEAR_LINES) + i for i in (-1, 0, 1)])).alias("block")
+    per_line = statements.where("line IS NOT NULL").groupBy("file", "line").agg(F.sum("hits").alias("hits"))
+    near = points.select("file", "line", block).join(per_line.select(F.col("file").alias("f"), F.col("line").alias("at"), "hits", F.floor(F.col("line") / NEAR_LINES).alias("b")), (F.col("file") == F.col("f")) & (F.col("block") == F.col("b")) & (F.abs(F.col("at") - F.col("line")) <= NEAR_LINES))
+    near = near.groupBy("file", "line").agg(F.sum("hits").alias("near_hits"))
+    j = d.join(files, "file", "left").join(near, ["file", "line"], "left")
+    if functions is not None:
+        from .deltas import innermost
+
+        spans = functions.groupBy("file", "start", "end").agg(F.sum("hits").alias("name"))
+        inner = innermost(points.withColumn("id", F.concat_ws(":", "file", "line")), spans).select("file", "line", F.col("name").alias("own_hits"))
+        j = j.join(inner, ["file", "line"], "left")
+    else:
+        j = j.withColumn("own_hits", F.lit(None).cast("bigint"))
+    hits = F.coalesce("own_hits", "near_hits", F.lit(0))
+    status = F.when(F.col("kind").isin(*TYPE_ONLY), "type-only").when(F.col("statements").isNull(), "uncovered").when(F.col("statements") == 0, "file-untested").when(hits > 0, "executed").otherwise("dead-confirmed")
+    conf = F.when(status == "dead-confirmed", "high").when(status == "executed", "low").otherwise("medium")
     return j.select("file", "name", status.alias("status"), conf.alias("confidence"))
 
 
+def containing_package(files: DataFrame, packages: DataFrame) -> DataFrame:
+    """The deepest package around every file, or null. files(repo, path), packages(repo, package_dir), '' for the root of a repo.
+    A file meets packages by its leading directories, so this is an equality join; `a` does not contain `ab/c`."""
+    parts = F.split("path", "/")
+    above = F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda i: F.array_join(F.slice(parts, 1, i), "/"))
+    each = files.select("repo", "path").where("path IS NOT NULL").distinct().withColumn("package_dir", F.explode(above))
+    hit = each.join(packages.select("repo", "package_dir").distinct(), ["repo", "package_dir"])
+    best = hit.groupBy("repo", "path").agg(F.max_by("package_dir", F.length("package_dir")).alias("package_dir"))
+    return files.select("repo", "path").distinct().join(best, ["repo", "path"], "left")
+
+
 def call_graph(calls: DataFrame, callees: DataFrame) -> DataFrame:
     """Calls calls(caller_file, callee) resolved to callees(name, file), counted per edge; a name of several definitions stays
     unresolved rather than guessed."""
@@ -109,7 +154,6 @@ def callee_fan_in(callees: DataFrame, graph: DataFrame) -> DataFrame:
 
 
 def semi_dead_imports(imports: DataFrame, files: DataFrame) -> DataFrame:
-    """Imported names that the importing text mentions nowhere else. imports(file_id, name), files(file_id, text)."""
-    j = imports.distinct().join(files.select("file_id", "text"), "file_id")
-    uses = (F.length("text") - F.length(F.replace("text", F.col("name"), F.lit("")))) / F.length("name")
-    return j.where(uses <= 1).select("file_id", "name")
+    """Imported names that the importing text holds as an identifier nowhere else. imports(file_id, name), files(file_id, text)."""
+    once = identifiers(files).where("n <= 1").drop("n")
+    return imports.select("file_id", "name").distinct().join(once, ["file_id", "name"])

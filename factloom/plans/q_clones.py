@@ -74,7 +74,7 @@ def collisions(s, d):
     f = fact(s, d, "shapes")
     imp = fact(s, d, "imports").select(F.explode(F.regexp_extract_all("names", F.lit("([A-Za-z_]+)[0-9]*"), F.lit(1))).alias("name")).groupBy("name").agg(F.count("*").alias("fan_in"))
     base = F.regexp_replace("exported_name", "[0-9]+$", "")
-    defs = f.select(base.alias("name"), "identity", F.exists("types", lambda t: t.contains("any")).alias("contaminated")).join(imp, "name", "left").fillna({"fan_in": 0})
+    defs = f.select(base.alias("name"), "identity", F.exists("types", lambda t: t.rlike(r"\bany\b")).alias("contaminated")).join(imp, "name", "left").fillna({"fan_in": 0})
     return shapes.name_collisions(defs, LOW_INFO_NAMES)
 
 
@@ -160,7 +160,7 @@ SQL = {
     ),
     "canon_type_labels": sql(
         f"""WITH imp AS (SELECT name, count(*) AS fan_in FROM (SELECT unnest(regexp_extract_all(names, '([A-Za-z_]+)[0-9]*', 1)) AS name FROM imports) GROUP BY 1),
-        dd AS (SELECT regexp_replace(exported_name, '[0-9]+$', '') AS name, identity, len(list_filter(types, lambda t: contains(t, 'any'))) > 0 AS bad FROM shapes),
+        dd AS (SELECT regexp_replace(exported_name, '[0-9]+$', '') AS name, identity, len(list_filter(types, lambda t: regexp_matches(t, '\\bany\\b'))) > 0 AS bad FROM shapes),
         j AS (SELECT name, identity, bad, coalesce(fan_in, 0) AS fan_in FROM dd LEFT JOIN imp USING (name)),
         w AS (SELECT *, count(*) OVER (PARTITION BY name) AS n, max(fan_in) OVER (PARTITION BY name) AS top, sum(fan_in) OVER (PARTITION BY name) AS total, bool_and(bad) OVER (PARTITION BY name) AS all_bad FROM j)
         SELECT name, identity, fan_in, CASE WHEN n >= 2 AND all_bad THEN 'ANY_COLLISION' WHEN n >= 2 AND top >= 3 AND total >= 3 THEN 'DUPLICATE_STRONG' WHEN n >= 2 AND name IN ({", ".join(f"'{x}'" for x in LOW_INFO_NAMES)}) THEN 'LOCAL_COMMON_NAME'

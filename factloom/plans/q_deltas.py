@@ -8,6 +8,10 @@ from ..operators import deltas, ranking, topology
 from ..sources.facts import fact, sql
 
 
+#: dates at which the tables are cut into what was before and what came after
+CANON, SNAPSHOT = "1998-06-01 00:00:00", "2025-09-18 00:00:00"
+
+
 def _esc(s, d, side):
     return fact(s, d, "escapes").where(side).select("occurrence_key", "file", "escape_kind", "line")
 
@@ -29,7 +33,8 @@ def multiset_except(s, d):
 
 def file_delta(s, d):
     e = fact(s, d, "escapes")
-    return deltas.file_delta(e.where("line % 41 = 0").select("file").distinct(), e.where("before AND line % 7 <> 0").select("file").distinct(), e.where("after AND line % 5 <> 0").select("file").distinct())
+    e = e.where("minute < 2")  # files of a first and a last stretch of the day, and those planned at midnight; sparse, so that all cases occur
+    return deltas.file_delta(e.where("NOT after").select("file").distinct(), e.where("before").select("file").distinct(), e.where("after").select("file").distinct())
 
 
 def planned(s, d):
@@ -42,19 +47,18 @@ def planned(s, d):
 
 
 def canon(s, d):
-    """Owners moved, appeared and vanished between a canon and fresh definitions."""
-    f = fact(s, d, "defs")
-    old = f.where("line % 10 <> 3").select("name", F.col("file").alias("owner"), F.when(F.col("line") > 25, "strong").otherwise("weak").alias("label"))
-    moved = F.when(F.col("line") % 6 == 1, F.concat(F.lit("moved:"), "file")).otherwise(F.col("file"))
-    new = f.where("line % 7 <> 2").select("name", moved.alias("owner"), F.when(F.col("line") > 30, "strong").otherwise("weak").alias("label"))
-    twice = f.where("line % 12 = 7").select("name", F.concat(F.lit("copy:"), "file").alias("owner"), F.lit("weak").alias("label"))
-    return deltas.canon_drift(old, new.unionByName(twice))
+    """Owners moved, appeared and vanished between a canon and fresh definitions: who delivered a part, and how often, before and after a date."""
+    f = fact(s, d, "lineitem")
+    f = f.groupBy(F.concat(F.lit("p"), "l_partkey").alias("name"), F.concat(F.lit("s"), "l_suppkey").alias("owner"), (F.col("l_shipdate") < F.lit(CANON).cast("timestamp")).alias("early")).agg(F.when(F.count("*") > 1, "strong").otherwise("weak").alias("label"))
+    return deltas.canon_drift(f.where("early").drop("early"), f.where("NOT early").drop("early"))
 
 
 def snapshot(s, d):
-    f = fact(s, d, "files").where("text IS NOT NULL")
-    prior = f.where("file_id % 9 <> 0").select(F.col("file_id").alias("file"), F.md5(F.when(F.col("file_id") % 4 == 0, F.concat("text", F.lit("\n"))).otherwise(F.col("text"))).alias("content_hash"), F.when(F.col("ext") == "go", "v1").otherwise("v2").alias("fingerprint"))
-    now = f.where("file_id % 11 <> 0").select(F.col("file_id").alias("file"), F.md5("text").alias("content_hash"), F.lit("v2").alias("fingerprint"))
+    """The newest artifact of every feed at two times. A feed is dropped where it wrote nothing for a year before the second."""
+    a = fact(s, d, "artifact_files").select("artifact_id", "feed_id", "written_at", F.md5("payload").alias("content_hash"), F.coalesce("schema_version", F.lit("")).alias("fingerprint")).distinct()
+    newest = F.max_by(F.struct("content_hash", "fingerprint", "written_at"), "written_at").alias("x")
+    prior = a.where(F.col("written_at") < F.lit(SNAPSHOT).cast("timestamp")).groupBy(F.col("feed_id").alias("file")).agg(newest).select("file", "x.content_hash", "x.fingerprint")
+    now = a.groupBy(F.col("feed_id").alias("file")).agg(newest).where(F.col("x.written_at") >= F.lit("2025-12-01 00:00:00").cast("timestamp")).select("file", "x.content_hash", "x.fingerprint")
     return deltas.snapshot_changes(prior, now)
 
 
@@ -83,8 +87,8 @@ def _spans(s, d):
 
 def innermost(s, d):
     li = fact(s, d, "lineitem")
-    spans = li.where("l_linenumber <= 2").select(F.col("l_suppkey").alias("file"), F.col("l_quantity").cast("int").alias("start"), (F.col("l_quantity") + F.col("l_linenumber") * 3).cast("int").alias("end"), F.concat("l_returnflag", "l_linestatus").alias("name")).distinct()
-    points = li.where("l_linenumber = 3").groupBy(F.col("l_suppkey").alias("file"), (F.col("l_quantity") + 1).cast("int").alias("line")).agg(F.min("l_orderkey").alias("id0"))
+    spans = li.select(F.col("l_suppkey").alias("file"), F.col("l_quantity").cast("int").alias("start"), (F.col("l_quantity") + F.col("l_linenumber") * 3).cast("int").alias("end"), F.concat("l_returnflag", "l_linestatus").alias("name")).distinct()
+    points = li.groupBy(F.col("l_suppkey").alias("file"), (F.col("l_quantity") + 1).cast("int").alias("line")).agg(F.min("l_orderkey").alias("id0"))
     points = points.select("file", "line", F.concat_ws(":", F.col("file").cast("string"), F.col("line").cast("string")).alias("id"))
     return deltas.innermost(points, spans)
 
@@ -210,21 +214,21 @@ SQL = {
     "escape_delta_counts": sql(f"WITH {_DELTA} SELECT escape_kind, label, count(*) AS n FROM dl GROUP BY 1, 2"),
     "multiset_except": sql("SELECT occurrence_key, count(*) AS surplus FROM (SELECT occurrence_key FROM escapes WHERE after EXCEPT ALL SELECT occurrence_key FROM escapes WHERE before) GROUP BY 1"),
     "file_delta": sql(
-        """WITH p AS (SELECT DISTINCT file FROM escapes WHERE line % 41 = 0), b AS (SELECT DISTINCT file FROM escapes WHERE before AND line % 7 <> 0), a AS (SELECT DISTINCT file FROM escapes WHERE after AND line % 5 <> 0),
+        """WITH p AS (SELECT DISTINCT file FROM escapes WHERE minute < 2 AND NOT after), b AS (SELECT DISTINCT file FROM escapes WHERE minute < 2 AND before), a AS (SELECT DISTINCT file FROM escapes WHERE minute < 2 AND after),
         u AS (FROM p UNION FROM b UNION FROM a), k AS (SELECT file, file IN (FROM p) AS p, file IN (FROM b) AS b, file IN (FROM a) AS a FROM u)
         SELECT file, CASE WHEN p AND a AND NOT b THEN 'planned-new' WHEN p AND a THEN 'planned-existing' WHEN p THEN 'planned-missing' WHEN a AND NOT b THEN 'unexpected-new' WHEN b AND NOT a THEN 'removed' ELSE 'unchanged' END AS status FROM k"""
     ),
     "canon_drift": sql(
-        """WITH c AS (SELECT name, file AS owner, CASE WHEN line > 25 THEN 'strong' ELSE 'weak' END AS old FROM defs WHERE line % 10 <> 3),
-        f AS (SELECT name, CASE WHEN line % 6 = 1 THEN 'moved:' || file ELSE file END AS owner, CASE WHEN line > 30 THEN 'strong' ELSE 'weak' END AS "new" FROM defs WHERE line % 7 <> 2 UNION ALL SELECT name, 'copy:' || file, 'weak' FROM defs WHERE line % 12 = 7),
+        f"""WITH g AS (SELECT 'p' || l_partkey AS name, 's' || l_suppkey AS owner, l_shipdate < TIMESTAMP '{CANON}' AS early, CASE WHEN count(*) > 1 THEN 'strong' ELSE 'weak' END AS label FROM lineitem GROUP BY 1, 2, 3),
+        c AS (SELECT name, owner, label AS old FROM g WHERE early), f AS (SELECT name, owner, label AS "new" FROM g WHERE NOT early),
         j AS (SELECT name, owner, old, "new" FROM c FULL JOIN f USING (name, owner)), w AS (SELECT *, count(*) FILTER ("new" IS NULL) OVER (PARTITION BY name) AS gone, count(*) FILTER (old IS NULL) OVER (PARTITION BY name) AS come FROM j),
         k AS (SELECT *, CASE WHEN old = "new" THEN 'same' WHEN old IS NOT NULL AND "new" IS NOT NULL THEN 'label-changed' WHEN gone = 1 AND come = 1 THEN 'owner-changed' WHEN old IS NULL THEN 'added' ELSE 'removed' END AS drift FROM w)
         SELECT name, owner, old, "new", drift, CASE WHEN (gone = 1 AND come = 1) OR gone = 0 OR come = 0 THEN 'high' ELSE 'low' END AS confidence FROM k WHERE drift <> 'same' AND NOT (drift = 'owner-changed' AND "new" IS NULL)"""
     ),
     "snapshot_changes": sql(
-        """WITH p AS (SELECT file_id AS file, md5(CASE WHEN file_id % 4 = 0 THEN text || chr(10) ELSE text END) AS h, CASE WHEN ext = 'go' THEN 'v1' ELSE 'v2' END AS f FROM files WHERE text IS NOT NULL AND file_id % 9 <> 0),
-        n AS (SELECT file_id AS file, md5(text) AS h2 FROM files WHERE text IS NOT NULL AND file_id % 11 <> 0)
-        SELECT file, CASE WHEN h2 IS NULL THEN 'dropped' WHEN h IS NULL THEN 'new' WHEN h <> h2 THEN 'changed' WHEN f <> 'v2' THEN 'context-changed' ELSE 'reused' END AS status FROM p FULL JOIN n USING (file)"""
+        f"""WITH a AS (SELECT DISTINCT artifact_id, feed_id AS file, written_at AS t, md5(payload) AS h, coalesce(schema_version, '') AS v FROM artifact_files),
+        p AS (SELECT file, arg_max(h, t) AS h, arg_max(v, t) AS f FROM a WHERE t < TIMESTAMPTZ '{SNAPSHOT}+00' GROUP BY 1), n AS (SELECT file, arg_max(h, t) AS h2, arg_max(v, t) AS f2 FROM a GROUP BY 1 HAVING max(t) >= TIMESTAMPTZ '2025-12-01 00:00:00+00')
+        SELECT file, CASE WHEN h2 IS NULL THEN 'dropped' WHEN h IS NULL THEN 'new' WHEN h <> h2 THEN 'changed' WHEN f <> f2 THEN 'context-changed' ELSE 'reused' END AS status FROM p FULL JOIN n USING (file)"""
     ),
     "compare_repos": sql(
         """WITH f AS (SELECT repo, count(*)::DOUBLE AS files, sum(loc)::DOUBLE AS loc, (count(*) FILTER (parse_error))::DOUBLE AS parse_errors, (max(loc) FILTER (ext = 'rs'))::DOUBLE AS largest_rust FROM files GROUP BY 1),
@@ -237,8 +241,8 @@ SQL = {
         SELECT m.file, m.line, arg_min(e.name, (e.line, e.name)) AS name FROM m JOIN e ON e.file = m.file AND e.line BETWEEN m.line AND m.line + 3 GROUP BY 1, 2"""
     ),
     "innermost_span": sql(
-        """WITH sp AS (SELECT DISTINCT l_suppkey AS file, l_quantity::INT AS s, (l_quantity + l_linenumber * 3)::INT AS e, l_returnflag || l_linestatus AS name FROM lineitem WHERE l_linenumber <= 2),
-        p AS (SELECT DISTINCT l_suppkey AS file, (l_quantity + 1)::INT AS line FROM lineitem WHERE l_linenumber = 3)
+        """WITH sp AS (SELECT DISTINCT l_suppkey AS file, l_quantity::INT AS s, (l_quantity + l_linenumber * 3)::INT AS e, l_returnflag || l_linestatus AS name FROM lineitem),
+        p AS (SELECT DISTINCT l_suppkey AS file, (l_quantity + 1)::INT AS line FROM lineitem)
         SELECT p.file || ':' || p.line AS id, p.file, p.line, arg_min(name, (e - s, s, name)) AS name FROM p LEFT JOIN sp ON sp.file = p.file AND p.line BETWEEN s AND e GROUP BY 1, 2, 3"""
     ),
     "function_size_p95": sql(_P95.format(g="is_async", v="body_loc", t="functions")),

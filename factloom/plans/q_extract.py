@@ -12,6 +12,8 @@ from ..sources.facts import fact, sql
 
 ALIASES = (("./record", "src/core/record"), ("./m*", "packages/m*"), ("./ma*", "packages/shared/ma*"), ("@/*", "src/*"))
 ID = extract.ID
+#: files observed before are those seen first
+FIRST_HALF = "2025-08-17 00:00:00"
 
 
 def _defs(language):
@@ -46,17 +48,7 @@ def reexports(s, d):
     """Final owner of every name that is handed on: the end of each chain of parts of one brand, by size."""
     p = fact(s, d, "part").select("p_partkey", "p_brand", "p_size").where("p_brand IS NOT NULL")
     link = p.where("p_size <= 25").select(F.col("p_partkey").alias("src"), (F.col("p_partkey") - F.col("p_size")).alias("dst")).where("dst >= 0")
-    # every node has one link, so the chain's end is found by doubling: each round halves the remaining length
-    ends = link.select("src", "dst", F.lit(1).alias("steps"))
-    from ..plans.session import materialize
-
-    while True:
-        nxt = ends.select(F.col("src").alias("dst"), F.col("dst").alias("far"), F.col("steps").alias("more"))
-        new = ends.join(nxt, "dst", "left").select("src", F.coalesce("far", "dst").alias("dst"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"))
-        new = materialize(new, "reexport")
-        if new.exceptAll(ends).isEmpty():
-            return new.select(F.col("src").alias("name"), F.col("dst").alias("owner"), "steps")
-        ends = new
+    return graph.chain_ends(link).select(F.col("src").alias("name"), F.col("end").alias("owner"), F.col("steps").cast("int").alias("steps"))
 
 
 def taints(s, d):
@@ -80,7 +72,9 @@ def helper_labels(s, d):
 
 def naming_drift(s, d):
     """Convention of every cohort in the files seen first against all of them: shifted, appeared, vanished."""
-    items = fact(s, d, "files").select(F.concat("submodule", F.lit(":"), "ext").alias("cohort"), text.basename(F.col("path")).alias("name"), (F.col("file_id") % 3 == 0).alias("early"))
+    items = fact(s, d, "files").select(F.concat("submodule", F.lit(":"), "ext").alias("cohort"), text.basename(F.col("path")).alias("name"), "file_id")
+    seen = fact(s, d, "source_files").groupBy(F.col("source_file_id").alias("file_id")).agg((F.min("observed_at") < F.lit(FIRST_HALF).cast("timestamp")).alias("early"))
+    items = items.join(seen, "file_id").drop("file_id")
     old, new = text.dominance(items.where("early")), text.dominance(items.where("NOT early"))
     j = old.select("cohort", F.col("dominant").alias("before"), F.lit(True).alias("o")).join(new.select("cohort", F.col("dominant").alias("after"), F.lit(True).alias("n")), "cohort", "full_outer")
     drift = F.when(F.col("o").isNull(), "cohort-added").when(F.col("n").isNull(), "cohort-removed").when(~F.col("before").eqNullSafe(F.col("after")), "convention-shift").otherwise("same")
@@ -88,12 +82,12 @@ def naming_drift(s, d):
 
 
 def topology_drift(s, d):
-    """Edges between submodules that come and go between type-only and runtime views of the graph."""
+    """Edges between submodules that come and go between the type-only and the runtime view of the graph."""
     from ..operators.topology import cross_submodule
 
     n, e = fact(s, d, "nodes"), fact(s, d, "edges")
-    old = cross_submodule(e.where("line <= 2"), n, None).select(F.concat_ws("->", "from_module", "to_module").alias("name"), F.lit("edge").alias("owner"), F.when(F.col("n") >= 20, "strong").otherwise("weak").alias("label"))
-    new = cross_submodule(e.where("line >= 2"), n, None).select(F.concat_ws("->", "from_module", "to_module").alias("name"), F.lit("edge").alias("owner"), F.when(F.col("n") >= 50, "strong").otherwise("weak").alias("label"))
+    old = cross_submodule(e.where("type_only"), n, None).select(F.concat_ws("->", "from_module", "to_module").alias("name"), F.lit("edge").alias("owner"), F.when(F.col("n") >= 20, "strong").otherwise("weak").alias("label"))
+    new = cross_submodule(e.where("NOT type_only"), n, None).select(F.concat_ws("->", "from_module", "to_module").alias("name"), F.lit("edge").alias("owner"), F.when(F.col("n") >= 50, "strong").otherwise("weak").alias("label"))
     return deltas.canon_drift(old, new).groupBy("drift").agg(F.count("*").alias("n"))
 
 
@@ -243,11 +237,11 @@ def _more() -> dict[str, str]:
             SELECT name, owners, coalesce(callers, 0) AS callers, CASE WHEN owners > 1 THEN 'HELPER_COLLISION' WHEN callers >= 3 THEN 'central-helper' WHEN callers >= 1 THEN 'shared-helper' ELSE 'zero-internal-fan-in-helper' END AS label FROM f LEFT JOIN c ON callee = name"""
         ),
         "naming_drift": sql(
-            f"""WITH it AS (SELECT submodule || ':' || ext AS cohort, {_BASE} AS name, file_id % 3 = 0 AS early FROM files), {dom("o", "early")}, {dom("n", "NOT early")}
+            f"""WITH it AS (SELECT submodule || ':' || ext AS cohort, {_BASE} AS name, early FROM files JOIN (SELECT source_file_id AS file_id, min(observed_at) < TIMESTAMPTZ '{FIRST_HALF}+00' AS early FROM source_files GROUP BY 1) USING (file_id)), {dom("o", "early")}, {dom("n", "NOT early")}
             SELECT cohort, o.dominant AS "before", n.dominant AS "after", CASE WHEN o.cohort IS NULL THEN 'cohort-added' WHEN n.cohort IS NULL THEN 'cohort-removed' WHEN o.dominant IS DISTINCT FROM n.dominant THEN 'convention-shift' ELSE 'same' END AS drift FROM d_o o FULL JOIN d_n n USING (cohort)"""
         ),
         "topology_drift": sql(
-            f"""WITH o AS ({cross.format(k=20, w="line <= 2")}), n AS ({cross.format(k=50, w="line >= 2")})
+            f"""WITH o AS ({cross.format(k=20, w="type_only")}), n AS ({cross.format(k=50, w="NOT type_only")})
             SELECT CASE WHEN o.label IS NULL THEN 'added' WHEN n.label IS NULL THEN 'removed' ELSE 'label-changed' END AS drift, count(*) AS n FROM o FULL JOIN n USING (name) WHERE o.label IS DISTINCT FROM n.label GROUP BY 1"""
         ),
     }

@@ -173,7 +173,7 @@ SQL = {
         FROM files JOIN p ON regexp_extract(path, '^(.*)/[^/]*$', 1) = regexp_extract(planned, '^(.*)/[^/]*$', 1) GROUP BY 1, 2"""
     ),
     "lookup_dependencies": sql(
-        """SELECT package_dir, dependency, CASE WHEN o.dep_root IS NOT NULL THEN 'DECLARED_USED' WHEN script_tool OR section IN ('peer', 'optional') OR type_package THEN 'DECLARED_MUTED' ELSE 'DECLARED_UNOBSERVED' END AS result FROM declarations LEFT JOIN observed_deps o USING (dep_root)"""
+        """SELECT package_dir, dependency, CASE WHEN o.dep_root IS NOT NULL THEN 'DECLARED_USED' WHEN script_tool OR section IN ('peer', 'optional') OR type_package THEN 'DECLARED_MUTED' ELSE 'DECLARED_UNOBSERVED' END AS result FROM declarations LEFT JOIN observed_deps o USING (package_dir, dep_root)"""
     ),
     "source_inventory": sql("SELECT repo, count(*) AS files, sum(('0x' || substr(md5(path), 1, 8))::BIGINT)::BIGINT AS fingerprint FROM (SELECT DISTINCT repo, path FROM files) GROUP BY 1"),
 }

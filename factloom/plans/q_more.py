@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import intervals
+from ..operators import intervals, symbols
 from ..sources import connectors
 from ..sources.facts import fact, sql
 
@@ -92,8 +92,8 @@ def excluded_candidates(s, d):
     """First policy that takes a dead candidate out of the list, by reason."""
     from .q_symbols import dead
 
-    c = dead(s, d).withColumn("n", F.substring("name", 2, 12).cast("bigint"))
-    reason = F.when(F.col("kind").startswith("PROMO"), "public-api").when(F.col("n") % 17 == 0, "script-entry").when(F.col("namespace_shadowed"), "namespace-shadowed").when(F.col("line") > 45, "framework").otherwise("kept")
+    c = dead(s, d).join(fact(s, d, "own_uses"), ["file", "name"], "left")
+    reason = F.when(F.col("file").endswith("/PROMO"), "public-api").when(F.col("kind").isin(*symbols.TYPE_ONLY), "declaration-only").when(F.col("namespace_shadowed"), "namespace-shadowed").when(F.col("uses") >= 2, "used-in-file").otherwise("kept")
     return c.groupBy(reason.alias("reason")).agg(F.count("*").alias("n"))
 
 
@@ -149,7 +149,7 @@ def _sqls() -> dict[str, str]:
         ),
         "module_calls": sql(f"WITH {_CALLS} SELECT a.submodule AS from_module, b.submodule AS to_module, sum(calls)::BIGINT AS calls FROM graph JOIN files a ON a.file_id = from_file JOIN files b ON b.file_id = to_file GROUP BY 1, 2"),
         "excluded_candidates": sql(
-            f"""WITH {_DEAD} SELECT CASE WHEN kind LIKE 'PROMO%' THEN 'public-api' WHEN substr(name, 2)::BIGINT % 17 = 0 THEN 'script-entry' WHEN namespace_shadowed THEN 'namespace-shadowed' WHEN line > 45 THEN 'framework' ELSE 'kept' END AS reason, count(*) AS n FROM dead GROUP BY 1"""
+            f"""WITH {_DEAD} SELECT CASE WHEN file LIKE '%/PROMO' THEN 'public-api' WHEN kind IN ('TSInterfaceDeclaration', 'TSTypeAliasDeclaration', 'TSModuleDeclaration') THEN 'declaration-only' WHEN namespace_shadowed THEN 'namespace-shadowed' WHEN uses >= 2 THEN 'used-in-file' ELSE 'kept' END AS reason, count(*) AS n FROM dead LEFT JOIN own_uses USING (file, name) GROUP BY 1"""
         ),
     }
 

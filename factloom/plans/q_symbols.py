@@ -20,13 +20,12 @@ def fan_in_top(s, d):
 
 
 def dead(s, d):
-    barrels = s.createDataFrame([("Brand#11",)], "file string")
+    barrels = fact(s, d, "defs").where("file LIKE 'Brand#11/%'").select("file").distinct()
     return symbols.dead_candidates(fact(s, d, "defs"), fact(s, d, "consumers"), fact(s, d, "namespace_users"), barrels)
 
 
 def dead_classes(s, d):
-    uses = fact(s, d, "touches").groupBy(F.col("symbol").alias("name")).agg((F.count("*") % 5).alias("uses"))
-    j = dead(s, d).join(uses, "name", "left").withColumn("uses", F.coalesce("uses", F.lit(0)))
+    j = dead(s, d).join(fact(s, d, "own_uses"), ["file", "name"], "left").withColumn("uses", F.coalesce("uses", F.lit(0)))
     return j.select("file", "name", "uses", symbols.dead_category(F.col("uses")).alias("category"))
 
 
@@ -48,7 +47,15 @@ def staleness(s, d):
 
 
 def runtime(s, d):
-    return symbols.runtime_evidence(fact(s, d, "defs"), fact(s, d, "hits"))
+    return symbols.runtime_evidence(fact(s, d, "defs"), fact(s, d, "covered_statements"), fact(s, d, "covered_functions").withColumnRenamed("end_line", "end"))
+
+
+def packages(s, d):
+    """The deepest directory with a JSON file around every source file."""
+    f = fact(s, d, "files").select("repo", "path")
+    folders = f.where("path LIKE '%.json'").select("repo", F.regexp_extract("path", "^(.*)/[^/]*$", 1).alias("package_dir"))
+    tops = folders.select("repo", F.split("package_dir", "/")[0].alias("package_dir"))
+    return symbols.containing_package(f, folders.unionByName(tops))
 
 
 def _calls(s, d):
@@ -107,12 +114,13 @@ QUERIES = {
     "call_resolution_breakdown": call_breakdown,
     "call_owner_methods": owner_calls,
     "semi_dead_imports": semi_dead,
+    "package_containment": packages,
 }
 
 _DEAD = """
 dead AS (SELECT d.file, d.name, d.kind, d.line, n.def_file IS NOT NULL AS namespace_shadowed, n.def_file IS NULL AS truly_dead FROM defs d
   LEFT JOIN (SELECT DISTINCT def_file FROM namespace_users) n ON n.def_file = d.file
-  WHERE d.file <> 'Brand#11' AND NOT EXISTS (SELECT 1 FROM consumers c WHERE c.def_file = d.file AND c.symbol = d.name))"""
+  WHERE d.file NOT LIKE 'Brand#11/%' AND NOT EXISTS (SELECT 1 FROM consumers c WHERE c.def_file = d.file AND c.symbol = d.name))"""
 _FAN = """
 fan AS (SELECT coalesce(k.file, c.def_file) AS file, coalesce(k.name, c.symbol) AS name, coalesce(k.kind, 'unknown') AS kind, coalesce(c.f, 0) AS fan_in, coalesce(c.v, 0) AS value_fan_in, coalesce(c.t, 0) AS type_fan_in,
   coalesce(b.n, 0) AS broad_fan_in
@@ -122,7 +130,7 @@ fan AS (SELECT coalesce(k.file, c.def_file) AS file, coalesce(k.name, c.symbol)
   LEFT JOIN (SELECT def_file, count(DISTINCT consumer) AS n FROM namespace_users GROUP BY 1) b ON b.def_file = coalesce(k.file, c.def_file))"""
 _DEPS = """
 deps AS (SELECT package_dir, dependency, CASE WHEN o.dep_root IS NOT NULL THEN 'import-consumer' WHEN script_tool THEN 'script-tool' WHEN section = 'peer' THEN 'peer-dependency' WHEN section = 'optional' THEN 'optional-dependency'
-  WHEN type_package THEN 'type-package' ELSE 'no-observed-consumer' END AS reason FROM declarations LEFT JOIN observed_deps o USING (dep_root)),
+  WHEN type_package THEN 'type-package' ELSE 'no-observed-consumer' END AS reason FROM declarations LEFT JOIN observed_deps o USING (package_dir, dep_root)),
 st AS (SELECT package_dir, dependency, CASE reason WHEN 'import-consumer' THEN 'used' WHEN 'no-observed-consumer' THEN 'review-unused' ELSE 'muted' END AS status, reason FROM deps)"""
 _CALLS = f"""
 calls AS (SELECT file_id AS caller_file, unnest(regexp_extract_all(body, '({IDENT})[(]', 1)) AS callee FROM functions),
@@ -135,10 +143,9 @@ SQL = {
     "symbol_fan_in_top": sql(f"WITH {_FAN} SELECT * FROM fan ORDER BY fan_in DESC, file, name LIMIT 50"),
     "dead_export_candidates": sql(f"WITH {_DEAD} SELECT * FROM dead"),
     "dead_classification": sql(
-        f"""WITH {_DEAD}, u AS (SELECT symbol, count(*) % 5 AS uses FROM touches GROUP BY 1)
-        SELECT file, name, coalesce(uses, 0) AS uses, CASE WHEN coalesce(uses, 0) = 0 THEN 'C' WHEN uses <= 2 THEN 'A' ELSE 'B' END AS category FROM dead LEFT JOIN u ON symbol = name"""
+        f"""WITH {_DEAD} SELECT file, name, coalesce(uses, 0) AS uses, CASE WHEN coalesce(uses, 0) = 0 THEN 'C' WHEN uses <= 2 THEN 'A' ELSE 'B' END AS category FROM dead LEFT JOIN own_uses USING (file, name)"""
     ),
-    "file_internal_uses": sql("SELECT f.file_id, name, greatest(0, ((length(text) - length(replace(text, name, ''))) // length(name))::BIGINT - 1) AS uses FROM (SELECT DISTINCT file_id, name FROM functions) f JOIN files USING (file_id)"),
+    "file_internal_uses": sql(f"WITH w AS (SELECT file_id, unnest(regexp_extract_all(text, '{symbols.IDENTIFIER}')) AS name FROM files) SELECT f.file_id, f.name, greatest(0, (SELECT count(*) FROM w WHERE w.file_id = f.file_id AND w.name = f.name) - 1) AS uses FROM (SELECT DISTINCT file_id, name FROM functions) f"),
     "unused_dependencies": sql(f"WITH {_DEPS} SELECT * FROM st"),
     "unused_dependencies_summary": sql(f"WITH {_DEPS} SELECT status, reason, count(*) AS n FROM st GROUP BY 1, 2"),
     "staleness_tiers": sql(
@@ -146,9 +153,11 @@ SQL = {
         FROM (SELECT file, name, floor((epoch(TIMESTAMP '{NOW}') - epoch(ts)) / 86400)::BIGINT AS a FROM defs LEFT JOIN (SELECT symbol, max(ts) AS ts FROM touches GROUP BY 1) ON symbol = name)"""
     ),
     "runtime_evidence": sql(
-        """WITH j AS (SELECT file, name, hits, kind, bool_or(hits IS NOT NULL) OVER (PARTITION BY file) AS c FROM defs LEFT JOIN hits ON symbol = name),
-        k AS (SELECT file, name, CASE WHEN kind LIKE 'STANDARD%' THEN 'type-only' WHEN NOT c THEN 'file-untested' WHEN hits IS NULL THEN 'uncovered' WHEN hits > 0 THEN 'executed' ELSE 'dead-confirmed' END AS status FROM j)
-        SELECT file, name, status, CASE WHEN status IN ('executed', 'dead-confirmed') THEN 'high' WHEN status = 'uncovered' THEN 'medium' ELSE 'low' END AS confidence FROM k"""
+        """WITH pt AS (SELECT DISTINCT file, line FROM defs), own AS (SELECT p.file, p.line, arg_min(f.hits, (end_line - start, start)) AS hits FROM pt p JOIN covered_functions f ON f.file = p.file AND p.line BETWEEN start AND end_line GROUP BY 1, 2),
+        near AS (SELECT p.file, p.line, sum(t.hits) AS hits FROM pt p JOIN covered_statements t ON t.file = p.file AND abs(t.line - p.line) <= 50 GROUP BY 1, 2),
+        j AS (SELECT d.file, name, kind, d.file IN (SELECT file FROM covered_statements) AS covered, coalesce(own.hits, near.hits, 0) AS hits FROM defs d LEFT JOIN own USING (file, line) LEFT JOIN near USING (file, line))
+        SELECT file, name, CASE WHEN kind IN ('TSInterfaceDeclaration', 'TSTypeAliasDeclaration', 'TSModuleDeclaration') THEN 'type-only' WHEN NOT covered THEN 'uncovered' WHEN hits > 0 THEN 'executed' ELSE 'dead-confirmed' END AS status,
+          CASE WHEN kind IN ('TSInterfaceDeclaration', 'TSTypeAliasDeclaration', 'TSModuleDeclaration') OR NOT covered THEN 'medium' WHEN hits > 0 THEN 'low' ELSE 'high' END AS confidence FROM j"""
     ),
     "call_graph": sql(f"WITH {_CALLS} SELECT * FROM graph"),
     "call_fan_in": sql(f"WITH {_CALLS} SELECT f.name, count(DISTINCT from_file) AS callers, coalesce(sum(calls), 0)::BIGINT AS calls FROM (SELECT DISTINCT name FROM functions) f LEFT JOIN graph ON callee = f.name AND to_file IS NOT NULL GROUP BY 1"),
@@ -158,8 +167,14 @@ SQL = {
         f"""WITH m AS (SELECT unnest(regexp_extract_all(body, '({IDENT}[.]{IDENT})[(]', 1)) AS m FROM functions), per AS (SELECT split_part(m, '.', 1) AS owner, split_part(m, '.', 2) AS method, count(*) AS n FROM m GROUP BY 1, 2)
         SELECT owner, sum(n)::BIGINT AS calls, string_agg(method || '=' || n, ',' ORDER BY method || '=' || n) AS methods FROM per GROUP BY 1"""
     ),
+    "package_containment": sql(
+        """WITH j AS (SELECT DISTINCT repo, regexp_extract(path, '^(.*)/[^/]*$', 1) AS p FROM files WHERE path LIKE '%.json'), k AS (SELECT repo, p FROM j UNION SELECT repo, split_part(p, '/', 1) FROM j)
+        SELECT f.repo, f.path, arg_max(p, length(p)) AS package_dir FROM (SELECT DISTINCT repo, path FROM files) f LEFT JOIN k ON k.repo = f.repo AND (p = '' OR starts_with(path, p || '/')) GROUP BY 1, 2"""
+    ),
     "semi_dead_imports": sql(
         f"""WITH i AS (SELECT DISTINCT file_id, name FROM (SELECT file_id, unnest(regexp_extract_all(names, '({IDENT})', 1)) AS name FROM imports))
-        SELECT file_id, name FROM i JOIN files USING (file_id) WHERE (length(text) - length(replace(text, name, ''))) / length(name) <= 1"""
+        SELECT file_id, name FROM i JOIN files USING (file_id) WHERE len(list_filter(regexp_extract_all(text, '"""
+        + symbols.IDENTIFIER
+        + """'), lambda w: w = name)) <= 1"""
     ),
 }

@@ -6,6 +6,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..operators import escapes as escaping
+from ..sources import extract
 from ..sources.facts import fact, sql
 
 IDENT = "[A-Za-z_][A-Za-z0-9_]*"
@@ -31,36 +33,18 @@ def discipline_by_pattern(s, d):
     return long.withColumn("rank", F.row_number().over(w)).where("rank <= 10")
 
 
-# escapes of a type system, most specific first: each occurrence has one kind
-ESCAPES = (
-    ("rest-any-args", "[.][.][.][A-Za-z_]+: any"),
-    ("index-sig-any", r"\[[A-Za-z_]+: [a-z]+\]: any"),
-    ("generic-default-any", "<[A-Z][A-Za-z]* = any"),
-    ("as-unknown-as-T", "as unknown as [A-Za-z]+"),
-    ("as-any", "as any"),
-    ("angle-any", "<any>"),
-    ("record-any", "Record<string, any>"),
-    ("explicit-any", ": any"),
-    ("ts-ignore", "@ts-ignore"),
-    ("ts-expect-error", "@ts-expect-error"),
-)
-_ALL = "|".join(rx for _, rx in ESCAPES)
+def _escape_facts(s, d):
+    f = fact(s, d, "files").where("ext IN ('ts', 'js', 'mjs')")
+    return escaping.facts(f, extract.definitions(f, "js"))
 
 
 def escapes(s, d):
-    """One row per occurrence: the regular expression tries the kinds in order at each place, so no occurrence counts twice."""
-    f = fact(s, d, "files").where("ext = 'ts'").select("file_id", F.explode(F.regexp_extract_all("text", F.lit(f"({_ALL})"), F.lit(1))).alias("code"))
-    kind = F.coalesce(*[F.when(F.col("code").rlike(f"^({rx})$"), k) for k, rx in ESCAPES])
-    f = f.select("file_id", "code", kind.alias("kind"))
-    key = F.md5(F.concat_ws("|", F.col("file_id").cast("string"), "kind", "code"))
-    return f.groupBy("file_id", "kind", key.alias("occurrence_key")).agg(F.count("*").alias("occurrences"))
+    """Escapes of the type system by occurrence key: a key is a bucket, so equal occurrences of one owner are counted."""
+    return _escape_facts(s, d).groupBy("file_id", "kind", "owner", "occurrence_key").agg(F.count("*").alias("occurrences"), F.min("line").alias("first_line"))
 
 
 def contamination(s, d):
-    """Severest label of every file with escapes; comments that silence a checker are not 'any'."""
-    e = escapes(s, d).where("kind NOT IN ('ts-ignore', 'ts-expect-error')").groupBy("file_id").agg(F.sum("occurrences").alias("n"), F.count_distinct("kind").alias("kinds"))
-    label = F.when((F.col("n") >= 5) | (F.col("kinds") >= 3), "severely-any-contaminated").when(F.col("n") >= 2, "any-contaminated").otherwise("has-any")
-    return e.select("file_id", "n", "kinds", label.alias("label"))
+    return escaping.owner_labels(_escape_facts(s, d))
 
 
 def _named(s, d):
@@ -126,10 +110,10 @@ def unresolved_ratio(s, d):
 
 
 def barrels(s, d):
-    """Per repo: imports from a directory's root against deeper paths, and the compliance in percent."""
-    i = fact(s, d, "imports").select("repo", (F.length("spec") - F.length(F.replace("spec", F.lit("/"), F.lit("")))).alias("depth"), F.col("spec").contains("_").alias("deep"))
-    g = i.groupBy("repo").agg(F.count("*").alias("total"), F.count_if("deep").alias("subpath"))
-    return g.select("repo", "total", "subpath", F.round(100.0 * F.col("subpath") / F.col("total"), 1).alias("compliance"))
+    """Imports of every package at its root against those of its subpaths, and their share in percent. The packages are the roots of all
+    specifiers, relative ones by their first directory."""
+    i = fact(s, d, "imports").select("spec")
+    return text.barrel_discipline(i, i.select(text.package_root(F.col("spec")).alias("package")))
 
 
 def language_counts(s, d):
@@ -141,7 +125,8 @@ def line_counts(s, d):
     return fact(s, d, "files").select("file_id", text.lines(F.col("text")).alias("n_lines"), "loc")
 
 
-RUST_SIGNALS = {"unwrap": "[.]unwrap[(]", "expect": "[.]expect[(]", "panic": "panic![(]", "unreachable": "unreachable![(]", "todo": "todo![(]", "unsafe": "unsafe [{]", "clone": "[.]clone[(][)]"}
+#: fixed values: signals of Rust sources
+RUST_SIGNALS = {"unwrap": "[.]unwrap[(]", "expect": "[.]expect[(]", "panic": "panic![(]", "unimplemented": "unimplemented![(]", "todo": "todo![(]", "unsafe": "unsafe [{]", "clone": "[.]clone[(][)]"}
 
 
 def rust_signals(s, d):
@@ -185,9 +170,20 @@ _CNT = (
     + f" FROM (SELECT *, {_FAM} AS fam FROM files) WHERE fam IS NOT NULL)"
 )
 _LONG = "long AS (" + " UNION ALL ".join(f"""SELECT file_id, n_lines, '{p}' AS pattern, "{p}" AS n FROM cnt""" for p in text.DISCIPLINE) + ")"
-_ESC = f"""
-occ AS (SELECT file_id, unnest(regexp_extract_all(text, '({_ALL})', 1)) AS code FROM files WHERE ext = 'ts'),
-esc AS (SELECT file_id, kind, md5(file_id || '|' || kind || '|' || code) AS occurrence_key, count(*) AS occurrences FROM (SELECT file_id, code, CASE {" ".join(f"WHEN regexp_full_match(code, '{rx}') THEN '{k}'" for k, rx in ESCAPES)} END AS kind FROM occ) GROUP BY ALL)"""
+def _escape_sql(tail: str) -> str:
+    """Facts of escapes with their owners, by scalar lookups of the nearest definition instead of windows."""
+    from .q_extract import _def_sql
+
+    kinds = " ".join(f"WHEN regexp_full_match(code, '{rx}') THEN '{k}'" for k, rx in escaping.KINDS)
+    near = "(SELECT {agg}({{name: d.name, kind: d.kind}}, d.line) FROM df_js d WHERE d.file_id = o.file_id AND {cond})"
+    above, below = near.format(agg="arg_max", cond="d.line <= o.line"), near.format(agg="arg_min", cond="d.line BETWEEN o.line AND o.line + 3")
+    return sql(
+        f"""WITH {_def_sql("js")}, occ AS (SELECT file_id, line, unnest(regexp_extract_all(body, '({escaping.PATTERN})', 1)) AS code FROM ln WHERE ext IN ('ts', 'js', 'mjs')),
+        k AS (SELECT *, CASE {kinds} END AS kind FROM occ), w AS (SELECT *, CASE WHEN kind = 'jsdoc-any' THEN {below} ELSE {above} END AS own FROM k o),
+        esc AS (SELECT file_id, line, kind, own.name AS owner, own.kind AS owner_kind, 'sha256:' || sha256(file_id || '|' || kind || '|' || trim(regexp_replace(code, '[ \t]+', ' ', 'g')) || '|' || coalesce(own.name, '<top-level>')) AS occurrence_key FROM w) {tail}"""
+    )
+
+
 _CONV = """CASE WHEN name IS NULL OR name = '' THEN 'mixed' WHEN regexp_matches(name, '^[a-z][a-z0-9]*(-[a-z0-9]+)+$') THEN 'kebab-case' WHEN regexp_matches(name, '^[A-Z][A-Z0-9]*(_[A-Z0-9]+)+$') THEN 'UPPER_SNAKE'
  WHEN regexp_matches(name, '^[a-z][a-z0-9]*(_[a-z0-9]+)+$') THEN 'snake_case' WHEN regexp_matches(name, '^[A-Z][A-Za-z0-9]*$') AND regexp_matches(name, '[A-Z].*[a-z]') THEN 'PascalCase'
  WHEN regexp_matches(name, '^[a-z][A-Za-z0-9]*$') AND regexp_matches(name, '[a-z].*[A-Z]') THEN 'camelCase' WHEN regexp_matches(name, '^[A-Z][A-Z0-9]*$') THEN 'UPPER_SNAKE' WHEN regexp_matches(name, '^[a-z][a-z0-9]*$') THEN 'camelCase' ELSE 'mixed' END"""
@@ -210,10 +206,12 @@ SQL = {
     "discipline_totals": sql(f"WITH {_CNT}, {_LONG} SELECT pattern, sum(n)::BIGINT AS total, round(sum(n) / count(n_lines), 3) AS per_file, round(sum(n) * 1000 / sum(n_lines), 2) AS per_kloc FROM long GROUP BY 1"),
     "discipline_offenders": sql(f"WITH {_CNT}, {_LONG} SELECT file_id, sum(n)::BIGINT AS total, count(*) FILTER (n > 0)::INT AS patterns FROM long GROUP BY 1 HAVING sum(n) > 0 ORDER BY total DESC, file_id LIMIT 20"),
     "discipline_by_pattern": sql(f'WITH {_CNT}, {_LONG} SELECT file_id, pattern, n::INT AS "count", r::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY pattern ORDER BY n DESC, file_id) AS r FROM long WHERE n > 0) WHERE r <= 10'),
-    "type_escapes": sql(f"WITH {_ESC} SELECT * FROM esc"),
-    "any_contamination": sql(
-        f"""WITH {_ESC} SELECT file_id, n, kinds, CASE WHEN n >= 5 OR kinds >= 3 THEN 'severely-any-contaminated' WHEN n >= 2 THEN 'any-contaminated' ELSE 'has-any' END AS label
-        FROM (SELECT file_id, sum(occurrences)::BIGINT AS n, count(DISTINCT kind) AS kinds FROM esc WHERE kind NOT IN ('ts-ignore', 'ts-expect-error') GROUP BY 1)"""
+    "type_escapes": _escape_sql("SELECT file_id, kind, owner, occurrence_key, count(*) AS occurrences, min(line)::INT AS first_line FROM esc GROUP BY 1, 2, 3, 4"),
+    "any_contamination": _escape_sql(
+        """, c AS (SELECT file_id, owner, owner_kind, count(*) AS escapes, count(*) FILTER (kind NOT IN ('ts-ignore', 'ts-expect-error')) AS any_escapes, histogram(kind) AS h FROM esc WHERE owner IS NOT NULL GROUP BY 1, 2, 3),
+        l AS (SELECT *, owner_kind IN ('interface', 'type-alias', 'enum') AS is_type FROM c WHERE any_escapes > 0)
+        SELECT file_id, owner, owner_kind, escapes, any_escapes, CASE WHEN h['as-unknown-as-T'] > 0 OR h['rest-any-args'] > 0 OR coalesce(h['as-any'], 0) + coalesce(h['angle-any'], 0) >= 2 OR h['explicit-any'] >= 3 OR h['index-sig-any'] > 0 OR (is_type AND any_escapes >= 3)
+          OR (owner_kind IN ('function', 'arrow', 'variable') AND h['jsdoc-any'] >= 2) THEN 'severely-any-contaminated' WHEN is_type OR h['as-any'] > 0 OR h['angle-any'] > 0 OR h['explicit-any'] > 0 OR h['jsdoc-any'] > 0 OR h['no-explicit-any-disable'] > 0 THEN 'any-contaminated' ELSE 'has-any' END AS label FROM l"""
     ),
     "naming_dominance": sql(f"WITH {_NAMING} SELECT * FROM dm"),
     "naming_outliers": sql(f"WITH {_NAMING} SELECT i.cohort, name, {_CONV} AS convention, dominant FROM (SELECT DISTINCT cohort, name FROM it) i JOIN dm ON dm.cohort = i.cohort AND dominant IS NOT NULL WHERE {_CONV} <> dominant"),
@@ -237,7 +235,10 @@ SQL = {
         f"""WITH {_RES} SELECT i AS internal_specifiers, u AS unresolved, r AS ratio, CASE WHEN r >= 0.15 THEN 'high-unresolved-ratio' WHEN u >= 1000 THEN 'many-unresolved' ELSE 'none' END AS blind_zone
         FROM (SELECT count(*) AS i, count(*) FILTER (outcome = 'unresolved') AS u, coalesce(round(count(*) FILTER (outcome = 'unresolved') / count(*), 4), 0) AS r FROM rs)"""
     ),
-    "barrel_discipline": sql("SELECT repo, count(*) AS total, count(*) FILTER (contains(spec, '_')) AS subpath, round(100.0 * count(*) FILTER (contains(spec, '_')) / count(*), 1) AS compliance FROM imports GROUP BY 1"),
+    "barrel_discipline": sql(
+        """WITH p AS (SELECT DISTINCT regexp_extract(spec, '^(@[^/]+/[^/]+|[^/]+)', 1) AS package FROM imports), j AS (SELECT package, spec = package AS root, spec FROM imports JOIN p ON spec = package OR starts_with(spec, package || '/'))
+        SELECT package, count(*) FILTER (root) AS root_imports, count(*) FILTER (NOT root) AS subpath_imports, count(*) AS total, round(100.0 * count(*) FILTER (NOT root) / count(*), 1) AS compliance FROM j GROUP BY 1"""
+    ),
     "language_counts": sql("SELECT repo, ext, count(*) AS files, sum(loc)::BIGINT AS loc, count(*) FILTER (text IS NULL) AS unreadable FROM files GROUP BY 1, 2"),
     "line_counts": sql("SELECT file_id, (length(text) - length(replace(text, chr(10), '')) + 1)::INT AS n_lines, loc FROM files"),
     "rust_signals": sql(

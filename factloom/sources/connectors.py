@@ -102,8 +102,25 @@ def component_uses(files: DataFrame) -> DataFrame:
 
 
 TOOLS = "id bigint, tool string, words int"
-#: fixed values: runners whose next word is the tool
-RUNNERS = ("npm", "npx", "pnpm", "yarn", "bun", "bunx", "node")
+#: fixed values: package runners, runners whose next word is the tool, subcommands before a tool, and those before a script
+PACKAGE_RUNNERS = ("npm", "pnpm", "yarn", "bun")
+DIRECT_RUNNERS = ("bunx", "npx")
+EXEC_SUBCOMMANDS = ("exec", "x", "dlx")
+SCRIPT_SUBCOMMANDS = ("run", "run-script")
+
+
+def _tool_of(words: list[str]) -> str | None:
+    """The tool that the words of one command start, without their assignments; None where that is a script of the package."""
+    name = lambda i: words[i].replace("\\", "/").rpartition("/")[2] if i < len(words) else ""
+    if name(0) in DIRECT_RUNNERS:
+        return name(1) or None
+    if name(0) not in PACKAGE_RUNNERS:
+        return name(0) or None
+    if not name(1) or name(1) in SCRIPT_SUBCOMMANDS:
+        return None
+    if name(1) in EXEC_SUBCOMMANDS:
+        return name(2) or None
+    return None if name(0) == "npm" else name(1)
 
 
 def _tools(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,19 +135,15 @@ def _tools(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 words = list(lexer)
             except ValueError:  # a quote that does not close
                 words = (command or "").split()
-            start, n = True, 0
-            tool = None
+            own: list[str] = []
             for w in [*words, ";"]:
-                if set(w) <= set(";&|"):
+                if w and set(w) <= set(";&|"):
+                    tool = _tool_of([x for x in own if not x.startswith("-")])
                     if tool is not None:
-                        rows.append((i, tool, n))
-                    start, n, tool = True, 0, None
-                    continue
-                if start and "=" in w and not w.startswith("-"):
-                    continue  # an environment assignment
-                n += 1
-                if start and w not in RUNNERS and not w.startswith("-") and w not in ("run", "exec"):
-                    tool, start = w, False
+                        rows.append((i, tool, len(own)))
+                    own = []
+                elif own or "=" not in w or w.startswith("-"):  # no environment assignment
+                    own.append(w)
         cols = list(zip(*rows)) if rows else [()] * 3
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.string(), pa.int32()))], names=["id", "tool", "words"])
 

@@ -30,17 +30,24 @@ SELECT 'c' || c_custkey AS file, 'n' || c_nationkey AS submodule, CAST(round(abs
 UNION ALL SELECT 's' || s_suppkey, 'n' || s_nationkey, CAST(round(abs(s_acctbal)) AS BIGINT), s_acctbal < 0 FROM {supplier}""",
     # ---- a sparse walk over all events: every event is an edge between two of fifty stations of two users; it has cycles and unreachable parts
     "walk": """
-SELECT user_id * 50 + event_id % 50 AS src, ((user_id * 7 + event_id % 11) % 150) * 50 + (event_id * 7 + user_id) % 50 AS dst, event_type = 'view' AS type_only FROM {events}""",
+SELECT user_id * 50 + event_id % 50 AS src, ((user_id * 7 + event_id % 11) % (SELECT count(DISTINCT user_id) FROM {events})) * 50 + (event_id * 7 + user_id) % 50 AS dst, event_type = 'view' AS type_only FROM {events}""",
     "walk_entries": "SELECT DISTINCT user_id * 50 + event_id % 50 AS file FROM {events} WHERE user_id % 50 = 3",
     "walk_nodes": "SELECT src AS file FROM {walk} UNION SELECT dst FROM {walk}",
     # ---- definitions and their consumers
-    "defs": "SELECT p_brand AS file, 'p' || p_partkey AS name, p_type AS kind, p_size AS line FROM {part}",
-    "recent": "SELECT l_partkey, l_suppkey, l_quantity, l_returnflag, l_linestatus FROM {lineitem} WHERE l_shipdate >= (SELECT max(l_shipdate) - INTERVAL 30 DAY FROM {lineitem})",
+    # every part defines two names: one that all its line items consume, and one that those consume whose quantity is its size.
+    # "sized" pairs all line items with all parts on two equal columns, so it is sparse without leaving a row out
+    "defs": """
+SELECT p_brand || '/' || p_type AS file, 'p' || p_partkey AS name, CASE p_type WHEN 'STANDARD' THEN 'TSInterfaceDeclaration' WHEN 'PROMO' THEN 'ClassDeclaration' ELSE 'FunctionDeclaration' END AS kind, p_size AS line FROM {part}
+UNION ALL SELECT p_brand || '/' || p_type, 'r' || p_partkey, CASE p_type WHEN 'STANDARD' THEN 'TSTypeAliasDeclaration' ELSE 'FunctionDeclaration' END, p_size + 50 FROM {part}""",
+    "sized": """
+SELECT p_brand || '/' || p_type AS file, p_partkey AS part, p_size AS size, l_suppkey AS supplier, l_returnflag AS flag, l_linestatus AS status, l_discount AS discount, l_tax AS tax
+FROM {lineitem} JOIN {part} ON p_partkey = l_partkey AND p_size = l_quantity""",
     "consumers": """
-SELECT p_brand AS def_file, 'p' || p_partkey AS symbol, 's' || l_suppkey AS consumer, CASE WHEN l_returnflag = 'R' THEN 'type' ELSE 'value' END AS space
-FROM {recent} JOIN {part} ON p_partkey = l_partkey
-UNION ALL SELECT p_brand, 'q' || p_partkey, 's' || l_suppkey, 'value' FROM {recent} JOIN {part} ON p_partkey = l_partkey WHERE p_partkey % 97 = 0""",
-    "namespace_users": "SELECT DISTINCT p_brand AS def_file, 's' || l_suppkey AS consumer FROM {recent} JOIN {part} ON p_partkey = l_partkey WHERE l_suppkey % 25 = 7 AND p_partkey % 5 = 0",
+SELECT p_brand || '/' || p_type AS def_file, 'p' || p_partkey AS symbol, 's' || l_suppkey AS consumer, CASE WHEN l_returnflag = 'R' THEN 'type' ELSE 'value' END AS space
+FROM {lineitem} JOIN {part} ON p_partkey = l_partkey
+UNION ALL SELECT file, CASE WHEN status = 'F' THEN 'r' ELSE 'q' END || part, 's' || supplier, 'value' FROM {sized}""",
+    "namespace_users": "SELECT DISTINCT file AS def_file, 's' || supplier AS consumer FROM {sized} WHERE discount = 0 AND tax = 0",
+    "own_uses": "SELECT file, 'r' || part AS name, count(*) AS uses FROM {sized} WHERE flag = 'N' GROUP BY 1, 2",
     # ---- functions of TypeScript and JavaScript files
     "functions": (
         f"""
@@ -74,12 +81,12 @@ FROM {{functions}}""",
     "shapes": (
         f"""
 SELECT file_id || '::' || regexp_extract(s, 'interface ({_IDENT})', 1) AS identity, path AS owner_file, regexp_extract(s, 'interface ({_IDENT})', 1) AS exported_name,
-       array_sort(array_distinct(regexp_extract_all(s, '\n  ([a-z]+)[A-Za-z_]*[0-9]*[?]?: [^\n]*;', 1))) AS fields, array_sort(array_distinct(regexp_extract_all(s, '\n  {_IDENT}[?]?: ([^\n]*);', 1))) AS types
-FROM (SELECT file_id, path, explode(regexp_extract_all(text, 'interface {_IDENT} [{{{{][^}}}}]*[}}}}]', 0)) AS s FROM {{files}} WHERE ext = 'ts')""",
+       array_sort(array_distinct(regexp_extract_all(s, '\n  (?:readonly )?({_IDENT})[?]?: [^\n]*;', 1))) AS fields, array_sort(array_distinct(regexp_extract_all(s, '\n  (?:readonly )?{_IDENT}[?]?: ([^\n]*);', 1))) AS types
+FROM (SELECT file_id, path, explode(regexp_extract_all(text, 'interface {_IDENT}(?:<[^>{{{{]*>)?(?: extends [^{{{{]*)? *[{{{{][^}}}}]*[}}}}]', 0)) AS s FROM {{files}} WHERE ext = 'ts')""",
         f"""
 SELECT file_id || '::' || regexp_extract(s, 'interface ({_IDENT})', 1) AS identity, path AS owner_file, regexp_extract(s, 'interface ({_IDENT})', 1) AS exported_name,
-       list_sort(list_distinct(regexp_extract_all(s, '\n  ([a-z]+)[A-Za-z_]*[0-9]*[?]?: [^\n]*;', 1))) AS fields, list_sort(list_distinct(regexp_extract_all(s, '\n  {_IDENT}[?]?: ([^\n]*);', 1))) AS types
-FROM (SELECT file_id, path, unnest(regexp_extract_all(text, 'interface {_IDENT} [{{{{][^}}}}]*[}}}}]', 0)) AS s FROM {{files}} WHERE ext = 'ts')""",
+       list_sort(list_distinct(regexp_extract_all(s, '\n  (?:readonly )?({_IDENT})[?]?: [^\n]*;', 1))) AS fields, list_sort(list_distinct(regexp_extract_all(s, '\n  (?:readonly )?{_IDENT}[?]?: ([^\n]*);', 1))) AS types
+FROM (SELECT file_id, path, unnest(regexp_extract_all(text, 'interface {_IDENT}(?:<[^>{{{{]*>)?(?: extends [^{{{{]*)? *[{{{{][^}}}}]*[}}}}]', 0)) AS s FROM {{files}} WHERE ext = 'ts')""",
     ),
     # ---- static imports of TypeScript and JavaScript files
     "imports": (
@@ -93,15 +100,17 @@ FROM (SELECT file_id, repo, path, unnest(regexp_extract_all(text, 'import [^\n;]
     # ---- type escapes before and after a cut in time: a multiset of occurrences
     "escapes": """
 SELECT md5('u' || user_id || '|' || event_type) AS occurrence_key, 'u' || user_id AS file, event_type AS escape_kind, event_id AS line,
-       event_id % 2 = 0 AS before, event_id % 3 <> 0 AS after FROM {events}""",
-    # ---- packages: nations declare suppliers; line items observe them
+       hour(ts) < 16 AS before, hour(ts) >= 8 AS after, CAST(minute(ts) AS INT) AS minute FROM {events}""",
+    # ---- packages: every supplier declares the brands it delivers; line items whose quantity is the size of the part observe them
     "declarations": """
-SELECT n_name AS package_dir, s_name AS dependency, 's' || s_suppkey AS dep_root, CASE WHEN s_suppkey % 11 = 0 THEN 'peer' WHEN s_suppkey % 7 = 0 THEN 'optional' ELSE 'prod' END AS section,
-       s_suppkey % 13 = 0 AS script_tool, s_suppkey % 17 = 0 AS type_package FROM {supplier} JOIN {nation} ON s_nationkey = n_nationkey""",
-    "observed_deps": "SELECT DISTINCT 's' || l_suppkey AS dep_root FROM {recent} WHERE l_quantity > 30",
+SELECT 's' || l_suppkey AS package_dir, p_brand AS dependency, p_brand AS dep_root, CASE WHEN min(l_discount) > 0.04 THEN 'peer' WHEN max(l_tax) < 0.05 THEN 'optional' ELSE 'prod' END AS section,
+       min(p_size) > 10 AS script_tool, max(p_size) < 42 AS type_package FROM {lineitem} JOIN {part} ON p_partkey = l_partkey GROUP BY l_suppkey, p_brand""",
+    "observed_deps": "SELECT DISTINCT 's' || supplier AS package_dir, split_part(file, '/', 1) AS dep_root FROM {sized}",
     "touches": "SELECT 'p' || l_partkey AS symbol, l_shipdate AS ts FROM {lineitem}",
     # ---- coverage: executions of definitions
-    "hits": "SELECT 'p' || l_partkey AS symbol, sum(CASE WHEN l_returnflag = 'A' THEN l_quantity ELSE 0 END) AS hits FROM {recent} GROUP BY l_partkey",
+    "hits": "SELECT 'p' || l_partkey AS symbol, sum(CASE WHEN l_returnflag = 'A' THEN l_quantity ELSE 0 END) AS hits FROM {lineitem} GROUP BY l_partkey",
+    "covered_functions": "SELECT file, size - 1 AS start, size + 1 AS end_line, sum(CASE WHEN flag = 'A' THEN 1 ELSE 0 END) AS hits FROM {sized} WHERE tax = 0 GROUP BY file, size",
+    "covered_statements": "SELECT file, size + 70 AS line, CASE WHEN flag = 'A' THEN 1 ELSE 0 END AS hits FROM {sized} WHERE tax = 0",
     # ---- findings, each once
     "findings": """
 SELECT DISTINCT finding_id, source_file_id, oracle_id, diagnostic_code, message, parse_status, primary_span_count, action_tier FROM {semantic_findings}""",

@@ -35,9 +35,9 @@ def test_globs():
 
 
 def test_script_tools(spark):
-    rows = [(1, "tsc -p . && npm run lint"), (2, "A=1 jest 'x y'; npx vitest"), (3, "echo 'open"), (4, None), (5, "")]
+    rows = [(1, "tsc -p . && npm run lint"), (2, "A=1 jest 'x y'; npx vitest"), (3, "echo 'open"), (4, None), (5, ""), (6, "pnpm dlx tsx a && node_modules/.bin/esbuild; node server.js; npm test"), (7, "yarn lint || npm run-script x")]
     got = sorted((r.id, r.tool) for r in connectors.script_tools(spark.createDataFrame(rows, "id bigint, command string")).collect())
-    assert got == [(1, "lint"), (1, "tsc"), (2, "jest"), (2, "vitest"), (3, "echo")]
+    assert got == [(1, "tsc"), (2, "jest"), (2, "vitest"), (3, "echo"), (6, "esbuild"), (6, "node"), (6, "tsx"), (7, "lint")]
 
 
 def test_component_uses(spark):
