@@ -4,9 +4,11 @@ The header of every file (its field paths and their types) is read in parallel b
 of `written_at` within each feed, giving the ordered differences; all headers of a producer are joined in a type-promotion lattice,
 giving the union schema to which every file is cast.
 
-A feed of more than CHUNK files is cut into stretches of time that are folded side by side: a first fold gives each stretch's end
-state (types of nulls that reach back before the stretch stay symbolic), the end states are chained per feed, and each stretch is
-folded again from the state before it. So no feed is a unit of work.
+A feed of more than CHUNK files is cut into stretches of about equal numbers of files, in order of time, that are folded side by side:
+a first fold gives each stretch's end state (types of nulls that reach back before the stretch stay symbolic, and stand for the fields
+below them too), the end states are chained per feed, and each stretch is folded again from the state before it. So no feed is a unit of
+work. Where an end state could depend on what is symbolic (a null field that appears while others are unknown, which may be a renaming),
+the feed is folded in one go instead, as a stream over its sorted headers.
 
 Cases: a payload that is null or no JSON object has no header and is passed over, as if the file had not been written; repeats of an
 artifact_id count once; files of equal `written_at` are ordered by artifact_id; a null has no type and keeps the last known one, the
@@ -27,9 +29,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.strict_json import loads
-from ..plans.session import lookup
+from ..plans.session import lookup, materialize
 
 CHUNK = 5_000
+#: most stretches of a feed
+STRETCHES = 1_000
 #: most columns a producer's union schema may have
 MAX_COLUMNS = 10_000
 SEP = "\x1f"
@@ -158,10 +162,11 @@ def _fold(rules: dict, summarise: bool):
     optional = {p: frozenset(r["optional"]) for p, r in rules.items()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, state, last_id = None, None, None
+        key, state, last_id, depends, first = None, None, None, False, None
 
         def summary():
-            return pa.RecordBatch.from_arrays([pa.array([key[0]], pa.int64()), pa.array([key[1]], pa.int32()), pa.array([json.dumps(state)], pa.string())], names=["feed_id", "chunk", "state"])
+            cols = (pa.array([key[0]], pa.int64()), pa.array([key[1]], pa.int32()), pa.array([first[0]], pa.string()), pa.array([first[1]], pa.string()), pa.array([json.dumps(state)], pa.string()), pa.array([depends], pa.bool_()))
+            return pa.RecordBatch.from_arrays(list(cols), names=[c.split()[0] for c in ENDS.split(", ")])
 
         for b in batches:
             out: tuple[list, ...] = ([], [], [], [])
@@ -171,12 +176,15 @@ def _fold(rules: dict, summarise: bool):
                 if (feed, part) != key:
                     if summarise and key is not None:
                         yield summary()
-                    key, last_id = (feed, part), None
+                    key, last_id, depends, first = (feed, part), None, False, (producer, header)
                     state = json.loads(carry) if carry else None
                 if artifact is not None and artifact == last_id:
                     continue  # delivered again
                 last_id = artifact
-                changes, state = step(state, json.loads(header), optional.get(producer, frozenset()))
+                raw = json.loads(header)
+                if summarise and state is not None:
+                    depends = depends or is_open(state, raw)
+                changes, state = step(state, raw, optional.get(producer, frozenset()))
                 for kind, old, new in changes:
                     for c, x in zip(out, (artifact, kind, old.replace(SEP, "."), new.replace(SEP, "."))):
                         c.append(x)
@@ -188,15 +196,38 @@ def _fold(rules: dict, summarise: bool):
     return run
 
 
-def _chain(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Per feed: the state before each stretch, from the end states of those before it."""
-    pdf = pdf.sort_values("chunk")
-    before, out = None, []
-    for s in pdf["state"]:
-        out.append(None if before is None else json.dumps(before))
-        end = json.loads(s)
-        before = {p: (before or {}).get(t[1:], t) if isinstance(t, str) and t[0] == "@" else t for p, t in end.items()}
-    return pd.DataFrame({"feed_id": pdf["feed_id"], "chunk": pdf["chunk"], "carry": out})
+def is_open(state: dict[str, str | None], raw: dict[str, str | None]) -> bool:
+    """Whether the state after a file may depend on what is symbolic: a null field appears, which may be a renaming of one that is."""
+    return any(t is None and p not in state for p, t in raw.items()) and any(t is not None and t[0] == "@" for t in state.values())
+
+
+def follow(before: dict[str, str | None] | None, first: dict[str, str | None], end: dict[str, str | None], optional: frozenset[str]) -> dict[str, str | None]:
+    """The state after a stretch, from the state before it, the header of its first file and its own end state."""
+    _, start = step(before, first, optional)
+    out = {p: start.get(t[1:], t) if isinstance(t, str) and t[0] == "@" else t for p, t in end.items()}
+    # an object that was null throughout keeps the fields below it
+    hollow = {p for p, t in end.items() if t == f"@{p}" and start.get(p) == "object"}
+    if hollow:
+        out.update({p: t for p, t in start.items() if p not in out and _under(p, hollow)})
+    return out
+
+
+ENDS = "feed_id bigint, chunk int, producer string, first string, state string, depends boolean"
+
+
+def _chain(rules: dict):
+    optional = {p: frozenset(r["optional"]) for p, r in rules.items()}
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        """Per feed: the state before each stretch, from those before it."""
+        pdf = pdf.sort_values("chunk")
+        before, out = None, []
+        for producer, first, end in zip(pdf["producer"], pdf["first"], pdf["state"]):
+            out.append(None if before is None else json.dumps(before))
+            before = follow(before, json.loads(first), json.loads(end), optional.get(producer, frozenset()))
+        return pd.DataFrame({"feed_id": pdf["feed_id"], "chunk": pdf["chunk"], "carry": out})
+
+    return run
 
 
 def schema_changes(files: DataFrame, fields: DataFrame, chunk: int = CHUNK) -> DataFrame:
@@ -204,17 +235,22 @@ def schema_changes(files: DataFrame, fields: DataFrame, chunk: int = CHUNK) -> D
     rules = contract(fields)
     headers = read_headers(files, rules)
     # narrow scan: only ids and times
-    sizes = files.groupBy("feed_id").agg(F.count("*").alias("n"), F.min("written_at").alias("t0"), F.max("written_at").alias("t1")).where(F.col("n") > chunk)
-    n_hot = sizes.count()
+    sizes = files.groupBy("feed_id").agg(F.count("*").alias("n")).where(F.col("n") > chunk)
+    n_hot, most = sizes.agg(F.count("*"), F.max("n")).first()
     if not n_hot:
         return _ordered(headers.withColumn("chunk", F.lit(0))).mapInArrow(_fold(rules, False), CHANGES)
-    cut = lookup(headers, sizes, ["feed_id"], n_hot, "left")
-    seconds = lambda c: F.col(c).cast("double")
-    big = F.col("n").isNotNull()
-    part = F.floor((seconds("written_at") - seconds("t0")) / F.greatest(seconds("t1") - seconds("t0"), F.lit(1e-6)) * F.ceil(F.col("n") / chunk))
-    cut = cut.withColumn("chunk", F.coalesce(part.cast("int"), F.lit(0))).withColumn("big", big).drop("n", "t0", "t1")
-    ends = _ordered(cut.where("big")).mapInArrow(_fold(rules, True), "feed_id bigint, chunk int, state string")
-    carry = ends.groupBy("feed_id").applyInPandas(_chain, "feed_id bigint, chunk int, carry string")
+    # cuts of about equal ranks: a sketch per hot feed, combined before the shuffle
+    k = min(STRETCHES, -(-most // chunk))
+    hot = lookup(files.select("feed_id", "written_at"), sizes, ["feed_id"], n_hot)
+    cuts = hot.groupBy("feed_id").agg(F.percentile_approx(F.unix_micros("written_at"), [i / k for i in range(1, k)], 20 * k).alias("cuts"))
+    cut = lookup(headers, materialize(cuts, "drift-cuts"), ["feed_id"], n_hot, "left")
+    part = F.size(F.filter("cuts", lambda c: c < F.unix_micros("written_at")))
+    cut = materialize(cut.withColumn("chunk", F.when(F.col("cuts").isNotNull(), part).otherwise(0)).withColumn("big", F.col("cuts").isNotNull()).drop("cuts"), "drift-headers")
+    ends = materialize(_ordered(cut.where("big")).mapInArrow(_fold(rules, True), ENDS), "drift-ends")
+    whole = ends.groupBy("feed_id").agg(F.bool_or("depends").alias("whole")).where("whole")
+    cut = lookup(cut, whole, ["feed_id"], n_hot, "left").withColumn("chunk", F.when(F.col("whole"), 0).otherwise(F.col("chunk"))).drop("whole")
+    ends = ends.join(whole.select(F.col("feed_id").alias("w")), F.col("feed_id").eqNullSafe(F.col("w")), "left_anti")
+    carry = ends.groupBy("feed_id").applyInPandas(_chain(rules), "feed_id bigint, chunk int, carry string")
     return _ordered(cut.join(carry, (cut["feed_id"].eqNullSafe(carry["feed_id"])) & (cut["chunk"] == carry["chunk"]), "left").drop(carry["feed_id"], carry["chunk"])).mapInArrow(_fold(rules, False), CHANGES)
 
 

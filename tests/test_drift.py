@@ -77,6 +77,56 @@ def test_stretches_give_the_same(spark):
     assert one == many and len(one) > 20
 
 
+def test_null_objects_across_stretches(spark):
+    x, null = {"a": {"x": 1}}, {"a": None}
+    feed = [x, x, null, null, null, null, x, x]
+    assert changes(spark, *feed) == changes(spark, *feed, chunk=2) == []
+    early = [dict(x, n=k) for k in range(3)]
+    f, c = tables(spark, {1: early})
+    late = f.withColumn("written_at", f["written_at"] + __import__("pyspark").sql.functions.expr("INTERVAL 900 DAY")).withColumn("artifact_id", f["artifact_id"] + 100)
+    assert sd.schema_changes(f.unionByName(late), c, chunk=2).count() == 0
+
+
+def test_end_states_follow_the_state_before():
+    """Folding stretches from their carried states gives what one fold over the feed gives, or the stretch says that it depends."""
+    import random
+
+    rng, checked, depends = random.Random(11), 0, 0
+    names = ["a", "b", "total_a", "aTotal", "o"]
+
+    def value(depth=0):
+        return rng.choice([1, "s", None, None, [1], {k: value(depth + 1) for k in rng.sample(["x", "y", "x_y"], rng.randrange(3))} if depth < 2 else 2])
+
+    for _ in range(1500):
+        feed, state = [], {n: value() for n in rng.sample(names, 3)}
+        for _ in range(9):
+            for n in names:
+                if rng.random() < 0.3:
+                    state[n] = value()
+                elif rng.random() < 0.15:
+                    state.pop(n, None)
+            feed.append(sd.header_of(json.dumps(state), frozenset()))
+        opt, whole, st = frozenset(), [], None
+        for h in feed:
+            out, st = sd.step(st, h, opt)
+            whole.append(out)
+        for size in range(1, 8):
+            before, got, ok = None, [], True
+            for lo in range(0, len(feed), size):
+                carry, end = before, None
+                for h in feed[lo : lo + size]:
+                    ok = ok and (end is None or not sd.is_open(end, h))
+                    out, carry = sd.step(carry, h, opt)
+                    got.append(out)
+                    _, end = sd.step(end, h, opt)
+                before = sd.follow(before, feed[lo], end, opt)
+            depends += not ok
+            if ok:
+                checked += 1
+                assert got == whole, (feed, size)
+    assert checked > 3000 and depends > 100
+
+
 def test_union_table(spark):
     f, c = tables(spark, {1: [{"a": 1, "s": 1, "o": {"x": True}}, {"a": 2.5, "s": "t", "n": None}]})
     t = sd.consistent_table(f, c, "p").orderBy("artifact_id")
