@@ -98,11 +98,13 @@ def flatten_messages(messages: DataFrame, payloads: bool = True) -> DataFrame:
 
 
 def typed_table(nodes: DataFrame, tag: str) -> DataFrame:
-    """The flat table of one tag: keys, ordinal and typed columns. A field of another type than the schema's is null."""
+    """The flat table of one tag: keys, ordinal and typed columns. A field of another type than the schema's is null. Of nodes that
+    `write_tables` wrote, only the folder of the tag is read."""
     parsed = nodes.where(F.col("tag") == tag).withColumn("f", F.from_json("payload", SCHEMAS[tag]))
     return parsed.select("message_id", "node_path", "parent_path", "ordinal", "f.*")
 
 
-def write_tables(nodes: DataFrame, path: str) -> None:
-    """All tables in one pass, partitioned by tag."""
+def write_tables(nodes: DataFrame, path: str) -> DataFrame:
+    """Write all tables in one pass, partitioned by tag; the rows as they can be read back."""
     nodes.write.mode("overwrite").partitionBy("tag").parquet(path)
+    return nodes.sparkSession.read.schema(nodes.schema).parquet(path)

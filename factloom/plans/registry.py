@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ..operators import flatten
 from ..sources import bad_records, schema_drift
 from . import q_clones, q_deltas, q_extract, q_misc, q_more, q_symbols, q_text, q_topology
-from .session import table
+from .session import table, written
 
 _families = (q_topology, q_symbols, q_clones, q_text, q_deltas, q_misc, q_extract, q_more)
 
@@ -16,8 +16,13 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return flatten.flatten_messages(table(spark, d, "compiler_messages"), payloads=False).select("message_id", "node_path", "parent_path")
 
 
+def _p2_tables(spark: SparkSession, d: str) -> DataFrame:
+    """The tagged rows of all tables, emitted and written once; whichever of them is asked for reads its own folder."""
+    return written(spark, f"p2:{d}", lambda path: flatten.write_tables(flatten.flatten_messages(table(spark, d, "compiler_messages")), path))
+
+
 def _p2_table(tag: str):
-    return lambda spark, d: flatten.typed_table(flatten.flatten_messages(table(spark, d, "compiler_messages")), tag)
+    return lambda spark, d: flatten.typed_table(_p2_tables(spark, d), tag)
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:

@@ -9,6 +9,7 @@ import shutil
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable
 from pathlib import Path
 
 from pyspark import SparkContext
@@ -36,19 +37,17 @@ def ship(spark: SparkSession) -> None:
     Path(path).write_bytes(buf.getvalue())
     sc.addPyFile(path)
     _shipped.add(sc.applicationId)
-    # Python operators see long texts: keep their Arrow batches small
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
-    try:
-        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
-    except Exception:  # noqa: BLE001 - older Spark
-        pass
+    # Python operators see long texts: keep their Arrow batches small, unless the session asks for other sizes
+    for key, value in (("spark.sql.execution.arrow.maxRecordsPerBatch", "2000"), ("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))):
+        if not sc.getConf().contains(key):
+            spark.conf.set(key, value)
 
 
 def spread(df: DataFrame, *cols: str) -> DataFrame:
     """Before a CPU-bound Python operator: repartition an input that comes in too few splits to fill the cluster.
-    Inputs of many splits stay where they are, without a shuffle."""
+    Inputs of many splits stay where they are, without a shuffle, and so does what comes out of a shuffle (to count its splits would run it)."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
+    if df._jdf.queryExecution().executedPlan().nodeName() == "AdaptiveSparkPlan" or df.rdd.getNumPartitions() >= cores:
         return df
     return df.repartition(3 * cores, *cols)
 
@@ -72,16 +71,28 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 _written: list[str] = []
+_kept: dict[tuple[str, str], DataFrame] = {}
 
 
 def release(spark: SparkSession) -> None:
     """Delete the tables that materialize() wrote in this process. Call it once their results are stored: plans read them lazily."""
     jvm = spark._jvm
+    _kept.clear()
     while _written:
         path = jvm.org.apache.hadoop.fs.Path(_written.pop())
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def written(spark: SparkSession, name: str, write: Callable[[str], DataFrame]) -> DataFrame:
+    """A table that several queries of one application read, written to the shared folder by the first of them; until release()."""
+    key = (spark.sparkContext.applicationId, name)
+    if key not in _kept:
+        path = f"{shared_dir(spark)}/kept-{uuid.uuid4().hex}"
+        _written.append(path)
+        _kept[key] = write(path)
+    return _kept[key]
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Cut lineage with a written table in the shared folder; survives the loss of executors."""
     spark = df.sparkSession

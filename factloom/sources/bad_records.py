@@ -1,8 +1,9 @@
 """Problem 3: load the rows that parse, and set apart those that do not with the reason.
 
 Records are parsed in blocks on a fast path: JSON lines by one call of the C parser over a whole block, comma-separated records
-by the columnar CSV reader with typed columns behind a vectorised check of the exact format. A block that fails is bisected until
-the bad records stand alone; those are diagnosed strictly, one by one.
+by the columnar CSV reader with typed columns. A block that fails is bisected; what is left of it when its parts are small is diagnosed
+strictly, record by record. Blocks of comma-separated records grow while they load and shrink where records are bad, so clean files are
+read at the speed of the reader, and dirty ones are not parsed over and over.
 
 Cases: null or empty text has no lines; blank lines (spaces and tabs) are no records; a null raw record has no fields and fails with
 'columns'; identical records are loaded as often as they occur; repeats of a run count once; very long streams are split into lines
@@ -17,7 +18,6 @@ import secrets
 from collections.abc import Iterator
 from datetime import datetime, timezone
 
-import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import pyarrow.csv
@@ -194,63 +194,74 @@ def diagnose(record: str | None) -> tuple[str | None, str | None, tuple | None]:
 _SCHEMA = pa.schema([("reason", pa.string()), ("detail", pa.string()), *_TYPES.items()])
 
 
-def _isolate(fast: np.ndarray, lo: int, hi: int, bad: list[int]) -> None:
-    """Bisect [lo, hi) wherever a record fails the vectorised check, until the failing records stand alone."""
-    if fast[lo:hi].all():
-        return
-    if hi - lo == 1:
-        bad.append(lo)
-        return
-    mid = (lo + hi) // 2
-    _isolate(fast, lo, mid, bad)
-    _isolate(fast, mid, hi, bad)
+#: blocks begin at START records, double where they load and halve where they fail; a failing block of LEAF records is diagnosed. Where
+#: SMALLEST ones fail again and again, ever longer runs are diagnosed without trying, up to LARGEST records
+START, SMALLEST, LARGEST, LEAF = 512, 128, 8192, 32
 
 
-def _convert(records: list[str], at: list[int], parts: list[tuple[list[int], pa.Table]], bad: list[int]) -> None:
-    """Typed columns of records that passed the check, by the columnar reader; what it cannot convert (a day that is none, a number
-    too large) fails its block, which is bisected."""
-    if not at:
-        return
+def _load_block(raw: pa.Array, lo: int, hi: int) -> pa.Table | None:
+    """Typed columns of a block of records by the columnar reader, or None where any of them does not load. What the reader takes but the
+    format does not allow (blanks around numbers, quotes inside bare fields) fails the block too."""
+    block = raw.slice(lo, hi - lo)
+    if block.null_count:
+        return None
     try:
         got = pyarrow.csv.read_csv(
-            io.BytesIO("\n".join([records[i] for i in at]).encode() + b"\n"),
+            io.BytesIO("\n".join(block.to_pylist()).encode() + b"\n"),
             pyarrow.csv.ReadOptions(column_names=list(FIELDS), use_threads=False),
             pyarrow.csv.ParseOptions(newlines_in_values=True, ignore_empty_lines=False),
             pyarrow.csv.ConvertOptions(column_types=_TYPES, null_values=[""], strings_can_be_null=False, true_values=["true"], false_values=["false"]),
         )
-        if got.num_rows == len(at):
-            parts.append((at, got))
-            return
     except pa.ArrowInvalid:
-        pass
-    if len(at) == 1:
-        bad.append(at[0])
+        return None
+    return got if got.num_rows == hi - lo and pc.all(pc.match_substring_regex(block, _FAST)).as_py() else None
+
+
+def _bisect(raw: pa.Array, lo: int, hi: int, parts: list[tuple[int, int, pa.Table]], bad: list[int]) -> None:
+    """Split a failing block until its parts load, or are small enough to be diagnosed one by one."""
+    if hi - lo <= LEAF:
+        bad.extend(range(lo, hi))
         return
-    mid = len(at) // 2
-    _convert(records, at[:mid], parts, bad)
-    _convert(records, at[mid:], parts, bad)
+    mid = (lo + hi) // 2
+    for a, z in ((lo, mid), (mid, hi)):
+        got = _load_block(raw, a, z) if z - a > LEAF else None
+        if got is None:
+            _bisect(raw, a, z, parts, bad)
+        else:
+            parts.append((a, z, got))
 
 
 def _csv_records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    size, dirty = START, 0
     for b in batches:
         n = b.num_rows
         if not n:
             continue
         raw = b.column("raw_line")
-        records = raw.to_pylist()
-        fast = pc.fill_null(pc.match_substring_regex(raw, _FAST), False).to_numpy(zero_copy_only=False)
-        bad: list[int] = []
-        for lo in range(0, n, BLOCK):
-            _isolate(fast, lo, min(lo + BLOCK, n), bad)
-        parts: list[tuple[list[int], pa.Table]] = []
-        failed = set(bad)
-        _convert(records, [i for i in range(n) if i not in failed], parts, bad)
-        rows = [diagnose(records[i]) for i in bad]
-        strict = [pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string())]
-        strict += [pa.array([r[2][k] if r[2] else None for r in rows], t) for k, t in enumerate(_TYPES.values())]
-        tables = [pa.table([pa.nulls(len(at), pa.string()), pa.nulls(len(at), pa.string()), *t.columns], schema=_SCHEMA) for at, t in parts]
-        t = pa.concat_tables([*tables, pa.table(strict, schema=_SCHEMA)]).combine_chunks()
-        order = [i for at, _ in parts for i in at] + bad
+        parts: list[tuple[int, int, pa.Table]] = []
+        strict: list[int] = []  # records of small failing blocks, good ones among them
+        lo = 0
+        while lo < n:
+            hi = min(lo + size, n)
+            got = _load_block(raw, lo, hi)
+            if got is None:
+                _bisect(raw, lo, hi, parts, strict)
+                dirty = dirty + 1 if size == SMALLEST else 0
+                size = max(size // 2, SMALLEST)
+                if dirty > 1:
+                    lo, hi = hi, min(hi + min(SMALLEST << dirty, LARGEST), n)
+                    strict.extend(range(lo, hi))
+            else:
+                parts.append((lo, hi, got))
+                size, dirty = min(size * 2, LARGEST), 0
+            lo = hi
+        records = raw.take(pa.array(strict, pa.int64())).to_pylist()
+        rows = [diagnose(r) for r in records]
+        cols = [pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string())]
+        cols += [pa.array([r[2][k] if r[2] else None for r in rows], t) for k, t in enumerate(_TYPES.values())]
+        tables = [pa.table([pa.nulls(z - a, pa.string()), pa.nulls(z - a, pa.string()), *t.columns], schema=_SCHEMA) for a, z, t in parts]
+        t = pa.concat_tables([*tables, pa.table(cols, schema=_SCHEMA)]).combine_chunks()
+        order = [i for a, z, _ in parts for i in range(a, z)] + strict
         t = t.set_column(t.schema.get_field_index("observed_at"), "observed_at", t.column("observed_at").cast(pa.timestamp("us", tz="UTC")))
         keys = [b.column(c).take(pa.array(order, pa.int64())) for c in ("raw_id", "file_name", "line_no")]
         yield from pa.table([*keys, *t.columns], names=["raw_id", "file_name", "line_no", *t.column_names]).to_batches()

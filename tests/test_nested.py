@@ -45,6 +45,18 @@ def test_round_trip(spark):
     assert [(x.parent_path, x.byte_end, x.is_primary) for x in s] == [("message", 2, True)]
 
 
+def test_tables_are_written_by_tag(spark, tmp_path):
+    rows = [(i, json.dumps({"message": {"message": f"m{i}", "spans": [{"file_name": "a", "text": [{"text": "t"}]}], "children": [{"message": "c"}]}})) for i in range(20)]
+    t = flatten.flatten_messages(spark.createDataFrame(rows, "message_id bigint, payload string"))
+    path = f"file://{tmp_path}/tables"
+    back = flatten.write_tables(t, path)
+    assert {p.name for p in (tmp_path / "tables").iterdir() if p.is_dir()} == {f"tag={x}" for x in ("diagnostic", "span", "text")}
+    for tag in flatten.SCHEMAS:
+        assert sorted(map(str, flatten.typed_table(back, tag).collect())) == sorted(map(str, flatten.typed_table(t, tag).collect()))
+    plan = flatten.typed_table(back, "span")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(tag" in plan and "MapInArrow" not in plan
+
+
 def test_strict_json():
     for text in ('{"a": [1, 2.5e3, -0, "x\\u00e9", null, true]}', "[]", '"s"', " 1 "):
         assert loads(text) == json.loads(text) == _deep(text)
