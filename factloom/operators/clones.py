@@ -7,10 +7,17 @@ pair is part of the join. Block clones link neighbouring occurrences of equal k-
 
 from __future__ import annotations
 
+import hashlib
+import re
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.session import materialize
+from ..plans.session import materialize, spread
+from .pairs import BLOCK, meet
 
 # fixed values of the near-function policy
 GENERIC_CALL_TOKENS = ("apply", "bind", "call", "catch", "filter", "find", "forEach", "format", "includes", "join", "map", "push", "reduce", "slice", "split", "then", "toString", "trim")
@@ -70,9 +77,10 @@ def token_idf(facts: DataFrame) -> DataFrame:
     return df.join(F.broadcast(n)).select("token", "df", F.log((F.col("n") + 1.0) / (F.col("df") + 1.0)).alias("idf"))  # n is one row
 
 
-def near_functions(facts: DataFrame) -> DataFrame:
+def near_functions(facts: DataFrame, block: int = BLOCK) -> DataFrame:
     """Every pair of near clones with its score. Members of exact or structure groups and functions without tokens take no part;
-    scores are rounded to three places before they are compared."""
+    scores are rounded to three places before they are compared. Functions meet at a token, with equal is_async; those of a
+    frequent token meet in blocks (`pairs.meet`), so no token is one task."""
     # facts come from source texts: they are extracted once, and the index that both sides of the join read is written once
     facts = materialize(facts.select("identity", "name", "body_loc", "statement_count", "param_count", "is_async", "generated", "owner_file", "exact_hash", "structure_hash", "call_tokens"), "near-facts")
     f = significant(facts)
@@ -86,18 +94,12 @@ def near_functions(facts: DataFrame) -> DataFrame:
     kept = post.groupBy("identity").agg(F.array_sort(F.collect_list("token")).alias("retained"))
     f = f.join(kept, "identity").withColumn("words", name_tokens(F.col("name")))
     one = materialize(f.select("identity", "is_async", "param_count", "body_loc", "statement_count", "sig", "retained", "words", "generated"), "near-index")
-    left = one.select(*[F.col(c).alias(f"l_{c}") for c in one.columns]).withColumn("token", F.explode("l_retained"))
-    right = one.select(*[F.col(c).alias(f"r_{c}") for c in one.columns]).withColumn("token", F.explode("r_retained"))
+    at = one.withColumn("token", F.explode("retained")).withColumn("lane", F.col("is_async"))
+    crowd = at.groupBy("token", "lane").agg(F.count("*").alias("crowd")).where("crowd > 1")
+    met = meet(at.join(crowd, ["token", "lane"]), ["token", "lane"], "identity", "crowd", block)
+    met = met.select("token", *[F.col(f"{side}.{c}").alias(f"{side}_{c}") for side in "lr" for c in one.columns])
     loc_sim, st_sim = range_similarity(F.col("l_body_loc"), F.col("r_body_loc")), range_similarity(F.col("l_statement_count"), F.col("r_statement_count"))
-    ok = (
-        (left["token"] == right["token"])
-        & (F.col("l_identity") < F.col("r_identity"))
-        & (F.col("l_is_async") == F.col("r_is_async"))
-        & (F.abs(F.col("l_param_count") - F.col("r_param_count")) <= 1)
-        & (loc_sim >= MIN_SIMILARITY)
-        & (st_sim >= MIN_SIMILARITY)
-    )
-    pairs = left.join(right, ok).drop(right["token"])
+    pairs = met.where((F.abs(F.col("l_param_count") - F.col("r_param_count")) <= 1) & (loc_sim >= MIN_SIMILARITY) & (st_sim >= MIN_SIMILARITY))
     pairs = pairs.where(F.col("token") == F.array_min(F.array_intersect("l_retained", "r_retained")))
     shared = pairs.withColumn("shared", F.array_intersect("l_sig", "r_sig"))
     # sums in token order, so that they do not depend on the plan
@@ -116,17 +118,121 @@ def near_diagnostics(facts: DataFrame) -> DataFrame:
     return idf.select("token", F.col("df").alias("functions"), F.expr("df * (df - 1) div 2").alias("skipped_pairs"))
 
 
+#: fixed values: reserved words, which stand for themselves; what begins a scope at the margin of a line
+RESERVED = (
+    "await break case catch class const continue debugger default delete do else enum export extends false finally for function if import in instanceof "
+    "new null return super switch this throw true try typeof var void while with yield let static implements interface package private protected public async of"
+).split()
+SCOPE = "^(?:export|async|function|class|const|let|var|interface|type|enum|abstract|declare) "
+TOKEN = "[.]?[A-Za-z_$][A-Za-z0-9_$]*|[0-9]+|[^ A-Za-z0-9_$]"
+WINDOWS = "hash bigint, file bigint, pos bigint, line bigint, end_line bigint"
+_BASE = 0x9E3779B97F4A7C15
+
+
+def _digest(value: str) -> int:
+    return int.from_bytes(hashlib.blake2b(value.encode(), digest_size=8).digest(), "little")
+
+
+def _windows(file: int, values: np.ndarray, lines: np.ndarray, k: int, pos: int = 0) -> pa.RecordBatch:
+    """Hash, place and lines of every window of k values of a file (a polynomial modulo 2 ** 64, rolled over all windows at once)."""
+    n = max(0, len(values) - k + 1)
+    if n:
+        up, down = (np.full(len(values), x, np.uint64) for x in (_BASE, pow(_BASE, -1, 1 << 64)))
+        up[0] = down[0] = 1
+        up, down = np.cumprod(up), np.cumprod(down)
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values * down)])
+        hashes = ((sums[k:] - sums[:-k]) * up[k - 1 :]).view(np.int64)
+    else:
+        hashes = np.empty(0, np.int64)
+    cols = (hashes, np.full(n, file, np.int64), pos + np.arange(n), lines[:n], lines[k - 1 : k - 1 + n])
+    return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in cols], names=[c.split()[0] for c in WINDOWS.split(", ")])
+
+
+def _of_texts(k: int):
+    token, scope, reserved = re.compile(TOKEN), re.compile(SCOPE), frozenset(RESERVED)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, int] = {}
+        for b in batches:
+            for file, text in zip(b.column("file").to_pylist(), b.column("text").to_pylist()):
+                values, lines, slots = [], [], {}
+                for at, body in enumerate((text or "").split("\n")):
+                    if scope.match(body):
+                        slots = {}
+                    for t in token.findall(body):
+                        c = t[0]
+                        if c.isalpha() or c in "_$":
+                            if t not in reserved:
+                                t = slots.setdefault(t, f"${len(slots) + 1}")
+                        elif c.isdigit():
+                            t = "0"
+                        v = known.get(t)
+                        if v is None:
+                            if len(known) > 1_000_000:
+                                known.clear()
+                            known[t] = v = _digest(t)
+                        values.append(v)
+                        lines.append(at)
+                if len(values) >= k:
+                    yield _windows(file, np.array(values, np.uint64), np.array(lines, np.int64), k)
+
+    return run
+
+
+def _of_tokens(k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        file, values, lines = None, [], []
+
+        def done():
+            return _windows(file, np.concatenate(values).view(np.uint64), np.concatenate(lines), k)
+
+        for b in batches:
+            files, v, at = (b.column(c).to_numpy(zero_copy_only=False) for c in ("file", "value", "line"))
+            for part in np.split(np.arange(len(files)), np.flatnonzero(np.diff(files)) + 1) if len(files) else ():
+                if file is not None and files[part[0]] != file:
+                    yield done()
+                    values, lines = [], []
+                file = files[part[0]]
+                values.append(v[part])
+                lines.append(at[part])
+        if file is not None:
+            yield done()
+
+    return run
+
+
+def text_windows(files: DataFrame, k: int = 50) -> DataFrame:
+    """Windows of k normalised tokens of files(file, text) of TypeScript and JavaScript, one pass over each text. Identifiers are slots
+    numbered by first use within what begins at the margin; reserved words, properties (.name) and signs stand for themselves, numbers are 0."""
+    return spread(files.select("file", "text")).mapInArrow(_of_texts(k), WINDOWS)
+
+
+def token_windows(tokens: DataFrame, k: int = 50) -> DataFrame:
+    """Windows of k values of tokens(file, pos, value, line), pos from 0 without gaps. The values of one file are held by one task."""
+    t = tokens.select("file", "pos", F.xxhash64("value").alias("value"), "line")
+    return t.repartition("file").sortWithinPartitions("file", "pos").select("file", "value", "line").mapInArrow(_of_tokens(k), WINDOWS)
+
+
 def block_clones(tokens: DataFrame, k: int = 50, min_lines: int = 5, chunk: Column | None = None) -> DataFrame:
-    """Maximal equal token runs between neighbouring occurrences. tokens(file, pos, value, line), pos from 0 without gaps.
-
-    Every window of k tokens is hashed. Equal windows are put in order (file, pos) within chunks of files (64 by the hash of the file, or
-    the given column), and neighbours are linked, as are the first windows of the chunks; so a window with m occurrences gives m - 1 links, and
-    boilerplate that is everywhere is not one unit of work. An occurrence whose neighbour overlaps it is linked to the first one of its file
-    that does not, and the first of a file to the first of the next file, whatever overlaps between. Links of one diagonal (same two files, same distance) at consecutive
-    positions are one run."""
-    w = Window.partitionBy("file").orderBy("pos").rowsBetween(0, k - 1)
-    grams = tokens.withColumn("hash", F.xxhash64(F.collect_list("value").over(w))).withColumn("n", F.count("*").over(w)).withColumn("end_line", F.last("line").over(w)).where(F.col("n") == k)
-    grams = grams.select("hash", "file", "pos", "line", "end_line", (F.pmod(F.xxhash64("file"), F.lit(64)) if chunk is None else chunk).alias("chunk"))
+    """Maximal equal token runs between neighbouring occurrences in tokens(file, pos, value, line); see `linked_windows`."""
+    return linked_windows(token_windows(tokens, k), k, min_lines, chunk)
+
+
+def linked_windows(windows: DataFrame, k: int = 50, min_lines: int = 5, chunk: Column | None = None, per_chunk: int = 10_000) -> DataFrame:
+    """Maximal equal token runs between neighbouring occurrences of the windows(hash, file, pos, line, end_line).
+
+    Only windows that occur twice go on. They are put in order (file, pos) within chunks of files (by the hash of the file, about
+    per_chunk files and 64 chunks at least, or the given column), and neighbours are linked, as are the first windows of the chunks; so a
+    window with m occurrences gives m - 1 links, and boilerplate that is everywhere is not one unit of work. An occurrence whose neighbour
+    overlaps it is linked to the first one of its file that does not, and the first of a file to the first of the next file, whatever
+    overlaps between. Links of one diagonal (same two files, same distance) at consecutive positions are one run."""
+    windows = materialize(windows, "clone-windows")
+    again_and_again = windows.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash")
+    if chunk is None:
+        files = windows.select("file").distinct().count()
+        chunk = F.pmod(F.xxhash64("file"), F.lit(max(64, -(-files // per_chunk))))
+    grams = windows.join(again_and_again, "hash", "left_semi").select("hash", "file", "pos", "line", "end_line", chunk.alias("chunk"))
+    grams = materialize(grams, "clone-repeats")
     after = lambda v: [F.lead(c).over(v).alias(f"{c}2") for c in ("file", "pos", "line", "end_line")]
     within = Window.partitionBy("hash", "chunk").orderBy("file", "pos")
     inner = grams.select("hash", "file", "pos", "line", "end_line", *after(within))
@@ -140,7 +246,7 @@ def block_clones(tokens: DataFrame, k: int = 50, min_lines: int = 5, chunk: Colu
     crossing = firsts.select("hash", "file", "pos", "line", "end_line", "end", *after(Window.partitionBy("hash", "chunk").orderBy("file"))).where("end > pos")
     lapped = grams.withColumn("next", F.lead("pos").over(own)).where(F.col("next") - F.col("pos") < k).select("hash", "file").distinct()
     crossing = crossing.join(lapped, ["hash", "file"], "left_semi").drop("end")
-    heads = grams.groupBy("hash", "chunk").agg(F.min(F.struct("file", "pos", "line", "end_line")).alias("h")).select("hash", "chunk", "h.*")  # 64 rows a hash at most
+    heads = grams.groupBy("hash", "chunk").agg(F.min(F.struct("file", "pos", "line", "end_line")).alias("h")).select("hash", "chunk", "h.*")  # as many rows a hash as chunks
     outer = heads.select("hash", "file", "pos", "line", "end_line", *after(Window.partitionBy("hash").orderBy("chunk")))
     links = inner.unionByName(outer).unionByName(again).unionByName(crossing).where("file2 IS NOT NULL")
     links = links.where((F.col("file") != F.col("file2")) | (F.col("pos2") - F.col("pos") >= k))

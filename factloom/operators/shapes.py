@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.session import materialize
+from .pairs import BLOCK, meet
+
 # fixed values: words that say nothing about a domain
 STOP_TOKENS = ("type", "types", "interface", "interfaces", "model", "models", "state", "view", "data", "dto", "payload", "props", "options", "config", "request", "response", "result", "event", "item")
 
@@ -20,24 +23,39 @@ def name_words(name: Column) -> Column:
     return F.array_except(F.filter(words, lambda w: F.length(w) >= 3), F.array(*[F.lit(t) for t in STOP_TOKENS]))
 
 
-def near(shapes: DataFrame, least_shared: int = 2) -> DataFrame:
+MIN_JACCARD, MIN_JACCARD_WITHOUT_NAME = 0.4, 0.5
+
+
+def near(shapes: DataFrame, least_shared: int = 2, block: int = BLOCK) -> DataFrame:
     """Pairs of shapes that share two fields and more and a cue (directory or a word of the name), and are alike enough.
 
-    Candidates come from an inverted index on field names: a pair is counted where it shares fields, instead of comparing all pairs."""
+    Two shapes can be alike enough only if they share one of the rarest fields of each: of k fields all but the commonest that the least
+    overlap may consist of. They meet there, at their first shared field and cue; a field that is in most shapes is the rarest shared
+    one of hardly any pair, so it is no place to meet. Where a place is still crowded its shapes meet in blocks (`pairs.meet`)."""
     words = name_words(F.col("exported_name"))
-    s = shapes.where(F.size("fields") > 0).select("identity", "fields", words.alias("words"), F.regexp_extract("owner_file", "^(.*)/[^/]*$", 1).alias("dir"))
-    f = s.select("identity", F.explode("fields").alias("field"))
-    shared = f.alias("a").join(f.alias("b"), (F.col("a.field") == F.col("b.field")) & (F.col("a.identity") < F.col("b.identity")))
-    shared = shared.groupBy(F.col("a.identity").alias("left"), F.col("b.identity").alias("right")).agg(F.count("*").alias("shared")).where(F.col("shared") >= least_shared)
-    j = shared.join(s.select(*[F.col(c).alias(f"l_{c}") for c in s.columns]), F.col("left") == F.col("l_identity")).join(s.select(*[F.col(c).alias(f"r_{c}") for c in s.columns]), F.col("right") == F.col("r_identity"))
-    jac = F.col("shared") / (F.size("l_fields") + F.size("r_fields") - F.col("shared"))
-    names = F.size(F.array_intersect("l_words", "r_words"))
-    union = F.size(F.array_union("l_words", "r_words"))
+    folder = F.regexp_extract("owner_file", "^(.*)/[^/]*$", 1)
+    k = F.size("fields")
+    s = shapes.where(k >= least_shared).select("identity", "fields", words.alias("words"), folder.alias("dir"))
+    counts = s.select(F.explode("fields").alias("field")).groupBy("field").agg(F.count("*").alias("n"))
+    rare = s.select("identity", F.explode("fields").alias("field")).join(counts, "field").groupBy("identity").agg(F.array_sort(F.collect_list(F.struct("n", "field"))).alias("o"))
+    s = s.join(rare.select("identity", F.transform("o", lambda x: x["field"]).alias("ordered")), "identity")
+    cues = F.array_union(F.transform("words", lambda w: F.concat(F.lit("w:"), w)), F.array(F.concat(F.lit("d:"), "dir")))
+    s = materialize(s.withColumn("cues", cues), "shape-index")
+    prefix = F.slice("ordered", F.lit(1), k - F.greatest(F.ceil(k * MIN_JACCARD).cast("int"), F.lit(least_shared)) + 1)
+    at = s.withColumn("field", F.explode(prefix)).withColumn("cue", F.explode("cues"))
+    crowd = at.groupBy("field", "cue").agg(F.count("*").alias("crowd")).where("crowd > 1")
+    j = meet(at.join(crowd, ["field", "cue"]), ["field", "cue"], "identity", "crowd", block)
+    shared = F.array_intersect("l.fields", "r.fields")
+    first = F.element_at(F.filter("l.ordered", lambda x: F.array_contains(F.col("r.fields"), x)), 1)
+    j = j.where((F.col("field") == first) & (F.col("cue") == F.array_min(F.array_intersect("l.cues", "r.cues")))).withColumn("shared", F.size(shared).cast("bigint")).where(F.col("shared") >= least_shared)
+    jac = F.col("shared") / (F.size("l.fields") + F.size("r.fields") - F.col("shared"))
+    names = F.size(F.array_intersect("l.words", "r.words"))
+    union = F.size(F.array_union("l.words", "r.words"))
     name_jac = F.when(union == 0, 0.0).otherwise(names / union)
-    same = F.col("l_dir") == F.col("r_dir")
-    ok = ((names > 0) | same) & ((jac >= 0.5) | ((names > 0) & (jac >= 0.4)))
+    same = F.col("l.dir") == F.col("r.dir")
+    ok = ((names > 0) | same) & ((jac >= MIN_JACCARD_WITHOUT_NAME) | ((names > 0) & (jac >= MIN_JACCARD)))
     score = F.round(0.75 * jac + 0.2 * name_jac + 0.05 * same.cast("double"), 3)
-    return j.where(ok).select("left", "right", "shared", F.round(jac, 3).alias("field_jaccard"), score.alias("score"))
+    return j.where(ok).select(F.col("l.identity").alias("left"), F.col("r.identity").alias("right"), "shared", F.round(jac, 3).alias("field_jaccard"), score.alias("score"))
 
 
 def inline_groups(blocks: DataFrame, least: int = 3) -> DataFrame:

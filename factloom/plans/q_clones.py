@@ -31,20 +31,9 @@ def near_diag(s, d):
     return clones.near_diagnostics(fact(s, d, "function_facts"))
 
 
-def _tokens(s, d):
-    """Normalised tokens of TypeScript and JavaScript files: identifiers but property names become slots, numbers 0."""
-    files = fact(s, d, "files").where("ext IN ('ts', 'js', 'mjs')")
-    lines = files.select("file_id", F.posexplode(F.split("text", "\n")).alias("line", "body"))
-    toks = lines.select("file_id", "line", F.posexplode(F.regexp_extract_all("body", F.lit("[.]?[A-Za-z_$][A-Za-z0-9_$]*|[0-9]+|[^ A-Za-z0-9_$]"), F.lit(0))).alias("i", "t"))
-    from pyspark.sql import Window
-
-    value = F.when(F.col("t").rlike("^[A-Za-z_$]"), "$").when(F.col("t").rlike("^[0-9]"), "0").when(F.col("t").rlike("^[.][A-Za-z]"), ".p").otherwise(F.col("t"))
-    pos = F.row_number().over(Window.partitionBy("file_id").orderBy("line", "i")) - 1
-    return toks.select(F.col("file_id").alias("file"), pos.alias("pos"), value.alias("value"), "line")
-
-
 def blocks(s, d):
-    return clones.block_clones(_tokens(s, d), chunk=F.col("file") % 64)
+    files = fact(s, d, "files").where("ext IN ('ts', 'js', 'mjs')").select(F.col("file_id").alias("file"), "text")
+    return clones.linked_windows(clones.text_windows(files), chunk=F.col("file") % 64)
 
 
 def block_policy(s, d):
@@ -116,10 +105,14 @@ pairs AS (SELECT l, r, x.sig AS ls, y.sig AS rs, x.words AS lw, y.words AS rw, x
 sc AS (SELECT p.*, list_sort(list_filter(ls, lambda t: list_contains(rs, t))) AS sh, (SELECT sum(idf ORDER BY token) FROM idf WHERE list_contains(p.ls, token) AND list_contains(p.rs, token)) AS s,
   CASE WHEN len(list_distinct(lw || rw)) = 0 THEN 0 ELSE len(list_intersect(lw, rw)) / len(list_distinct(lw || rw)) END AS nj FROM pairs p WHERE ls_sim >= 0.34 AND st_sim >= 0.34),
 near AS (SELECT l AS l_identity, r AS r_identity, round(least(s / 6.0, 1.0) * 0.45 + nj * 0.25 + ls_sim * 0.15 + st_sim * 0.15, 3) AS score, array_to_string(sh, ',') AS shared_tokens, generated_only FROM sc WHERE least(s / 6.0, 1.0) >= 0.5 OR nj >= 0.34)"""
-_BLOCKS = r"""
+_RESERVED = ", ".join(f"'{w}'" for w in clones.RESERVED)
+_BLOCKS = f"""
 lines AS (SELECT file_id, unnest(range(len(string_split(text, chr(10))))) AS line, unnest(string_split(text, chr(10))) AS body FROM files WHERE ext IN ('ts', 'js', 'mjs')),
-tk AS (SELECT file_id, line, unnest(range(len(a))) AS i, unnest(a) AS t FROM (SELECT file_id, line, regexp_extract_all(body, '[.]?[A-Za-z_$][A-Za-z0-9_$]*|[0-9]+|[^ A-Za-z0-9_$]', 0) AS a FROM lines)),
-tok AS (SELECT file_id AS file, row_number() OVER (PARTITION BY file_id ORDER BY line, i) - 1 AS pos, line, CASE WHEN regexp_matches(t, '^[A-Za-z_$]') THEN '$' WHEN regexp_matches(t, '^[0-9]') THEN '0' WHEN regexp_matches(t, '^[.][A-Za-z]') THEN '.p' ELSE t END AS value FROM tk),
+sco AS (SELECT *, sum(regexp_matches(body, '{clones.SCOPE}')::INT) OVER (PARTITION BY file_id ORDER BY line) AS scope FROM lines),
+tk AS (SELECT file_id, line, scope, unnest(range(len(a))) AS i, unnest(a) AS t FROM (SELECT file_id, line, scope, regexp_extract_all(body, '{clones.TOKEN}', 0) AS a FROM sco)),
+tp AS (SELECT file_id AS file, row_number() OVER (PARTITION BY file_id ORDER BY line, i) - 1 AS pos, line, scope, t, regexp_matches(t, '^[A-Za-z_$]') AND t NOT IN ({_RESERVED}) AS ident FROM tk),
+fu AS (SELECT *, min(pos) OVER (PARTITION BY file, scope, t) AS use1 FROM tp),
+tok AS (SELECT file, pos, line, CASE WHEN ident THEN '$' || dense_rank() OVER (PARTITION BY file, scope, ident ORDER BY use1) WHEN regexp_matches(t, '^[0-9]') THEN '0' ELSE t END AS value FROM fu),
 gr AS (SELECT file, pos, line, last(line) OVER w AS end_line, count(*) OVER w AS n, list(value) OVER w AS g FROM tok WINDOW w AS (PARTITION BY file ORDER BY pos ROWS BETWEEN CURRENT ROW AND 49 FOLLOWING)),
 g2 AS (SELECT file, pos, line, end_line, md5(array_to_string(g, chr(1))) AS h FROM gr WHERE n = 50),
 hd AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY h, file % 64 ORDER BY file, pos) AS r FROM g2) WHERE r = 1),
