@@ -1,6 +1,6 @@
 """Problem 6: fill fixed-capacity containers with documents, by lexical retrieval.
 
-Documents are put into shards of about equal size by content: the sides of random planes on which their terms lie make a topic, and
+Documents are put into shards of about equal weight (their number and their tokens) by content: the sides of random planes on which their terms lie make a topic, and
 neighbouring topics share a shard; a topic larger than a shard is spread over several. A shard scores every document against every other
 by BM25 over all their token ids and fills, for every pack, one container after another: the largest unused document is the seed, its
 unused neighbours that fit go in best first until none is left that fits, and only then do documents that share nothing with the seed,
@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 from ..plans.session import materialize
 from .tokens import VOCABULARY, token_counts
 
-#: documents of a shard, about: the index of a shard is held by one task
-SHARD = 4096
+#: documents of a shard, about, and their tokens: the index of a shard is held by one task
+SHARD, SHARD_TOKENS = 4096, 1 << 24
 #: bits of a topic
 TOPIC = 16
 #: neighbours that are put in order at a time; the walk goes on until none is left
@@ -137,7 +137,7 @@ def _pack(packs: list[tuple[str, int]]):
         number = shard.column("shard")[0].as_py()
         ids, tokens = shard.column("doc_id"), shard.column("n_tokens").to_numpy().astype(np.int64)
         terms = [np.frombuffer(x, np.int32) for x in shard.column("terms").to_pylist()]
-        index = Index(terms, [np.frombuffer(x, np.uint8) for x in shard.column("tfs").to_pylist()], tokens)
+        index = Index(terms, [np.frombuffer(x, np.int32) for x in shard.column("tfs").to_pylist()], tokens)
         parts = []
         for name, capacity in packs:
             whole = np.where(tokens > capacity, tokens // capacity, 0)  # full containers of documents that are divided
@@ -183,6 +183,11 @@ def _planes(idf: np.ndarray, df: np.ndarray) -> np.ndarray:
     return idf[:, None] * (_random(len(idf)) - weight @ _random(len(idf)) / max(1e-9, weight.sum()))
 
 
+def _weights(b: pa.RecordBatch) -> np.ndarray:
+    """What a document takes of a shard: one of its documents and a share of its tokens."""
+    return 1 + b.column("n_tokens").to_numpy().astype(np.int64) * SHARD // SHARD_TOKENS
+
+
 def _topics(b: pa.RecordBatch, planes: np.ndarray) -> np.ndarray:
     """The topic of every document: on which sides of the planes its terms lie together."""
     bits = 1 << np.arange(TOPIC)
@@ -190,7 +195,7 @@ def _topics(b: pa.RecordBatch, planes: np.ndarray) -> np.ndarray:
 
 
 def _with_shard(idf: np.ndarray, df: np.ndarray, many: np.ndarray | None = None, shards: int = 1):
-    """topic of every document, or (many: documents of every topic) its columns with its shard: an equal part of the ranks by topic."""
+    """topic and weight of every document, or (many: weight of every topic) its columns with its shard: an equal part of the ranks by topic."""
     if many is not None:
         start, n = np.cumsum(many) - many, max(1, int(many.sum()))
 
@@ -199,7 +204,7 @@ def _with_shard(idf: np.ndarray, df: np.ndarray, many: np.ndarray | None = None,
         for b in batches:
             topic = _topics(b, planes)
             if many is None:
-                yield pa.RecordBatch.from_arrays([pa.array(topic)], names=["topic"])
+                yield pa.RecordBatch.from_arrays([pa.array(topic), pa.array(_weights(b))], names=["topic", "weight"])
             else:
                 part = b.column("part").to_numpy() * many[topic] >> 20
                 shard = (start[topic] + np.where(many[topic] * shards > n, part, 0)) * shards // n
@@ -219,10 +224,10 @@ def sharded(counted: DataFrame, shard_docs: int) -> DataFrame:
     df = np.zeros(int(got.column("term").to_numpy().max(initial=-1)) + 1, np.int64)
     df[got.column("term").to_numpy()] = got.column("df").to_numpy()
     idf = np.where(df > 0, np.log(1 + (n - df + 0.5) / (df + 0.5)), 0.0)
-    got = counted.select("terms").mapInArrow(_with_shard(idf, df), "topic bigint").groupBy("topic").count().toArrow()
+    got = counted.select("terms", "n_tokens").mapInArrow(_with_shard(idf, df), "topic bigint, weight bigint").groupBy("topic").agg(F.sum("weight").alias("weight")).toArrow()
     many = np.zeros(1 << TOPIC, np.int64)
-    many[got.column("topic").to_numpy()] = got.column("count").to_numpy()
-    run = _with_shard(idf, df, many, max(1, -(-n // shard_docs)))
+    many[got.column("topic").to_numpy()] = got.column("weight").to_numpy()
+    run = _with_shard(idf, df, many, max(1, -(-int(many.sum()) // shard_docs)))
     kinds = dict(counted.dtypes)
     part = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)).cast("bigint").alias("part")
     return counted.select(*COUNTED, part).mapInArrow(run, ", ".join(f"{c} {kinds[c]}" for c in COUNTED) + ", shard bigint")

@@ -38,7 +38,7 @@ def _count(vocabulary: str, keys: list[str], terms: bool):
                 if terms:
                     u, n = np.unique(np.array(got, dtype=np.int32), return_counts=True)
                     ids.append(u.tobytes())
-                    tfs.append(np.minimum(n, 255).astype(np.uint8).tobytes())
+                    tfs.append(n.astype(np.int32).tobytes())
             cols, names = [b.column(k) for k in keys] + [pa.array(counts, pa.int32())], [*keys, "n_tokens"]
             if terms:
                 cols += [pa.array(ids, pa.binary()), pa.array(tfs, pa.binary())]
@@ -50,7 +50,7 @@ def _count(vocabulary: str, keys: list[str], terms: bool):
 
 def token_counts(docs: DataFrame, keys: list[str], vocabulary: str = VOCABULARY, terms: bool = False) -> DataFrame:
     """keys and n_tokens of every row of docs(keys, text), whole texts; a null text has no tokens. terms: also the distinct token
-    ids (int32) and how often each occurs (uint8, 255 and more as 255)."""
+    ids and how often each occurs (int32)."""
     df = spread(docs.select(*keys, "text"))
     schema = ", ".join(f"{k} {t}" for k, t in df.dtypes if k in keys) + ", n_tokens int" + (", terms binary, tfs binary" if terms else "")
     return df.mapInArrow(_count(vocabulary, keys, terms), schema)

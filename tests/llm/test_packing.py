@@ -59,7 +59,7 @@ def test_neighbours_share_words():
     rng = np.random.default_rng(0)
     terms = [np.unique(rng.integers(0, 200, 30)).astype(np.int32) for _ in range(50)]
     terms[7] = terms[3].copy()
-    index = packing.Index(terms, [np.ones(len(t), np.uint8) for t in terms], np.array([len(t) for t in terms]))
+    index = packing.Index(terms, [np.ones(len(t), np.int32) for t in terms], np.array([len(t) for t in terms]))
     allowed = np.ones(50, bool)
     allowed[3] = False
     assert index.neighbours(3, allowed)[0] == 7
@@ -71,7 +71,7 @@ def test_all_terms_and_neighbours_count():
     # 0 shares twelve rare terms with 1 only, and sixty less rare ones with each of 2 to 61
     rare, rest = np.arange(12, dtype=np.int32), np.arange(100, 160, dtype=np.int32)
     terms = [np.concatenate([rare, rest]), rare, *[rest] * 60, np.array([999], np.int32)]
-    index = packing.Index(terms, [np.ones(len(t), np.uint8) for t in terms], np.array([len(t) for t in terms]))
+    index = packing.Index(terms, [np.ones(len(t), np.int32) for t in terms], np.array([len(t) for t in terms]))
     assert set(index.neighbours(0, np.ones(63, bool)).tolist()) - {0} == set(range(1, 62))
     # the container is filled with neighbours, though a larger document that shares nothing would fit
     sizes = np.array([10, *[1] * 61, 9])
