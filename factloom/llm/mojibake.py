@@ -181,7 +181,13 @@ def vocabulary(words: DataFrame) -> DataFrame:
 def matches(vocab: DataFrame) -> DataFrame:
     """The forms that are words of the corpus, own_df and own_copies: the texts and documents that have them."""
     seen = vocab.select(F.col("word").alias("garbled"), F.col("df").alias("own_df"), F.col("copies").alias("own_copies"))
-    return materialize(spread(vocab).mapInArrow(_forms, FORMS).join(seen, "garbled"), "mojibake-matches")
+    return materialize(spread(vocab).mapInArrow(_forms, FORMS).join(seen.hint("merge"), "garbled"), "mojibake-matches")
+
+
+def _size(words: DataFrame) -> int:
+    """Rows of a table of words for `lookup`, or what its bytes amount to in rows of 200."""
+    rows, size = words.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("garbled") + F.coalesce(F.octet_length("original"), F.lit(0))), F.lit(0))).first()
+    return max(rows, size // 200)
 
 
 #: copies of a text decide only between words in equally many texts, and not for an original that looks less like a word
@@ -208,7 +214,7 @@ def _by_chain(hits: DataFrame) -> DataFrame:
 def _together(pairs: DataFrame, hits: DataFrame, found: DataFrame) -> DataFrame:
     """Rows like found for words that prove nothing alone, but several of one chain in their document do."""
     likely = materialize(_by_chain(hits.where(f"odd > 0 AND df >= own_df AND letters >= 2 AND NOT ({_SURE})")), "mojibake-likely")
-    maybe = lookup(pairs, likely, ["garbled"], likely.count())
+    maybe = lookup(pairs, likely, ["garbled"], _size(likely))
     proven = maybe.groupBy("doc_id", "chain").agg(F.count("*").alias("n"), F.sum("letters").alias("l")).where((F.col("n") >= TOGETHER) & (F.col("l") >= LETTERS))
     more = maybe.join(proven, ["doc_id", "chain"]).join(found.select("doc_id", "garbled"), ["doc_id", "garbled"], "left_anti")
     # the chain with the most words, then the first by name
@@ -223,7 +229,7 @@ def affected(docs: DataFrame, short_words: bool = False) -> DataFrame:
     hits = matches(vocabulary(words))
     table = materialize(verified_words(hits), "mojibake-verified")
     pairs = words.select("doc_id", F.explode("words").alias("garbled"))
-    found = lookup(pairs, table, ["garbled"], table.count())
+    found = lookup(pairs, table, ["garbled"], _size(table))
     found = materialize(found, "mojibake-found")
     found = found.unionByName(_together(pairs, hits, found))
     if not short_words:
@@ -263,4 +269,8 @@ def _restore(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def restored(docs: DataFrame) -> DataFrame:
     """Affected documents with every garbled word of known original put right. restored_words < garbled_words: in part."""
     found = affected(docs, short_words=True).groupBy("doc_id").agg(F.collect_list(F.struct("garbled", "original", "chain")).alias("pairs"))
-    return docs.select("doc_id", "text").join(found, "doc_id").mapInArrow(_restore, RESTORED)
+    found = materialize(found, "mojibake-pairs")
+    # only the texts that are affected are shuffled
+    ids = found.select("doc_id")
+    texts = lookup(docs.where("doc_id IS NOT NULL").select("doc_id", "text"), ids, ["doc_id"], ids.count())
+    return texts.join(found, "doc_id").mapInArrow(_restore, RESTORED)
