@@ -8,6 +8,7 @@ from ..operators import shapes, symbols, topology
 from ..sources import connectors, sinks
 from ..sources.facts import fact, sql
 from ..streaming import events
+from .session import materialize
 
 NOW = "2025-12-01 00:00:00"
 
@@ -19,15 +20,22 @@ def stream_windows(s, d):
 
 
 def stream_store(s, d):
+    """The store after all findings: a session is an oracle and an entry a file. Findings append; degraded ones deliver the entry, and
+    muted ones acknowledge it, by the tool that is no allowed source where they name no code."""
     fact(s, d, "semantic_findings")
-    e = events.read_stream(s, f"{d}/semantic_findings.parquet").select(F.col("finding_id").alias("dedupe_key"), F.col("ingested_at").alias("seen_at"))
-    return events.latest(events.run_to_table(events.event_store(e), "store", "update"))
+    e = events.read_stream(s, f"{d}/semantic_findings.parquet")
+    action = F.when(F.col("action_tier") == "muted", "acknowledge").when(F.col("action_tier") == "degraded", "deliver").otherwise("append")
+    key = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("none"))
+    a = e.select(
+        key("oracle_id").alias("session"), key("source_file_id").alias("dedupe_key"), F.col("ingested_at").alias("at"), F.col("finding_id").alias("ordinal"), action.alias("action"),
+        F.col("primary_span_count").alias("delta"), F.lit(None).cast("string").alias("policy"), F.when(F.col("diagnostic_code").isNull(), "tool").otherwise("noted").alias("source"),
+    )
+    return events.latest(events.run_to_table(events.event_store(a), "store", "update"))
 
 
 def _entries(s, d):
-    f = fact(s, d, "findings").where("finding_id IS NOT NULL")
-    n = F.col("finding_id")
-    return f.select(F.coalesce("oracle_id", F.lit("none")).alias("session"), n.alias("entry"), (n % 9 != 0).alias("active"), (n % 4 == 0).alias("acked"), F.when(n % 5 == 0, F.lit("2026-01-01").cast("timestamp")).when(n % 5 == 1, F.lit("2025-01-01").cast("timestamp")).alias("next_redeliver_at"), F.lit(0).alias("deliveries"))
+    e = stream_store(s, d)
+    return e.select("session", F.col("dedupe_key").alias("entry"), "active", F.col("acknowledged").alias("acked"), F.timestamp_micros("next_redeliver_at").alias("next_redeliver_at"), F.col("delivered_count").cast("int").alias("deliveries"))
 
 
 def claim(s, d):
@@ -35,7 +43,7 @@ def claim(s, d):
 
 
 def delivered(s, d):
-    e = _entries(s, d)
+    e = materialize(_entries(s, d), "entries")
     return events.mark_delivered(e, events.claim_due(e, NOW), NOW).groupBy("session").agg(F.sum("deliveries").alias("deliveries"), F.count_if(F.col("next_redeliver_at") > F.lit(NOW).cast("timestamp")).alias("waiting"))
 
 
@@ -132,8 +140,14 @@ QUERIES = {
 }
 
 _ENT = """
-en AS (SELECT coalesce(oracle_id, 'none') AS session, finding_id AS entry, finding_id % 9 <> 0 AS active, finding_id % 4 = 0 AS acked, CASE finding_id % 5 WHEN 0 THEN TIMESTAMP '2026-01-01' WHEN 1 THEN TIMESTAMP '2025-01-01' END AS nxt FROM findings WHERE finding_id IS NOT NULL),
-cl AS (SELECT session, entry, rank FROM (SELECT *, row_number() OVER (PARTITION BY session ORDER BY entry) AS rank FROM en WHERE active AND NOT acked AND (nxt IS NULL OR nxt <= TIMESTAMP '2025-12-01')) WHERE rank <= 5)"""
+ac AS (SELECT coalesce(oracle_id, 'none') AS session, coalesce(source_file_id::VARCHAR, 'none') AS entry, ingested_at AS ts, action_tier = 'muted' AS ack, action_tier = 'degraded' AS del, diagnostic_code IS NOT NULL AS allowed,
+  greatest(1, coalesce(primary_span_count, 1)) AS delta, row_number() OVER (PARTITION BY oracle_id, source_file_id ORDER BY ingested_at, finding_id) AS r FROM semantic_findings),
+r0 AS (SELECT session, entry, min(r) FILTER (NOT coalesce(ack, false) AND NOT coalesce(del, false)) AS r0 FROM ac GROUP BY 1, 2),
+r1 AS (SELECT session, entry, r0, min(r) FILTER (ack AND allowed AND r > r0) AS r1 FROM ac JOIN r0 USING (session, entry) WHERE r0 IS NOT NULL GROUP BY 1, 2, 3),
+en AS (SELECT session, entry, r1 IS NOT NULL AS acked, (sum(delta) FILTER (NOT coalesce(ack, false) AND NOT coalesce(del, false) AND r >= r0 AND (r1 IS NULL OR r < r1)))::BIGINT AS n, epoch_us(min(ts) FILTER (r = r0)) AS first_seen,
+  epoch_us(max(ts) FILTER (NOT coalesce(ack, false) AND NOT coalesce(del, false) AND r >= r0 AND (r1 IS NULL OR r < r1))) AS last_seen, count(*) FILTER (del AND r > r0) AS deliveries, max(ts) FILTER (del AND r > r0) + INTERVAL 5 MINUTE AS nxt
+  FROM ac JOIN r1 USING (session, entry) GROUP BY session, entry, r0, r1),
+cl AS (SELECT session, entry, rank FROM (SELECT *, row_number() OVER (PARTITION BY session ORDER BY entry) AS rank FROM en WHERE NOT acked AND (nxt IS NULL OR nxt <= TIMESTAMPTZ '2025-12-01 00:00:00+00')) WHERE rank <= 5)"""
 _WORDS = "list_distinct(list_filter(string_split_regex(lower(regexp_replace(regexp_extract({0}, '([^/.]*)[.][a-z]+$', 1), '([a-z0-9])([A-Z])', '\\1 \\2', 'g')), '[^a-z0-9]+'), lambda w: length(w) >= 3 AND w NOT IN ({1})))"
 _STOPS = ", ".join(f"'{t}'" for t in shapes.STOP_TOKENS)
 
@@ -142,9 +156,11 @@ SQL = {
         """SELECT date_trunc('day', ts)::TIMESTAMP AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2
         HAVING date_trunc('day', min(ts)) + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)"""
     ),
-    "stream_event_store": sql("SELECT finding_id AS dedupe_key, count(*) AS occurrence_count, epoch_us(min(ingested_at)) AS first_seen, epoch_us(max(ingested_at)) AS last_seen FROM semantic_findings GROUP BY 1"),
+    "stream_event_store": sql(
+        f"""WITH {_ENT} SELECT session, entry AS dedupe_key, true AS active, acked AS acknowledged, CASE WHEN acked THEN 'noted' END AS ack_source, 'until_ack' AS policy, n AS occurrence_count, first_seen, last_seen, deliveries AS delivered_count, epoch_us(nxt) AS next_redeliver_at, NULL::BIGINT AS archived_at FROM en"""
+    ),
     "claim_due": sql(f"WITH {_ENT} SELECT session, entry, rank::INT AS rank FROM cl"),
-    "mark_delivered": sql(f"WITH {_ENT} SELECT session, count(c.rank) AS deliveries, count(*) FILTER (c.rank IS NOT NULL OR nxt > TIMESTAMP '2025-12-01') AS waiting FROM en LEFT JOIN cl c USING (session, entry) GROUP BY 1"),
+    "mark_delivered": sql(f"WITH {_ENT} SELECT session, (sum(deliveries) + count(c.rank))::BIGINT AS deliveries, count(*) FILTER (c.rank IS NOT NULL OR nxt > TIMESTAMPTZ '2025-12-01 00:00:00+00') AS waiting FROM en LEFT JOIN cl c USING (session, entry) GROUP BY 1"),
     "edit_increases": sql("SELECT occurrence_key, count(*) FILTER (after) - count(*) FILTER (before) AS grown FROM escapes GROUP BY 1 HAVING count(*) FILTER (after) > count(*) FILTER (before)"),
     "scan_scope": sql(
         """SELECT CASE WHEN regexp_matches(path, '(^|/)(node_modules|vendor|dist|build|target|[.]git)(/|$)') THEN 'excluded:dependency-or-output' WHEN regexp_matches(path, '(^|/)_gen/|[.]generated[.]|[.]min[.]js$') THEN 'excluded:generated'

@@ -53,12 +53,11 @@ def coverage_fallback(s, d):
 
 
 def acks(s, d):
-    """Deliveries against acknowledgements: each session's entries that were acknowledged by an allowed source, drained, or wait."""
-    f = fact(s, d, "findings").select(F.coalesce("oracle_id", F.lit("none")).alias("session"), "finding_id")
-    a = fact(s, d, "findings").where("finding_id % 3 = 0").select("finding_id", F.when(F.col("finding_id") % 2 == 0, "user").otherwise("tool").alias("source"))
-    j = f.join(a, "finding_id", "left")
-    status = F.when(F.col("source") == "user", "acknowledged").when(F.col("source").isNotNull(), "ack-refused").otherwise("waiting")
-    return j.groupBy("session", status.alias("status")).agg(F.count("*").alias("n"))
+    """Entries of the store by session: acknowledged by an allowed source, delivered and waiting for it, or not delivered yet."""
+    from .q_misc import stream_store
+
+    status = F.when(F.col("acknowledged"), "acknowledged").when(F.col("delivered_count") > 0, "delivered").otherwise("waiting")
+    return stream_store(s, d).groupBy("session", status.alias("status")).agg(F.count("*").alias("n"), F.sum("occurrence_count").alias("occurrences"))
 
 
 def code_shapes(s, d):
@@ -140,10 +139,12 @@ QUERIES = {
 
 
 def _sqls() -> dict[str, str]:
+    from .q_misc import _ENT
     from .q_symbols import _CALLS, _DEAD
     from .q_text import _RES
 
     return {
+        "acknowledgements": sql(f"WITH {_ENT} SELECT session, CASE WHEN acked THEN 'acknowledged' WHEN deliveries > 0 THEN 'delivered' ELSE 'waiting' END AS status, count(*) AS n, sum(n)::BIGINT AS occurrences FROM en GROUP BY 1, 2"),
         "unresolved_prefixes": sql(
             f"""WITH {_RES}, u AS (SELECT regexp_extract(spec, '^([.]*/?[a-z]+)', 1) AS prefix FROM rs WHERE outcome = 'unresolved') SELECT prefix, count(*) AS n, round(count(*) / (SELECT count(*) FROM u), 4) AS share FROM u GROUP BY 1 ORDER BY n DESC, prefix LIMIT 20"""
         ),
@@ -169,7 +170,6 @@ SQL = {
         """WITH i AS (SELECT symbol AS path, hits FROM hits WHERE hits > 0 UNION ALL SELECT DISTINCT file || '::' || name, -1.0 FROM defs WHERE line = 7), r AS (SELECT file || '::' || name AS absolute, name AS relative FROM defs)
         SELECT absolute, relative, coalesce(a.hits, b.hits) AS hits FROM r LEFT JOIN i a ON a.path = absolute LEFT JOIN i b ON b.path = relative"""
     ),
-    "acknowledgements": sql("SELECT coalesce(oracle_id, 'none') AS session, CASE WHEN finding_id % 6 = 0 THEN 'acknowledged' WHEN finding_id % 3 = 0 THEN 'ack-refused' ELSE 'waiting' END AS status, count(*) AS n FROM findings GROUP BY 1, 2"),
     "code_shapes": sql(
         """SELECT regexp_replace(trim(regexp_replace(regexp_replace(code, '[ \t]+', ' ', 'g'), '; ?$', '')), '[0-9]+', '0', 'g') AS shape, count(*) AS n, count(DISTINCT file_id) AS files FROM (SELECT file_id, unnest(string_split(source, chr(10))) AS code FROM functions) WHERE code LIKE '%;' GROUP BY 1 HAVING count(*) >= 3"""
     ),
