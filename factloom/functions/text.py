@@ -160,3 +160,43 @@ def barrel_discipline(imports: DataFrame, packages: DataFrame) -> DataFrame:
     zero = [F.coalesce(c, F.lit(0).cast("bigint")).alias(c) for c in ("root_imports", "subpath_imports")]
     j = packages.select("package").where("package IS NOT NULL").distinct().join(g, "package", "left").select("package", *zero).withColumn("total", F.col("root_imports") + F.col("subpath_imports"))
     return j.withColumn("compliance", F.round(F.try_divide(F.lit(100.0) * F.col("subpath_imports"), F.col("total")), 1))
+
+
+def relative_path(path: Column, root: str) -> Column:
+    """A path below a root without it, with forward slashes; other paths as they are."""
+    p = F.replace(path, F.lit("\\"), F.lit("/"))
+    top = root.replace("\\", "/").rstrip("/") + "/"
+    return F.when(p.startswith(top), F.substring(p, len(top) + 1, 1_000_000)).otherwise(p)
+
+
+def type_text(text: Column) -> Column:
+    """A type as text without what only lays it out: runs of blanks are one, none stands beside a sign, and no semicolon at the end.
+    What lies in string literals is left alone."""
+    literal = r"'(?:[^'\\\\]|\\\\.)*'|\"(?:[^\"\\\\]|\\\\.)*\"|`(?:[^`\\\\]|\\\\.)*`".replace("\\\\", "\\")
+    parts = F.regexp_extract_all(text, F.lit(f"((?:{literal})|[^'\"`]+|.)"), F.lit(1))
+    tidy = lambda p: F.when(p.rlike("^['\"`]"), p).otherwise(F.regexp_replace(F.regexp_replace(p, r"\s+", " "), r" ?([<>()\[\]{}|&:,;=?]) ?", "$1"))
+    return F.regexp_replace(F.trim(F.array_join(F.transform(parts, tidy), "")), "(?: ?; ?)+$", "")
+
+
+def stable_json_hash(df: DataFrame, column: str, name: str = "hash") -> DataFrame:
+    """df with the SHA-256 of a JSON text after its keys are sorted at every level; null where it is no JSON. Equal values in any key order
+    or layout have equal hashes."""
+    import hashlib
+    import json
+    from collections.abc import Iterator
+
+    import pyarrow as pa
+
+    from .strict_json import loads
+
+    def digest(x: str | None) -> str | None:
+        try:
+            return None if x is None else hashlib.sha256(json.dumps(loads(x), sort_keys=True, separators=(",", ":"), ensure_ascii=False).encode("utf-8", "surrogatepass")).hexdigest()
+        except ValueError:
+            return None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([digest(x) for x in b.column(column).to_pylist()], pa.string())], names=[*b.schema.names, name])
+
+    return df.mapInArrow(run, ", ".join(f"`{c}` {t}" for c, t in df.dtypes) + f", `{name}` string")

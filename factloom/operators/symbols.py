@@ -153,6 +153,39 @@ def callee_fan_in(callees: DataFrame, graph: DataFrame) -> DataFrame:
     return callees.select("name").distinct().join(c, "name", "left").select("name", *zero)
 
 
+def nearest_owner(files: DataFrame, packages: DataFrame) -> DataFrame:
+    """The deepest package around every file, else the last of its repo's packages in order of depth (the shallowest, then by name)."""
+    depth = F.when(F.col("package_dir") == "", 0).otherwise(F.size(F.split("package_dir", "/")))
+    last = packages.groupBy("repo").agg(F.min_by("package_dir", F.struct(depth, "package_dir")).alias("last"))
+    j = containing_package(files, packages).join(last, "repo", "left")
+    return j.select("repo", "path", F.coalesce("package_dir", "last").alias("package_dir"), F.col("package_dir").isNotNull().alias("inside"))
+
+
+def namespace_uses(files: DataFrame) -> DataFrame:
+    """Members taken from namespace imports (import * as ns), and escape (null member) where a namespace is used as a value, so that any of
+    its members may be. files(file_id, text) of TypeScript and JavaScript; strings and comments are not told apart."""
+    ns = F.regexp_extract_all("text", F.lit(r"import [*] as ([A-Za-z_$][A-Za-z0-9_$]*) from"), F.lit(1))
+    f = files.where(F.col("text").contains("import * as ")).select("file_id", "text", F.explode(F.array_distinct(ns)).alias("namespace"))
+    uses = F.regexp_extract_all(F.regexp_replace("text", r"import [*] as [^;\n]*", ""), F.lit(r"((?:[.])?[A-Za-z_$][A-Za-z0-9_$]*(?:[.][A-Za-z_$][A-Za-z0-9_$]*)?)"), F.lit(1))
+    u = f.select("file_id", "namespace", F.explode(uses).alias("use"))
+    own = u.where((F.col("use") == F.col("namespace")) | F.col("use").startswith(F.concat("namespace", F.lit("."))))
+    member = F.when(F.col("use") != F.col("namespace"), F.expr("substring(use, length(namespace) + 2)"))
+    return own.groupBy("file_id", "namespace", member.alias("member")).agg(F.count("*").alias("n"))
+
+
+def repo_modes(files: DataFrame) -> DataFrame:
+    """Mode of every repo of files(repo, path, text) by its root package.json: workspaces, single-package, or non-node with its language;
+    and the number of packages below."""
+    root = F.col("path") == "package.json"
+    spaces = F.get_json_object("text", "$.workspaces")
+    g = files.groupBy("repo").agg(
+        F.bool_or(root & F.get_json_object("text", "$").isNotNull()).alias("node"), F.bool_or(root & spaces.isNotNull()).alias("many"), F.bool_or(F.col("path").isin("pyproject.toml", "setup.py")).alias("python"),
+        F.count_if(F.col("path").endswith("/package.json")).alias("packages"),
+    )
+    mode = F.when(F.col("node") & F.col("many"), "workspaces").when(F.col("node"), "single-package").otherwise("non-node")
+    return g.select("repo", mode.alias("mode"), F.when(F.col("node"), "javascript").when(F.col("python"), "python").otherwise("unknown").alias("language"), "packages")
+
+
 def semi_dead_imports(imports: DataFrame, files: DataFrame) -> DataFrame:
     """Imported names that the importing text holds as an identifier nowhere else. imports(file_id, name), files(file_id, text)."""
     once = identifiers(files).where("n <= 1").drop("n")

@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import flatten
 from ..sources import bad_records, schema_drift
-from . import q_clones, q_deltas, q_extract, q_misc, q_more, q_symbols, q_text, q_topology
+from . import q_clones, q_deltas, q_extract, q_misc, q_more, q_rules, q_symbols, q_text, q_topology
 from .session import table, written
 
-_families = (q_topology, q_symbols, q_clones, q_text, q_deltas, q_misc, q_extract, q_more)
+_families = (q_topology, q_symbols, q_clones, q_text, q_deltas, q_misc, q_extract, q_more, q_rules)
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:

@@ -15,6 +15,8 @@ from ..plans.session import table
 _IDENT = "[A-Za-z_][A-Za-z0-9_]*"
 _FUNCTION = "(?:export )?(?:async )?function " + _IDENT + "[(][^)]*[)][^{]*[{](?s:.*?)\n[}]"
 
+_RUST_FUNCTION = "fn " + _IDENT + "[^{{{{;]*[{{{{](?s:.*?)\\n(?:    )?[}}}}]"
+
 TEXTS: dict[str, str | tuple[str, str]] = {
     # ---- source files, each once
     "files": """
@@ -76,6 +78,19 @@ SELECT file_id || ':' || name || ':' || row_number() OVER (PARTITION BY file_id,
        md5(regexp_replace(body, '[0-9]+', '0', 'g')) AS exact_hash, md5(regexp_replace(regexp_replace(body, '{_IDENT}', '@', 'g'), '[0-9]+', '0', 'g')) AS structure_hash, CASE WHEN params LIKE '%:%' THEN md5(array_to_string(regexp_extract_all(params, ':[ ]?([^,=]*)', 1), ',')) END AS signature_hash,
        list_distinct(regexp_extract_all(body, '({_IDENT})[(]', 1)) AS call_tokens
 FROM {{functions}}""",
+    ),
+    # ---- functions of Rust files, at the margin or in an impl
+    "rust_function_facts": (
+        rf"""
+SELECT file_id || ':' || name || ':' || row_number() OVER (PARTITION BY file_id, name ORDER BY f) AS identity, owner_file, name, CAST(length(f) - length(replace(f, chr(10), '')) + 1 AS BIGINT) AS body_loc,
+       CAST(length(f) - length(replace(f, ';', '')) AS BIGINT) AS statement_count, owner_file LIKE '%_gen%' AS generated, md5(regexp_replace(regexp_replace(regexp_replace(body, '{_IDENT}', '@'), '[0-9]+', '0'), '[ 
+]+', ' ')) AS structure_hash
+FROM (SELECT file_id, path AS owner_file, f, regexp_extract(f, 'fn ({_IDENT})', 1) AS name, regexp_replace(f, '^[^{{{{]*[{{{{]', '') AS body FROM (SELECT file_id, path, explode(regexp_extract_all(text, '{_RUST_FUNCTION}', 0)) AS f FROM {{files}} WHERE ext = 'rs'))""",
+        rf"""
+SELECT file_id || ':' || name || ':' || row_number() OVER (PARTITION BY file_id, name ORDER BY f) AS identity, owner_file, name, CAST(length(f) - length(replace(f, chr(10), '')) + 1 AS BIGINT) AS body_loc,
+       CAST(length(f) - length(replace(f, ';', '')) AS BIGINT) AS statement_count, owner_file LIKE '%_gen%' AS generated, md5(regexp_replace(regexp_replace(regexp_replace(body, '{_IDENT}', '@', 'g'), '[0-9]+', '0', 'g'), '[ 
+]+', ' ', 'g')) AS structure_hash
+FROM (SELECT file_id, path AS owner_file, f, regexp_extract(f, 'fn ({_IDENT})', 1) AS name, regexp_replace(f, '^[^{{{{]*[{{{{]', '') AS body FROM (SELECT file_id, path, unnest(regexp_extract_all(text, '{_RUST_FUNCTION}', 0)) AS f FROM {{files}} WHERE ext = 'rs'))""",
     ),
     # ---- type shapes: interfaces of TypeScript files with their fields
     "shapes": (

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -82,3 +84,27 @@ def exit_code(statuses: dict[str, str], strict: bool = False) -> int:
     """0 unless a step failed; in strict mode also for drift and for what is unavailable."""
     bad = {"failed"} | ({"drift", "unavailable"} if strict else set())
     return int(any(s in bad for s in statuses.values()))
+
+
+def cached_artifact(spark: SparkSession, folder: str, request: dict, build: Callable[[], DataFrame]) -> tuple[DataFrame, bool]:
+    """The artifact of a request, and whether it was there already: stored under the SHA-256 of the request's sorted JSON in a folder that
+    all executors share. What decides the result (fingerprints of inputs, versions, options) belongs into the request. A write that does
+    not end leaves no marker, so it is no hit."""
+    key = hashlib.sha256(json.dumps(request, sort_keys=True, separators=(",", ":")).encode()).hexdigest()
+    path = f"{folder.rstrip('/')}/{key}"
+    marker = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if marker.getFileSystem(spark._jsc.hadoopConfiguration()).exists(marker):
+        return spark.read.parquet(path), True
+    df = build()
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.schema(df.schema).parquet(path), False
+
+
+def review_pack(title: str, claims: DataFrame, limits: list[str], k: int = 20) -> str:
+    """A Markdown pack for a reviewer: the first k claims(claim, location, evidence, confidence) by confidence and location, each as a task to
+    confirm, and what the evidence does not cover."""
+    order = F.when(F.col("confidence") == "high", 0).when(F.col("confidence") == "medium", 1).otherwise(2)
+    rows = claims.select("claim", "location", "evidence", "confidence").orderBy(order, "location", "claim").limit(k).collect()
+    out = [f"# {title}", "", "## Claims to confirm", ""]
+    out += [f"- [ ] {cell(r.claim)} (`{cell(r.location)}`, {cell(r.confidence)}): {cell(r.evidence)}" for r in rows] or ["none"]
+    return "\n".join([*out, "", "## Limits", "", *([f"- {cell(x)}" for x in limits] or ["none known"])])

@@ -8,8 +8,8 @@ import random
 from pyspark.sql import functions as F
 
 from factloom.functions import text
-from factloom.operators import clones, escapes, graph, pairs, shapes, symbols
-from factloom.sources import extract
+from factloom.operators import clones, escapes, graph, lookups, pairs, shapes, symbols
+from factloom.sources import extract, sinks
 from factloom.streaming import events
 
 
@@ -178,3 +178,96 @@ def test_store_rules():
     assert not e["active"] and e["archived_at"] == 3 and e["first_seen"] == 1
     e = run(add(1, None, "once"), ack(2), clean(3), add(4, 2, "once"))
     assert e["active"] and not e["acknowledged"] and (e["first_seen"], e["occurrence_count"]) == (4, 2)
+
+
+def test_search_tokens_and_families(spark):
+    df = spark.createDataFrame([("fetchCfgPolicies",), ("theUserStatus",), ("add_classes2x",), ("",), (None,), ("getFETCH",)], "name string")
+    got = {r.name: (r.t, r.f, r.d) for r in df.select("name", lookups.search_tokens(F.col("name")).alias("t"), lookups.operation_family(F.col("name")).alias("f"), lookups.domain_tokens(F.col("name")).alias("d")).collect()}
+    assert got["fetchCfgPolicies"] == (["fetch", "config", "policy"], "read-query", ["config", "policy"])
+    assert got["theUserStatus"] == (["user", "status"], None, ["status"])
+    assert got["add_classes2x"][0] == ["classes2x"] and got[""] == ([], None, []) and got[None][1] is None
+    assert got["getFETCH"] == (["get", "fetch"], "read-query", [])
+
+
+def test_sibling_cascade(spark):
+    rows = [
+        ("getUser", None, "a", False, True, True, True), ("getUser", "fetchUser", "a", True, True, True, True), ("getUser", "fetchUser", "a", False, False, True, True), ("getUser", "fetchUser", "a", False, True, False, True),
+        ("getUser", "fetchUser", "a", False, True, True, False), ("getUser", "walkUser", "a", False, True, True, True), ("getUser", "fetchOrder", "a", False, True, True, True), ("getUser", "sendUser", "a", False, True, True, True),
+        ("sendUser", "emitUser", "a", False, True, True, True), ("getUser", "fetchUsers", "a", False, True, True, True),
+    ]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, intent string, name string, owner string, ex boolean, ca boolean, su boolean, ne boolean")
+    got = [r.s for r in df.orderBy("i").select(lookups.sibling_status(*[F.col(c) for c in ("intent", "name", "owner", "ex", "ca", "su", "ne")]).alias("s")).collect()]
+    assert got == ["insufficient-metadata", "policy-excluded", "non-callable-definition", "insufficient-suppressed-support", "locality-mismatch", "unknown-operation", "domain-mismatch", "operation-family-mismatch", "family-not-promotable", "promoted"]
+
+
+def test_semantic_candidates_need_a_strong_token(spark):
+    n = spark.createDataFrame([("userState",), ("loadUserState",), ("dataState",), ("loadOther",), (None,)], "name string")
+    i = spark.createDataFrame([("loadUserState",), ("storeState",)], "intent string")
+    got = {(r.intent, r.name): r.status for r in lookups.semantic_candidates(n, i).collect()}
+    assert got[("loadUserState", "userState")] == "hint" and got[("loadUserState", "dataState")] == "suppressed:weak-tokens-only"
+    assert got[("loadUserState", "loadOther")] == "suppressed:single-non-weak-token-only" and got[("storeState", "userState")] == "suppressed:weak-tokens-only"
+
+
+def test_export_actions(spark):
+    rows = [("function", 0, "export function a() {"), ("function", 2, "export function a() {"), ("interface", 0, "export interface A {"), ("class", 0, "export class A extends B {"), ("class", 0, "export class A {"), ("class", 1, "export class A extends B {"), ("variable", 0, "export const a = make();"), ("variable", 0, "export const a = 1;")]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, kind string, uses bigint, body string")
+    got = [r.a for r in df.orderBy("i").select(lookups.export_action(F.col("kind"), F.col("uses"), F.col("body")).alias("a")).collect()]
+    value = "delete_value_declaration"
+    assert got == [value, "demote_export_declaration", "delete_type_declaration", "none", value, "demote_export_declaration", "none", value]
+
+
+def test_specifiers(spark):
+    rows = [("./b", "src", "src/b.ts", True), ("./b", "src", "src/b/index.ts", True), ("../c", "src/a", "src/c.mts", True), ("./b", "src", "lib/b.ts", True), ("react", "src", "src/react.ts", True), ("@a/b", "src", "x.ts", True), ("@/x", "src", "src/x.ts", True), ("@/x", "src", "src/x.ts", False), ("a/b/c", "src", "x.ts", True), (None, "src", "x.ts", True)]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, spec string, dir string, file string, same boolean")
+    got = [r.m for r in df.orderBy("i").select(lookups.specifier_could_match(*[F.col(c) for c in ("spec", "dir", "file", "same")]).alias("m")).collect()]
+    assert got == ["match", "match", "match", "no-match", "no-match", "no-match", "unknown", "no-match", "unknown", "no-match"]
+
+
+def test_helper_drift(spark):
+    old = [("a", "shared-helper"), ("b", "shared-helper"), ("c", "ANY_COLLISION_HELPER"), ("d", "ANY_COLLISION_HELPER"), ("e", "local-name"), ("f", "x")]
+    new = [("a", "central-helper"), ("c", "shared-helper"), ("d", "shared-helper"), ("e", "shared-helper"), ("f", "x"), ("g", "y")]
+    mk = lambda rows: spark.createDataFrame(rows, "identity string, label string")
+    ev = spark.createDataFrame([("c",), ("c",)], "identity string")
+    got = {r.identity: r.category for r in lookups.helper_drift(mk(old), mk(new), ev).collect()}
+    assert got == {"a": "fan-in-tier-changed", "b": "helper-removed", "c": "contamination-changed", "d": "label-changed", "e": "label-changed", "g": "helper-added"}
+    assert {r.category for r in lookups.helper_drift(mk(old), mk(new)).where("identity = 'c'").collect()} == {"label-changed"}
+
+
+def test_owners_modes_and_namespaces(spark):
+    f = spark.createDataFrame([("r", "a/b.ts"), ("r", "x/y.ts"), ("s", "q.ts")], "repo string, path string")
+    p = spark.createDataFrame([("r", "a"), ("r", "c/d")], "repo string, package_dir string")
+    assert {(r.path, r.package_dir, r.inside) for r in symbols.nearest_owner(f, p).collect()} == {("a/b.ts", "a", True), ("x/y.ts", "a", False), ("q.ts", None, False)}
+    m = spark.createDataFrame([("r", "package.json", '{"workspaces": ["p/*"]}'), ("r", "p/a/package.json", "{}"), ("s", "package.json", "{}"), ("t", "package.json", "{"), ("t", "setup.py", ""), ("u", "a.ts", None)], "repo string, path string, text string")
+    assert {(r.repo, r.mode, r.language, r.packages) for r in symbols.repo_modes(m).collect()} == {("r", "workspaces", "javascript", 1), ("s", "single-package", "javascript", 0), ("t", "non-node", "python", 0), ("u", "non-node", "unknown", 0)}
+    t = "import * as ns from './n';\nns.a(); ns.b.c; other.ns.d; const x = ns;\nnsx.q();"
+    n = spark.createDataFrame([(1, t), (2, None), (3, "ns.a")], "file_id bigint, text string")
+    assert {(r.member, r.n) for r in symbols.namespace_uses(n).collect()} == {("a", 1), ("b", 1), (None, 1)}
+
+
+def test_type_texts_and_stable_hashes(spark):
+    df = spark.createDataFrame([("Map< string ,\n  'a  b' | number >;",), ("A  extends B ? C : D",), ("",)], "t string")
+    assert [r.x for r in df.select(text.type_text(F.col("t")).alias("x")).collect()] == ["Map<string,'a  b'|number>", "A extends B?C:D", ""]
+    h = spark.createDataFrame([(1, '{"a": 1, "b": {"d": [1, 2], "c": null}}'), (2, '{"b":{"c":null,"d":[1,2]},"a":1}'), (3, '{"a": 1}'), (4, "{"), (5, None)], "i int, j string")
+    got = {r.i: r.hash for r in text.stable_json_hash(h, "j").collect()}
+    assert got[1] == got[2] != got[3] and got[4] is got[5] is None
+
+
+def test_artifacts_are_cached_by_request(spark, tmp_path):
+    calls = []
+
+    def build():
+        calls.append(1)
+        return spark.range(3).toDF("x")
+
+    folder = f"file://{tmp_path}"
+    for n, request in enumerate(({"a": 1, "b": [2]}, {"b": [2], "a": 1}, {"a": 2})):
+        df, hit = sinks.cached_artifact(spark, folder, request, build)
+        assert df.count() == 3 and hit == (n == 1)
+    assert len(calls) == 2
+
+
+def test_review_pack(spark):
+    c = spark.createDataFrame([("unused | export", "b.ts", "no use", "medium"), ("dead", "a.ts", None, "high")], "claim string, location string, evidence string, confidence string")
+    t = sinks.review_pack("Pack", c, ["no coverage"])
+    assert t.index("dead") < t.index("unused") and "unused \\| export" in t and t.endswith("- no coverage")
+    assert "none" in sinks.review_pack("Pack", c.limit(0), [])
