@@ -44,14 +44,20 @@ def file_delta(planned: DataFrame, before: DataFrame | None, after: DataFrame |
 
 def match_planned(planned: DataFrame, observed: DataFrame) -> DataFrame:
     """One-to-one greedy matching of planned(plan_id, kind, hint) to observed(occ_id, kind, file, line, fresh): plans in order take the
-    first fitting occurrence that nobody took, fresh ones before others. Plans never match another kind, so each kind is one group;
-    plans are few by nature, and only occurrences that fit some plan of the kind reach the group."""
-    fits = (F.col("p.hint") == "unknown") | F.col("o.file").startswith(F.col("p.hint"))
-    hit = planned.alias("p").join(observed.alias("o"), (F.col("p.kind") == F.col("o.kind")) & fits)
-    w = Window.partitionBy("plan_id").orderBy((~F.col("fresh")).cast("int"), "file", "line", "occ_id")
-    # of a plan's candidates only as many as there are plans of its kind can matter
-    plans = planned.groupBy("kind").agg(F.count("*").alias("plans"))
-    ranked = hit.select("p.plan_id", "p.kind", "o.occ_id", "o.file", "o.line", "o.fresh").withColumn("r", F.row_number().over(w)).join(plans, "kind").where("r <= plans")
+    first fitting occurrence that nobody took, fresh ones before others. A hint is a file, a directory around it, or unknown. Plans never
+    match another kind, so each kind is one group; plans are few by nature, and of a plan's candidates only as many as there are plans of
+    a kind can matter, so no more of them reach the group. Plans without a hint share the first occurrences of their kind, which are cut
+    before they are joined."""
+    most = planned.groupBy("kind").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    order = [(~F.col("fresh")).cast("int"), "file", "line", "occ_id"]
+    occ = observed.select("occ_id", "kind", "file", "line", "fresh")
+    first = occ.withColumn("r0", F.row_number().over(Window.partitionBy("kind").orderBy(*order))).where(F.col("r0") <= most).drop("r0")
+    anywhere = planned.where("hint = 'unknown'").select("plan_id", "kind").join(first, "kind")
+    p = planned.where("hint <> 'unknown'").select("plan_id", F.col("kind").alias("k"), F.regexp_replace("hint", "/+$", "").alias("hint"))
+    inside = (F.col("file") == F.col("hint")) | F.col("file").startswith(F.concat("hint", F.lit("/")))
+    hinted = p.join(occ, (F.col("k") == F.col("kind")) & inside).select("plan_id", "kind", "occ_id", "file", "line", "fresh")
+    w = Window.partitionBy("plan_id").orderBy(*order)
+    ranked = anywhere.select(hinted.columns).unionByName(hinted).withColumn("r", F.row_number().over(w)).where(F.col("r") <= most)
 
     def greedy(pdf: pd.DataFrame) -> pd.DataFrame:
         taken, out = set(), []

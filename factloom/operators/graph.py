@@ -107,15 +107,16 @@ def _tarjan(src: list, dst: list) -> list[tuple[object, object]]:
 
 
 def _propagate(links: DataFrame, start: DataFrame, how: str) -> DataFrame:
-    """Fixpoint of the greatest label that reaches each node."""
-    labels = start
+    """Fixpoint of the greatest label that reaches each node. Each round sends the labels that changed in the one before."""
+    labels = start.select("node", "label", F.lit(True).alias("fresh"))
     while True:
-        sent = links.join(labels.select(F.col("node").alias("src"), "label"), "src").groupBy(F.col("dst").alias("node")).agg(F.max("label").alias("label"))
-        new = labels.unionByName(sent).groupBy("node").agg(F.max("label").alias("label"))
-        new = materialize(new, f"scc-{how}")
-        if new.exceptAll(labels).isEmpty():
-            return new
-        labels = new
+        sent = links.join(labels.where("fresh").select(F.col("node").alias("src"), "label"), "src").groupBy(F.col("dst").alias("node")).agg(F.max("label").alias("label"))
+        both = labels.select("node", F.col("label").alias("own"), F.lit(None).cast(start.schema["label"].dataType).alias("got")).unionByName(sent.select("node", F.lit(None).cast(start.schema["label"].dataType).alias("own"), F.col("label").alias("got")))
+        new = both.groupBy("node").agg(F.max("own").alias("own"), F.max("got").alias("got"))
+        grew = F.col("got").isNotNull() & (F.col("own").isNull() | (F.col("got") > F.col("own")))
+        labels = materialize(new.select("node", F.greatest("own", "got").alias("label"), grew.alias("fresh")), f"scc-{how}")
+        if labels.where("fresh").isEmpty():
+            return labels.select("node", "label")
 
 
 def components(edges: DataFrame, kernel_edges: int = KERNEL_EDGES) -> DataFrame:

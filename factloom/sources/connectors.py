@@ -44,10 +44,8 @@ def python_facts(files: DataFrame) -> DataFrame:
 
 def walk(spark: SparkSession, root: str, patterns: tuple[str, ...] = ("*.ts", "*.js", "*.py", "*.rs", "*.go", "*.json")) -> DataFrame:
     """path, modified, length, text of every file below root that fits a pattern; bytes that are no UTF-8 are replaced."""
-    out = None
-    for p in patterns:
-        df = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", p).load(root)
-        out = df if out is None else out.unionByName(df)
+    glob = "{" + ",".join(patterns) + "}" if len(patterns) > 1 else patterns[0]
+    out = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(root)
     return out.select("path", F.col("modificationTime").alias("modified"), "length", F.decode("content", "UTF-8").alias("text"))
 
 

@@ -98,10 +98,10 @@ def test_multiset_delta(spark):
 
 
 def test_planned_matching(spark):
-    plans = spark.createDataFrame([(1, "k", "f"), (2, "k", "f"), (3, "k", "unknown"), (4, "z", "unknown")], "plan_id bigint, kind string, hint string")
-    occ = spark.createDataFrame([(10, "k", "f1", 1, False), (11, "k", "f2", 2, True)], "occ_id bigint, kind string, file string, line bigint, fresh boolean")
+    plans = spark.createDataFrame([(1, "k", "d"), (2, "k", "d/"), (3, "k", "unknown"), (4, "z", "unknown"), (5, "k", "d/f")], "plan_id bigint, kind string, hint string")
+    occ = spark.createDataFrame([(10, "k", "d/f1", 1, False), (11, "k", "d/f2", 2, True)], "occ_id bigint, kind string, file string, line bigint, fresh boolean")
     got = {r.plan_id: r.occ_id for r in deltas.match_planned(plans, occ).collect()}
-    assert got == {1: 11, 2: 10, 3: None, 4: None}
+    assert got == {1: 11, 2: 10, 3: None, 4: None, 5: None}
 
 
 def test_file_delta_without_a_side(spark):
