@@ -33,6 +33,8 @@ TOPIC = 16
 STEP = 32
 #: terms of a dense product at a time
 DENSE = 2048
+#: places that shards are spread over, at most
+MOST_PLACES = 50_000
 K1, B = 1.2, 0.75
 PACKED = "pack_name string, doc_id bigint, piece int, tokens int, container bigint"
 
@@ -227,10 +229,13 @@ def sharded(counted: DataFrame, shard_docs: int) -> DataFrame:
     got = counted.select("terms", "n_tokens").mapInArrow(_with_shard(idf, df), "topic bigint, weight bigint").groupBy("topic").agg(F.sum("weight").alias("weight")).toArrow()
     many = np.zeros(1 << TOPIC, np.int64)
     many[got.column("topic").to_numpy()] = got.column("weight").to_numpy()
-    run = _with_shard(idf, df, many, max(1, -(-int(many.sum()) // shard_docs)))
+    shards = max(1, -(-int(many.sum()) // shard_docs))
+    run = _with_shard(idf, df, many, shards)
     kinds = dict(counted.dtypes)
     part = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)).cast("bigint").alias("part")
-    return counted.select(*COUNTED, part).mapInArrow(run, ", ".join(f"{c} {kinds[c]}" for c in COUNTED) + ", shard bigint")
+    out = counted.select(*COUNTED, part).mapInArrow(run, ", ".join(f"{c} {kinds[c]}" for c in COUNTED) + ", shard bigint")
+    # a task for every shard, whatever their number: twice as many places, so that few shards share one
+    return out.repartition(min(2 * shards, MOST_PLACES), "shard")
 
 
 def pack_documents(docs: DataFrame, packs: DataFrame, vocabulary: str = VOCABULARY, shard_docs: int = SHARD) -> DataFrame:
