@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import clones, lookups, symbols
+from ..operators import clones, lookups, resolver, symbols
 from ..sources import extract
 from ..sources.facts import fact, sql
 
@@ -142,6 +142,21 @@ def missing_artifacts(s, d):
     return a.select("repo", F.array_join(F.array_except(known, "have"), ",").alias("missing"))
 
 
+def call_edges(s, d):
+    """Calls resolved through the caller's own functions and its imports."""
+    from .q_symbols import _callees, _calls
+    from .q_text import resolved
+
+    files = fact(s, d, "files").select("file_id", "repo", "path")
+    to = resolved(s, d).join(files.select("file_id", "repo"), "file_id")
+    ids = files.groupBy(F.col("repo").alias("r"), F.col("path").alias("t")).agg(F.min("file_id").alias("to_id"))
+    to = to.join(ids, (F.col("repo") == F.col("r")) & (F.col("target") == F.col("t")), "left").select("file_id", "spec", "to_id")
+    names = fact(s, d, "imports").select("file_id", "spec", F.explode(F.split("names", ",")).alias("n")).withColumn("n", F.trim("n")).where("n <> ''")
+    parts = F.split("n", " as ")
+    i = names.join(to, ["file_id", "spec"], "left").select(F.col("file_id").alias("file"), F.trim(F.element_at(parts, -1)).alias("local"), F.trim(parts[0]).alias("imported"), F.col("to_id").alias("target"))
+    return resolver.resolve_calls(_calls(s, d), _callees(s, d), i)
+
+
 def rust_functions(s, d):
     """Groups of Rust functions of equal structure: bodies with names and numbers put aside."""
     return clones.hash_groups(fact(s, d, "rust_function_facts"), "structure_hash", 3, 2)
@@ -193,6 +208,7 @@ QUERIES = {
     "fixes_ranked": ranked_fixes,
     "artifacts_missing": missing_artifacts,
     "rust_function_clones": rust_functions,
+    "call_edges": call_edges,
     "definitions_observed": stamped,
     "relative_paths": relative,
     "producer_performance": performance,
@@ -204,6 +220,7 @@ def _sqls() -> dict[str, str]:
     from .q_clones import _BLOCKS
     from .q_deltas import CANON, _RANK
     from .q_extract import _def_sql
+    from .q_symbols import _CALLS
     from .q_text import _RES
 
     quoted = lambda xs: ", ".join(f"'{x}'" for x in xs)
@@ -267,6 +284,12 @@ def _sqls() -> dict[str, str]:
         ),
         "fixes_ranked": sql(f"WITH {_RANK} SELECT tier, source_file_id, id, reason FROM pl"),
         "artifacts_missing": sql("SELECT repo, array_to_string(list_filter(['discipline', 'rank-fixes', 'rust-health'], lambda p: NOT list_contains(h, p)), ',') AS missing FROM (SELECT repo, list(DISTINCT producer) AS h FROM artifact_files WHERE repo IS NOT NULL GROUP BY 1)"),
+        "call_edges": sql(
+            f"""WITH {_CALLS}, {_RES}, i AS (SELECT DISTINCT file_id, spec, trim(string_split(trim(unnest(string_split(names, ','))), ' as ')[-1]) AS local FROM imports), k AS (SELECT i.file_id, local, bool_or(target IS NOT NULL) AS known FROM i LEFT JOIN rs ON rs.file_id = i.file_id AND rs.spec = i.spec GROUP BY 1, 2),
+            c AS (SELECT caller_file, callee, count(*) AS calls FROM calls GROUP BY 1, 2), o AS (SELECT DISTINCT file_id, name FROM functions)
+            SELECT caller_file AS from_file, CASE WHEN o.name IS NOT NULL THEN caller_file END AS to_file, callee, calls, CASE WHEN o.name IS NOT NULL THEN 'internal-same-file' WHEN local IS NULL THEN 'unresolved' WHEN NOT known THEN 'imported-unresolved' ELSE 'imported-missing' END AS outcome
+            FROM c LEFT JOIN o ON o.file_id = caller_file AND o.name = callee LEFT JOIN k ON k.file_id = caller_file AND k.local = callee"""
+        ),
         "rust_function_clones": sql(
             """SELECT structure_hash AS hash, count(*) AS size, count(DISTINCT owner_file) AS files, min(body_loc) AS min_loc, max(body_loc) AS max_loc, bool_and(generated) AS generated_only, min(identity) AS first_identity FROM rust_function_facts WHERE body_loc >= 3 AND statement_count >= 2 GROUP BY 1 HAVING count(*) >= 2"""
         ),

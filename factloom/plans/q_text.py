@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import escapes as escaping
+from ..operators import resolver
 from ..sources import extract
 from ..sources.facts import fact, sql
 
@@ -91,15 +92,9 @@ def import_edges(s, d):
 
 
 def resolved(s, d):
-    """Relative imports resolved to files of the same repo by trying extensions in order; the first that exists wins."""
-    i = fact(s, d, "imports").where("spec LIKE './%'").select("file_id", "repo", "path", "spec").distinct()
-    base = F.concat(F.regexp_replace("path", "[^/]*$", ""), F.substring("spec", 3, 10_000))
-    order = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(e).alias("e")) for k, e in enumerate((".ts", ".js", ".mjs", "/index.ts", "/index.js"))])
-    c = i.select("file_id", "repo", "spec", base.alias("base"), F.explode(order).alias("x")).select("file_id", "repo", "spec", F.concat("base", "x.e").alias("target"), "x.k")
-    t = fact(s, d, "files").select("repo", F.col("path").alias("target")).distinct()
-    hit = c.join(t, ["repo", "target"]).groupBy("file_id", "spec").agg(F.min_by("target", "k").alias("target"))
-    out = i.select("file_id", "spec").join(hit, ["file_id", "spec"], "left")
-    return out.select("file_id", "spec", "target", F.when(F.col("target").isNull(), "unresolved").otherwise("internal").alias("outcome"))
+    """Relative imports resolved to files of the same repo; the extension that comes first wins."""
+    r = resolver.resolve(fact(s, d, "imports"), fact(s, d, "files").select("repo", "path"))
+    return r.where("stage = 'relative'").select("file_id", "spec", "target", "outcome")
 
 
 def unresolved_ratio(s, d):
