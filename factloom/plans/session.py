@@ -71,7 +71,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 _written: list[str] = []
-_kept: dict[tuple[str, str], DataFrame] = {}
+_kept: dict[tuple[str, str], tuple[str, DataFrame]] = {}
 
 
 def release(spark: SparkSession) -> None:
@@ -84,13 +84,19 @@ def release(spark: SparkSession) -> None:
 
 
 def written(spark: SparkSession, name: str, write: Callable[[str], DataFrame]) -> DataFrame:
-    """A table that several queries of one application read, written to the shared folder by the first of them; until release()."""
+    """A table that several queries of one application read, written to the shared folder by the first of them, until release(). It is
+    written again where somebody cleared the folder in between."""
     key = (spark.sparkContext.applicationId, name)
-    if key not in _kept:
-        path = f"{shared_dir(spark)}/kept-{uuid.uuid4().hex}"
-        _written.append(path)
-        _kept[key] = write(path)
-    return _kept[key]
+    if key in _kept:
+        path, df = _kept[key]
+        marker = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+        if marker.getFileSystem(spark._jsc.hadoopConfiguration()).exists(marker):
+            return df
+    path = f"{shared_dir(spark)}/kept-{uuid.uuid4().hex}"
+    _written.append(path)
+    df = write(path)
+    _kept[key] = (path, df)
+    return df
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:

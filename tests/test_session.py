@@ -29,3 +29,18 @@ def test_spread_leaves_wide_inputs(spark):
     wide = spark.range(100, numPartitions=16)
     assert session.spread(wide) is wide
     assert session.spread(spark.range(100, numPartitions=1)).rdd.getNumPartitions() == 12
+
+
+def test_kept_tables_are_written_once_or_again_when_gone(spark):
+    import shutil
+
+    calls = []
+
+    def write(path):
+        calls.append(path)
+        spark.range(4).toDF("x").write.parquet(path)
+        return spark.read.parquet(path)
+
+    assert [session.written(spark, "kept", write).count() for _ in range(2)] == [4, 4] and len(calls) == 1
+    shutil.rmtree(calls[0].removeprefix("file://"))
+    assert session.written(spark, "kept", write).count() == 4 and len(calls) == 2
