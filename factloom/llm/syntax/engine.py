@@ -551,6 +551,103 @@ class Grammar:
                 best, plan = cost, edits
         return best + marks, least + marks, plan
 
+    def within(self, kinds: list[int], gaps: list[bool], most: int, first: int = 0) -> int:
+        """Least cost of a repair whose edits all lie at `first` or later, or most + 1 if it costs more than `most`; always proven.
+
+        No markers. Here a node is a rule and the position where it is called, with a link per caller that says how many edits later than
+        the first caller it came, so nothing within a rule is done twice, and an item (state, node) counts at a position where it costs
+        least: the work is polynomial and needs no bound on the search. Items behind a gap that ends statements (bound) only go on with the
+        token after it."""
+        n, table, final, rule_of, t_arcs, r_arcs, asi = len(kinds) - 1, self.table, self.final, self.rule_of, self.t_arcs, self.r_arcs, self.asi
+        rest = self.bounds(kinds, [2 * k + g for k, g in zip(kinds, gaps)])
+        targets = [tuple({t for k, t in arcs.items() if k != EOF}) for arcs in t_arcs]
+        nodes: dict[tuple[int, int, bool], int] = {}
+        links: list[dict[tuple[int, int], int]] = [{}]
+        born, place, ends = [0], [-1], [{}]  # edits and position of the first call; edits by (position, bound) where the rule is complete
+        seen: dict[tuple[int, bool], set[tuple[int, int]]] = defaultdict(set)
+        levels: dict[int, dict[tuple[int, bool], list]] = defaultdict(lambda: defaultdict(list))
+        levels[0][0, False].append((self.first_state[self.ids[self.start]], 0))
+
+        def call(rule: int, back: int, up: int, bound: bool) -> None:
+            nd = nodes.get((rule, pos, bound))
+            if nd is None:
+                nodes[rule, pos, bound] = nd = len(links)
+                links.append({})
+                born.append(cost)
+                place.append(pos)
+                ends.append({})
+                level[pos, bound].append((self.first_state[rule], nd))
+            if (back, up) not in links[nd]:
+                links[nd][back, up] = late = cost - born[nd]
+                for (q, b), c in ends[nd].items():
+                    if c + late + rest[q] <= most:
+                        levels[c + late][q, b].append((back, up))
+
+        def complete(nd: int, bound: bool) -> None:
+            if (pos, bound) not in ends[nd]:
+                ends[nd][pos, bound] = cost
+                for item, late in links[nd].items():
+                    if cost + late + rest[pos] <= most:
+                        levels[cost + late][pos, bound].append(item)
+
+        for cost in range(most + 1):
+            level = levels[cost]
+            for pos in range(n + 1):
+                if cost + rest[pos] > most or not (level.get((pos, False)) or level.get((pos, True))):
+                    continue
+                tok, gap = kinds[pos], gaps[pos]
+                insert = pos >= first and cost + 1 + rest[pos] <= most
+                change = first <= pos < n and cost + 1 + rest[pos + 1] <= most
+                todo, known, up = level[pos, False], seen[pos, False], level[pos + 1, False]
+                tight = level[pos, True]
+                while todo:
+                    item = todo.pop()
+                    if item in known:
+                        continue
+                    known.add(item)
+                    s, nd = item
+                    if gap:
+                        tight.append(item)
+                    elif tok in table[s]:
+                        shift, called = table[s][tok]
+                        if shift >= 0:
+                            up.append((shift, nd))
+                        for rule, back in called:
+                            call(rule, back, nd, False)
+                    if insert or change:
+                        for rule, back in r_arcs[s].items():
+                            call(rule, back, nd, False)
+                        if insert:
+                            levels[cost + 1][pos, False].extend([(t, nd) for t in targets[s]])
+                        if change:
+                            after = levels[cost + 1][pos + 1, False]
+                            after.extend([(t, nd) for t in targets[s]])
+                            if place[nd] < pos or s != self.first_state[rule_of[s]]:  # else deleted before the call
+                                after.append(item)
+                    if final[s] and nd and (insert or change or not gap and tok in self.follow[rule_of[s]]):
+                        complete(nd, False)
+                known = seen[pos, True]
+                while tight:
+                    item = tight.pop()
+                    if item in known:
+                        continue
+                    known.add(item)
+                    s, nd = item
+                    if tok in table[s]:
+                        shift, called = table[s][tok]
+                        if shift >= 0:
+                            up.append((shift, nd))
+                        for rule, back in called:
+                            call(rule, back, nd, True)
+                    if asi[s] >= 0:
+                        tight.append((asi[s], nd))
+                    if final[s] and nd:
+                        complete(nd, True)
+            if level.get((n + 1, False)):
+                return cost
+            del levels[cost]
+        return most + 1
+
     def _narrow(self, kinds: list[int], keys: list[int], max_cost: int, beam: int) -> tuple[int, tuple]:
         """A repair that need not be the cheapest, without its markers: level by level, about `beam` pairs each, the furthest first.
         It stops at max_cost edits, or when that many would not reach the end at a few times the pace so far, and edits what is left."""
