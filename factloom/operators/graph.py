@@ -166,9 +166,10 @@ def components(edges: DataFrame, kernel_edges: int = KERNEL_EDGES) -> DataFrame:
     return out
 
 
-def component_list(parts: DataFrame, k: int = 10) -> DataFrame:
-    """The k largest components: size descending, smallest node ascending."""
-    return parts.groupBy("component").agg(F.count("*").alias("size")).orderBy(F.col("size").desc(), F.col("component").asc()).limit(k)
+def component_list(parts: DataFrame, k: int | None = 10) -> DataFrame:
+    """The k largest components (all for None): size descending, smallest node ascending."""
+    ranked = parts.groupBy("component").agg(F.count("*").alias("size")).orderBy(F.col("size").desc(), F.col("component").asc())
+    return ranked if k is None else ranked.limit(k)
 
 
 def chain_ends(links: DataFrame) -> DataFrame:

@@ -60,7 +60,7 @@ def unreachable_sccs(s, d):
     parts = graph.components(walk.where(RUNTIME))
     seen = graph.reachable(walk, fact(s, d, "walk_entries"))
     touched = parts.join(seen, parts["node"] == seen["file"], "left_semi").select("component").distinct()
-    return graph.component_list(parts.join(touched, "component", "left_anti"), 1000)
+    return graph.component_list(parts.join(touched, "component", "left_anti"), None)
 
 
 def submodule_labels(s, d):

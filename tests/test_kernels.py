@@ -8,6 +8,7 @@ from collections import Counter
 from pyspark.sql import functions as F
 
 from factloom.operators import clones, deltas, graph, topology
+from factloom.plans import q_topology
 from factloom.streaming import events
 
 
@@ -48,6 +49,14 @@ def test_reach_by_rounds_equals_kernel(spark):
     assert {d for _, d in {(r.file, r.depth) for r in graph.reachable(df, entries, max_depth=1).collect()}} <= {0, 1}
 
 
+def test_unreachable_components_are_all_listed(spark, monkeypatch):
+    n = 1005
+    edges = [e for i in range(n) for e in ((2 * i, 2 * i + 1, False), (2 * i + 1, 2 * i, False))] + [(9999, 1, True), (5000, 5001, False), (5001, 5000, True)]
+    facts = {"walk": spark.createDataFrame(edges, "src bigint, dst bigint, type_only boolean"), "walk_entries": spark.createDataFrame([(9999,)], "file bigint")}
+    monkeypatch.setattr(q_topology, "fact", lambda s, d, name: facts[name])
+    assert [tuple(r) for r in q_topology.unreachable_sccs(spark, "").collect()] == [(2 * i, 2) for i in range(1, n)]
+
+
 def test_empty_graph(spark):
     e, s = spark.createDataFrame([], "src bigint, dst bigint"), spark.createDataFrame([], "file bigint")
     assert graph.components(e).count() == 0 and graph.reachable(e, s).count() == 0
