@@ -6,47 +6,97 @@ edges (counted, not assumed) is handed to one task instead, where an iterative a
 
 from __future__ import annotations
 
-import pandas as pd
+from array import array
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.session import materialize
 
-#: edges that one task may hold (16 bytes of ids each, a few times that in dictionaries)
+#: edges that one task may hold, by the kind of their ids: numbers take less than 100 bytes an edge, texts as long as they are
 KERNEL_EDGES = 500_000
+KERNEL_NUMBER_EDGES = 8_000_000
+
+
+def _most(kind: str, kernel_edges: int | None) -> int:
+    return kernel_edges if kernel_edges is not None else KERNEL_NUMBER_EDGES if kind in ("int", "bigint") else KERNEL_EDGES
+
+
+def _graph(batches: Iterator[pa.RecordBatch]) -> tuple[pa.Array, np.ndarray, memoryview, memoryview]:
+    """Nodes; the codes (places among the nodes) of sources without a target; and by code where its targets begin, and their codes."""
+    lone, src, dst = [], [], []
+    for b in batches:
+        s, d = b.column(0), b.column(1)
+        if d.null_count:
+            lone.append(s.filter(d.is_null()))
+            s, d = s.filter(d.is_valid()), d.drop_null()
+        src.append(s)
+        dst.append(d)
+    parts = [*lone, *src, *dst]
+    cuts = [sum(map(len, lone)), sum(map(len, lone + src))]
+    if parts and pa.types.is_integer(parts[0].type):
+        ids = np.concatenate([x.to_numpy() for x in parts])
+        del parts, lone, src, dst
+        order = np.argsort(ids)
+        ids = ids[order]
+        new = np.concatenate([[True] * len(ids[:1]), ids[1:] != ids[:-1]])
+        nodes, codes = pa.array(ids[new]), np.empty(len(ids), np.int32)
+        del ids
+        codes[order] = np.cumsum(new, dtype=np.int32) - 1
+        del order
+    else:
+        both = pa.chunked_array(parts, None if parts else pa.string()).dictionary_encode().combine_chunks()
+        nodes, codes = both.dictionary, both.indices.to_numpy()
+        del both, parts, lone, src, dst
+    first, a, b = np.split(codes, cuts)
+    begin = np.zeros(len(nodes) + 1, np.int32)
+    np.cumsum(np.bincount(a, minlength=len(nodes)), out=begin[1:])
+    return nodes, first, memoryview(begin), memoryview(b[np.argsort(a, kind="stable")])
+
+
+def _batches(**columns: pa.Array) -> list[pa.RecordBatch]:
+    return pa.table(columns).to_batches(max_chunksize=100_000)
+
+
+def _depths(n: int, starts: np.ndarray, begin: memoryview, to: memoryview, max_depth: int | None) -> np.ndarray:
+    """The depth of every node, -1 where it is not reached."""
+    out = np.full(n, -1, np.int32)
+    out[starts] = 0
+    depth, level, k = memoryview(out), np.unique(starts).tolist(), 0
+    while level and (max_depth is None or k < max_depth):
+        k += 1
+        found = []
+        for v in level:
+            for i in range(begin[v], begin[v + 1]):
+                w = to[i]
+                if depth[w] < 0:
+                    depth[w] = k
+                    found.append(w)
+        level = found
+    return out
 
 
-def _reach_kernel(entries: list, src: list, dst: list) -> dict:
-    out: dict = {}
-    for a, b in zip(src, dst):
-        out.setdefault(a, []).append(b)
-    depth = {e: 0 for e in entries}
-    todo = list(depth)
-    for v in todo:  # grows while it runs
-        for w in out.get(v, ()):
-            if w not in depth:
-                depth[w] = depth[v] + 1
-                todo.append(w)
-    return depth
-
-
-def reachable(edges: DataFrame, entries: DataFrame, kernel_edges: int = KERNEL_EDGES, max_depth: int | None = None) -> DataFrame:
+def reachable(edges: DataFrame, entries: DataFrame, kernel_edges: int | None = None, max_depth: int | None = None) -> DataFrame:
     """file, depth of every node reachable from entries(file), entries included (also those without edges). Duplicate edges and
     self-loops change nothing. max_depth bounds the rounds; the caller learns by the depths that it was reached."""
     kind = edges.schema["src"].dataType.simpleString()
-    links = edges.select("src", "dst").where("src IS NOT NULL AND dst IS NOT NULL").distinct()
-    starts = entries.select("file").where("file IS NOT NULL").distinct()
+    links = edges.select("src", F.col("dst").cast(kind).alias("dst")).where("src IS NOT NULL AND dst IS NOT NULL").distinct()
+    starts = entries.select(F.col("file").cast(kind).alias("file")).where("file IS NOT NULL").distinct()
     links = materialize(links, "reach-edges")
-    if links.count() + starts.count() <= kernel_edges:
+    if links.count() + starts.count() <= _most(kind, kernel_edges):
 
-        def run(pdf: pd.DataFrame) -> pd.DataFrame:
-            s = pdf["dst"].isna()
-            depth = _reach_kernel(pdf["src"][s].tolist(), pdf["src"][~s].tolist(), pdf["dst"][~s].astype(pdf["src"].dtype).tolist())
-            kept = [(v, k) for v, k in depth.items() if max_depth is None or k <= max_depth]
-            return pd.DataFrame(kept, columns=["file", "depth"])
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            nodes, first, begin, to = _graph(batches)
+            depth = _depths(len(nodes), first, begin, to, max_depth)
+            seen = np.flatnonzero(depth >= 0)
+            yield from _batches(file=nodes.take(pa.array(seen)), depth=pa.array(depth[seen]))
 
         both = links.unionByName(starts.select(F.col("file").alias("src"), F.lit(None).cast(kind).alias("dst")))
-        return both.withColumn("all_rows", F.lit(1)).groupBy("all_rows").applyInPandas(run, f"file {kind}, depth int")
+        return both.repartition(1).mapInArrow(run, f"file {kind}, depth int")
     seen = materialize(starts.withColumn("depth", F.lit(0)), "reach")
     frontier, depth = seen, 0
     while max_depth is None or depth < max_depth:
@@ -59,51 +109,43 @@ def reachable(edges: DataFrame, entries: DataFrame, kernel_edges: int = KERNEL_E
     return seen
 
 
-def _tarjan(src: list, dst: list) -> list[tuple[object, object]]:
-    """(node, smallest node of its component) of every component of two nodes and more; no recursion."""
-    out: dict = {}
-    for a, b in zip(src, dst):
-        out.setdefault(a, []).append(b)
-        out.setdefault(b, [])
-    index: dict = {}
-    low: dict = {}
-    on: set = set()
-    stack: list = []
-    result = []
-    for root in out:
-        if root in index:
+def _tarjan(n: int, begin: memoryview, to: memoryview) -> np.ndarray:
+    """For every node a number of its strongly connected component (the code of one of its nodes); no recursion."""
+    out = np.full(n, -1, np.int32)
+    part = memoryview(out)  # open nodes have an index and no part
+    index, low, at = memoryview(np.zeros(n, np.int32)), memoryview(np.zeros(n, np.int32)), memoryview(np.array(begin))
+    stack, work, order = array("i"), array("i"), 0
+    for root in range(n):
+        if index[root]:
             continue
-        work = [(root, iter(out[root]))]
-        index[root] = low[root] = len(index)
+        order += 1
+        index[root] = low[root] = order
         stack.append(root)
-        on.add(root)
+        work.append(root)
         while work:
-            v, it = work[-1]
-            for w in it:
-                if w not in index:
-                    index[w] = low[w] = len(index)
+            v = work[-1]
+            for i in range(at[v], begin[v + 1]):
+                w = to[i]
+                if not index[w]:
+                    order += 1
+                    index[w] = low[w] = order
                     stack.append(w)
-                    on.add(w)
-                    work.append((w, iter(out[w])))
+                    work.append(w)
+                    at[v] = i + 1
                     break
-                if w in on:
-                    low[v] = min(low[v], index[w])
+                if part[w] < 0 and index[w] < low[v]:
+                    low[v] = index[w]
             else:
                 work.pop()
-                if work:
-                    low[work[-1][0]] = min(low[work[-1][0]], low[v])
+                if work and low[v] < low[work[-1]]:
+                    low[work[-1]] = low[v]
                 if low[v] == index[v]:
-                    part = []
                     while True:
                         w = stack.pop()
-                        on.discard(w)
-                        part.append(w)
+                        part[w] = v
                         if w == v:
                             break
-                    if len(part) > 1:
-                        m = min(part)
-                        result += [(w, m) for w in part]
-    return result
+    return out
 
 
 def _propagate(links: DataFrame, start: DataFrame, how: str) -> DataFrame:
@@ -119,27 +161,35 @@ def _propagate(links: DataFrame, start: DataFrame, how: str) -> DataFrame:
             return labels.select("node", "label")
 
 
-def components(edges: DataFrame, kernel_edges: int = KERNEL_EDGES) -> DataFrame:
+def components(edges: DataFrame, kernel_edges: int | None = None) -> DataFrame:
     """node, component (its smallest node) of every strongly connected component of at least two nodes; self-loops make none."""
     kind = edges.schema["src"].dataType.simpleString()
-    links = materialize(edges.select("src", "dst").where("src <> dst").distinct(), "scc-edges")
+    most = _most(kind, kernel_edges)
+    links = materialize(edges.select("src", F.col("dst").cast(kind).alias("dst")).where("src <> dst").distinct(), "scc-edges")
     found: list[DataFrame] = []
     while True:
         # nodes without incoming or outgoing edges are in no component
-        for _ in range(3):
-            n = links.count()
+        n = links.count()
+        while n > most:
             ends = links.select(F.col("src").alias("v")).intersect(links.select(F.col("dst").alias("v")))
             trimmed = links.join(ends.select(F.col("v").alias("src")), "src", "left_semi").join(ends.select(F.col("v").alias("dst")), "dst", "left_semi").select("src", "dst")
             links = materialize(trimmed, "scc-edges")
-            if links.count() == n:
+            before, n = n, links.count()
+            if n > 0.95 * before:
                 break
-        n = links.count()
-        if n <= kernel_edges:
-
-            def run(pdf: pd.DataFrame) -> pd.DataFrame:
-                return pd.DataFrame(_tarjan(pdf["src"].tolist(), pdf["dst"].tolist()), columns=["node", "component"])
-
-            found.append(links.withColumn("all_rows", F.lit(1)).groupBy("all_rows").applyInPandas(run, f"node {kind}, component {kind}"))
+        if n <= most:
+
+            def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                nodes, _, begin, to = _graph(batches)
+                part = _tarjan(len(nodes), begin, to)
+                kept = np.flatnonzero(np.bincount(part, minlength=len(nodes))[part] > 1) if len(part) else part
+                names, part = nodes.take(pa.array(kept)), part[kept]
+                ranks = pc.sort_indices(names).to_numpy()
+                least = np.empty(len(nodes), np.int64)
+                least[part[ranks[::-1]]] = ranks[::-1]  # the last one written is the smallest
+                yield from _batches(node=names, component=names.take(pa.array(least[part])))
+
+            found.append(links.repartition(1).mapInArrow(run, f"node {kind}, component {kind}"))
             break
         # colour every node by the greatest node that reaches it; within a colour, what reaches its root is a component
         nodes = links.select(F.col("src").alias("node")).union(links.select("dst")).distinct().withColumn("label", F.col("node"))

@@ -56,11 +56,11 @@ def reach_depth(s, d):
 
 
 def unreachable_sccs(s, d):
+    """What a reachable node leads to is reachable, so a component is so as a whole or not at all: edges to reachable nodes are left out first."""
     walk = fact(s, d, "walk")
-    parts = graph.components(walk.where(RUNTIME))
     seen = graph.reachable(walk, fact(s, d, "walk_entries"))
-    touched = parts.join(seen, parts["node"] == seen["file"], "left_semi").select("component").distinct()
-    return graph.component_list(parts.join(touched, "component", "left_anti"), None)
+    parts = graph.components(walk.where(RUNTIME).join(seen.select(F.col("file").alias("dst")), "dst", "left_anti"))
+    return graph.component_list(parts, None)
 
 
 def submodule_labels(s, d):

@@ -57,6 +57,46 @@ def test_unreachable_components_are_all_listed(spark, monkeypatch):
     assert [tuple(r) for r in q_topology.unreachable_sccs(spark, "").collect()] == [(2 * i, 2) for i in range(1, n)]
 
 
+def test_unreachable_components_of_a_long_ring_need_few_rounds(spark, monkeypatch):
+    n, tables, kept = 600_000, [], graph.materialize
+    ring = spark.range(n).select(F.col("id").alias("src"), ((F.col("id") + 1) % n).alias("dst"), F.lit(False).alias("type_only"))
+    facts = {"walk": ring, "walk_entries": spark.createDataFrame([(n,)], "file bigint")}
+    monkeypatch.setattr(q_topology, "fact", lambda s, d, name: facts[name])
+
+    def counted(df, label):
+        tables.append(label)
+        assert len(tables) < 6
+        return kept(df, label)
+
+    monkeypatch.setattr(graph, "materialize", counted)
+    assert [tuple(r) for r in q_topology.unreachable_sccs(spark, "").collect()] == [(0, n)]
+
+
+def test_unreachable_components_by_brute_force(spark, monkeypatch):
+    some = 0
+    for seed in range(3):
+        rng = random.Random(seed)
+        edges = [(rng.randrange(-20, 20), rng.randrange(-20, 20), rng.random() < 0.3) for _ in range(55)] + [(50, 51, False), (51, 50, False)]
+        starts = [x for x, _, _ in edges[:2]]
+        seen, run = closure([e[:2] for e in edges], starts), [e[:2] for e in edges if not e[2]]
+        reach = {v: closure(run, [v]) for e in edges for v in e[:2]}
+        parts = {frozenset(w for w in reach[v] if v in reach[w]) for v in reach}
+        want = {(min(c), len(c)) for c in parts if len(c) > 1 and not c & seen}
+        some += len(want)
+        for text in (False, True):
+            walk, entries = spark.createDataFrame(edges, "src bigint, dst bigint, type_only boolean"), spark.createDataFrame([(x,) for x in starts], "file bigint")
+            if text:
+                walk, entries = walk.selectExpr("lpad(src + 100, 3, '0') src", "lpad(dst + 100, 3, '0') dst", "type_only"), entries.selectExpr("lpad(file + 100, 3, '0') file")
+            facts = {"walk": walk, "walk_entries": entries}
+            monkeypatch.setattr(q_topology, "fact", lambda s, d, name: facts[name])
+            for most in (10**6, 0) if seed == 0 and not text else (10**6,):
+                monkeypatch.setattr(graph, "KERNEL_EDGES", most)
+                monkeypatch.setattr(graph, "KERNEL_NUMBER_EDGES", most)
+                got = {(int(r.component) - 100 if text else r.component, r["size"]) for r in q_topology.unreachable_sccs(spark, "").collect()}
+                assert got == want
+    assert some > 3
+
+
 def test_empty_graph(spark):
     e, s = spark.createDataFrame([], "src bigint, dst bigint"), spark.createDataFrame([], "file bigint")
     assert graph.components(e).count() == 0 and graph.reachable(e, s).count() == 0
